@@ -1,13 +1,16 @@
 """The queries of this subpackage and, where SQL can state them, their SQL."""
 
+from .chat import OP8_SQL, op8_reply_trees
 from .mixing import OP5_SQL, op5_fair_queue
 from .sharding import op7_virtual_slots
 
 QUERIES = {
     "op5_fair_queue": op5_fair_queue,
     "op7_virtual_slots": op7_virtual_slots,
+    "op8_reply_trees": op8_reply_trees,
 }
 
 ORACLE_SQL = {
     "op5_fair_queue": OP5_SQL,
+    "op8_reply_trees": OP8_SQL,
 }
