@@ -2,12 +2,14 @@
 
 from .chat import OP8_SQL, op8_reply_trees
 from .mixing import OP5_SQL, op5_fair_queue
+from .pii import op9_disclosure
 from .sharding import op7_virtual_slots
 
 QUERIES = {
     "op5_fair_queue": op5_fair_queue,
     "op7_virtual_slots": op7_virtual_slots,
     "op8_reply_trees": op8_reply_trees,
+    "op9_disclosure": op9_disclosure,
 }
 
 ORACLE_SQL = {
