@@ -1,5 +1,6 @@
 """The queries of this subpackage and, where SQL can state them, their SQL."""
 
+from .bitsliced import OP6_SQL, op6_bit_sliced
 from .chat import OP8_SQL, op8_reply_trees
 from .mixing import OP5_SQL, op5_fair_queue
 from .pii import op9_disclosure
@@ -7,6 +8,7 @@ from .sharding import op7_virtual_slots
 
 QUERIES = {
     "op5_fair_queue": op5_fair_queue,
+    "op6_bit_sliced": op6_bit_sliced,
     "op7_virtual_slots": op7_virtual_slots,
     "op8_reply_trees": op8_reply_trees,
     "op9_disclosure": op9_disclosure,
@@ -14,5 +16,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op5_fair_queue": OP5_SQL,
+    "op6_bit_sliced": OP6_SQL,
     "op8_reply_trees": OP8_SQL,
 }
