@@ -35,25 +35,25 @@ def unescape(c: Column) -> Column:
 
 
 def ancestors(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(nodes with depth and path score, the tables of 2^k-th ancestors). Nodes that reach no root are left out."""
+    """(nodes with depth and path score, the tables of 2^k-th ancestors, of the nodes that have one). Nodes that reach no root are left out."""
     known = nodes.select("tree", F.col("node").alias("parent"))
     base = nodes.select("tree", "node", "parent", "score")
     rooted = base.join(known.withColumn("there", F.lit(True)), ["tree", "parent"], "left").select(
         "tree", "node", F.when(F.col("there"), F.col("parent")).alias("anc"), F.lit(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total")
     )
     level = materialize(rooted, "anc")
-    levels, rows, k = [level], level.count(), 0
-    while (1 << k) <= rows and level.where("anc is not null").limit(1).count():
-        up = level.select("tree", F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
-        level = materialize(
-            level.join(up, ["tree", "anc"], "left").select(
-                "tree", "node", F.col("anc2").alias("anc"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")
-            ),
-            "anc",
-        )
-        levels.append(level)
+    rows, k = level.count(), 0
+    open_, done = level.where("anc is not null"), level.where("anc is null")
+    levels = [open_]
+    while (1 << k) <= rows and open_.limit(1).count():
+        # Nodes that have met their root are done and joined no more.
+        up = open_.unionByName(done).select("tree", F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
+        jumped = open_.join(up, ["tree", "anc"]).select("tree", "node", F.col("anc2").alias("anc"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("total") + F.col("total2")).alias("total"))
+        level = materialize(jumped, "anc")
+        open_, done = level.where("anc is not null"), done.unionByName(level.where("anc is null"))
+        levels.append(open_)
         k += 1
-    return level.where("anc is null").select("tree", "node", "depth", "total"), levels
+    return done.select("tree", "node", "depth", "total"), levels
 
 
 def paths(nodes: DataFrame, best: int = 1) -> DataFrame:
@@ -63,7 +63,7 @@ def paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("total").desc(), F.col("depth").desc(), "node"))
     found = leaves.withColumn("rank", rank).where(F.col("rank") <= best).select("tree", F.col("node").alias("leaf"), "rank", "total", "node")
     for level in levels[:-1]:  # the last one has no ancestor left
-        up = level.where("anc is not null").select("tree", "node", "anc")
+        up = level.select("tree", "node", "anc")
         found = found.unionByName(found.join(up, ["tree", "node"]).select("tree", "leaf", "rank", "total", F.col("anc").alias("node")))
         found = materialize(found, "path")
     return found.join(placed.select("tree", "node", "depth"), ["tree", "node"])
