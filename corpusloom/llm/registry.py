@@ -2,11 +2,13 @@
 
 from .bitsliced import OP6_SQL, op6_bit_sliced
 from .chat import OP8_SQL, op8_reply_trees
+from .decontaminate import op1_decontaminate
 from .mixing import OP5_SQL, op5_fair_queue
 from .pii import op9_disclosure
 from .sharding import op7_virtual_slots
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op5_fair_queue": op5_fair_queue,
     "op6_bit_sliced": op6_bit_sliced,
     "op7_virtual_slots": op7_virtual_slots,
