@@ -6,9 +6,11 @@ from .decontaminate import op1_decontaminate
 from .mixing import OP5_SQL, op5_fair_queue
 from .pii import op9_disclosure
 from .sharding import op7_virtual_slots
+from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_toxicity": op2_toxicity,
     "op5_fair_queue": op5_fair_queue,
     "op6_bit_sliced": op6_bit_sliced,
     "op7_virtual_slots": op7_virtual_slots,
