@@ -3,6 +3,7 @@
 from .bitsliced import OP6_SQL, op6_bit_sliced
 from .chat import OP8_SQL, op8_reply_trees
 from .decontaminate import op1_decontaminate
+from .langid import op4_language
 from .mixing import OP5_SQL, op5_fair_queue
 from .pii import op9_disclosure
 from .sharding import op7_virtual_slots
@@ -11,6 +12,7 @@ from .toxicity import op2_toxicity
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
+    "op4_language": op4_language,
     "op5_fair_queue": op5_fair_queue,
     "op6_bit_sliced": op6_bit_sliced,
     "op7_virtual_slots": op7_virtual_slots,
