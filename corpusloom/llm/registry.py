@@ -5,6 +5,7 @@ from .chat import OP8_SQL, op8_reply_trees
 from .decontaminate import op1_decontaminate
 from .langid import op4_language
 from .mixing import OP5_SQL, op5_fair_queue
+from .neardup import op10_bagminhash
 from .pii import op9_disclosure
 from .sharding import op7_virtual_slots
 from .toxicity import op2_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_virtual_slots": op7_virtual_slots,
     "op8_reply_trees": op8_reply_trees,
     "op9_disclosure": op9_disclosure,
+    "op10_bagminhash": op10_bagminhash,
 }
 
 ORACLE_SQL = {
