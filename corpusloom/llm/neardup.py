@@ -8,9 +8,9 @@ it passes the bag's largest slot value. Two bags agree in a slot with a probabil
 
 `BANDS` bands of `ROWS` slots give buckets (at a similarity of 0.8 two bags share none with probability 2e-4). A bucket's members are
 compared with its smallest member only; links are verified by the exact overlap of the bags. Components of the links are
-formed, and buckets whose members are still in different components go on with the next smallest member, pair after pair between
-different components, until each bucket is settled. So no pair of a bucket goes untested unless its two texts already are in
-one class, there is no cap, and no step emits all pairs of a bucket. Pairs whose whole signatures agree in fewer than `SURE` of the slots
+formed, and in buckets whose members are still in different components those outside the bucket's largest component, `LEADERS` a
+round, meet the members of all other components, until each bucket is settled. So no pair of a bucket goes untested unless its
+two texts already are in one class, there is no cap, and pairs inside a component are never emitted. Pairs whose whole signatures agree in fewer than `SURE` of the slots
 (6 standard deviations under 0.8) are not fetched for the exact comparison.
 
 Equal texts are one node of all this, by their MD5. Texts are shuffled only for the pairs to verify.
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table, text_or_empty
@@ -36,7 +36,7 @@ from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 36, 7
-SURE = 0.65
+SURE, LEADERS = 0.65, 64
 WORD = re.compile(r"\w+")
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -201,7 +201,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     open_ = materialize(members.join(shared.select("band", "hash", "center"), ["band", "hash"]), "buckets")
     # First each node with the centre that most of its buckets share.
     votes = open_.where("node <> center").groupBy("center", "node").agg(F.count(F.lit(1)).alias("n"))
-    first = votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "center")).alias("best")).select(F.col("best.center").alias("a"), F.col("node").alias("b"))
+    first = votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "center")).alias("best")).select(F.col("best.center").alias("a"), F.col("node").alias("b"))  # the centre is the smaller
     pairs = materialize(likely(first, nodes), "pairs")
     links = verified(pairs, docs, threshold)
     tested = pairs
@@ -209,20 +209,24 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     left = open_
     while True:
         named = left.join(labels, "node", "left").select("band", "hash", "node", F.coalesce("label", "node").alias("label"))
-        mixed = named.groupBy("band", "hash").agg(F.min("node").alias("center"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "hash", "center")
-        left = materialize(named.join(mixed, ["band", "hash"]), "mixed")
+        per = named.groupBy("band", "hash", "label").agg(F.count(F.lit(1)).alias("n"))
+        mixed = per.groupBy("band", "hash").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+        left = materialize(named.join(mixed.select("band", "hash", F.col("top.label").alias("major")), ["band", "hash"]), "mixed")
         if not left.limit(1).count():
             break
-        heads = left.where("node = center").select("band", "hash", F.col("label").alias("own"))
-        more = left.where("node <> center").join(heads, ["band", "hash"]).where("label <> own").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-        more = materialize(likely(more.join(tested, ["a", "b"], "left_anti"), nodes), "pairs")
+        # Every pair between components has a member outside the largest one: up to LEADERS of those a bucket and round meet all others.
+        order = F.row_number().over(Window.partitionBy("band", "hash").orderBy("node"))
+        leaders = left.where("label <> major").withColumn("rank", order).where(F.col("rank") <= LEADERS).select("band", "hash", F.col("node").alias("leader"), F.col("label").alias("own"))
+        leaders = materialize(leaders, "leaders")
+        met = left.join(leaders, ["band", "hash"]).where("label <> own").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+        more = materialize(likely(met.join(tested, ["a", "b"], "left_anti"), nodes), "pairs")
         if more.limit(1).count():
             new = verified(more, docs, threshold)
             tested = tested.unionByName(more)
             if new.limit(1).count():
                 links = links.unionByName(new)
                 labels = components(links)
-        left = left.where("node <> center").select("band", "hash", "node")
+        left = left.join(leaders.withColumnRenamed("leader", "node"), ["band", "hash", "node"], "left_anti").select("band", "hash", "node")
     ids = sketches.groupBy("node").agg(F.min("doc_id").alias("low"))
     named = materialize(ids.join(labels, "node", "left").select("node", "low", F.coalesce("label", "node").alias("label")), "named")
     least = named.groupBy("label").agg(F.min("low").alias("class_id"))
