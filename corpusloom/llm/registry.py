@@ -8,11 +8,13 @@ from .mixing import OP5_SQL, op5_fair_queue
 from .neardup import op10_bagminhash
 from .pii import op9_disclosure
 from .sharding import op7_virtual_slots
+from .substrings import op3_suffix_dedup
 from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_language": op4_language,
     "op5_fair_queue": op5_fair_queue,
     "op6_bit_sliced": op6_bit_sliced,
