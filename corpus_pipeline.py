@@ -1,15 +1,58 @@
-"""The corpus pipeline: toxicity, near-duplicates, decontamination, mixing, sharding."""
+"""The corpus pipeline over `documents`: toxicity, near-duplicates, decontamination, mixing, sharding.
+
+Every stage takes the rows that the one before kept and returns the columns of documents; the last adds virtual_slot and
+shard. SQL cannot state the trained, sketched and aligned stages, so the pipeline is tested against a brute-force version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm import decontaminate, mixing, neardup, sharding, toxicity
+from corpusloom.llm.common import materialize, table, text_or_empty
+
+
+def keep_ordinary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the compression classifier, trained on this input's labelled rows, does not call toxic."""
+    model = toxicity.train(*toxicity.sample(docs, table(spark, sf_dir, "labels")))
+    return toxicity.scored(docs, model, docs.columns).where("score < 0.5").drop("score")
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row of smallest doc_id of each class of near-duplicates."""
+    return neardup.survivors(docs)
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text holds no benchmark item. Whether it does depends on the text alone, so texts are its keys."""
+    keyed = docs.withColumn("text_key", F.md5(text_or_empty("text")))
+    found = decontaminate.contaminated(keyed.select(F.col("text_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    leaks = materialize(found.select(F.col("doc_id").alias("text_key")).distinct(), "leaks")
+    return keyed.join(leaks, "text_key", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as weighted fair queueing takes them."""
+    return mixing.mixed(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.placed(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", keep_ordinary),
+    ("near-duplicates", keep_one_of_each),
+    ("decontamination", keep_clean),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -131,7 +131,8 @@ def hits(docs: DataFrame, items) -> DataFrame:
                 ends = np.minimum(places[np.r_[cut - 1, len(places) - 1]] + margin, len(ids))
                 parts = np.concatenate([ids[a:b] for a, b in zip(starts, ends, strict=True)]).astype("<i4").tobytes()
                 out.append((doc, grams.astype("<i4").tobytes(), places.astype("<i4").tobytes(), starts.astype("<i4").tobytes(), ends.astype("<i4").tobytes(), parts))
-            yield pd.DataFrame(out, columns=["doc_id", "grams", "places", "starts", "ends", "ids"])
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "grams", "places", "starts", "ends", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(find, f"doc_id {kind}, grams binary, places binary, starts binary, ends binary, ids binary")
@@ -239,7 +240,8 @@ def aligned(found: DataFrame, items, seeding, threshold: float) -> DataFrame:
                 best[r, i] = max(best.get((r, i), (0, 0)), (s, n))
             docs = batch["doc_id"].tolist()
             rows = [(docs[r], it.ids[i], s / len(it.tokens[i]), n) for (r, i), (s, n) in best.items() if s >= threshold * len(it.tokens[i])]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "n_seeds"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "n_seeds"])
 
     kind = found.schema["doc_id"].dataType.simpleString()
     return found.mapInPandas(score, f"doc_id {kind}, item_id long, score double, n_seeds int")

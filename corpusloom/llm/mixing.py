@@ -141,6 +141,18 @@ def _taken(copies: DataFrame, budget: float, n_ranges: int, edge_rows: int):
     return taken
 
 
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The mix itself: docs with each row as often as the mix takes it. Equal rows share what is taken of them."""
+    keyed = docs.withColumn("mix_key", F.md5(text_or_empty("text")))
+    sizes = materialize(sized(keyed.select("doc_id", "source", "mix_key", "text")).drop("text"), "sizes")
+    taken = mix(sizes, materialize(source_targets(sizes, weights, share, cap), "targets"))
+    copies = taken.groupBy(F.col("doc_id").alias("k_id"), F.col("source").alias("k_source"), "mix_key").agg(F.sum("copies").cast("int").alias("mix_copies")).where("mix_copies > 0")
+    once = keyed.dropDuplicates(["doc_id", "source", "mix_key"])
+    on = (once["mix_key"] == copies["mix_key"]) & once["doc_id"].eqNullSafe(copies["k_id"]) & once["source"].eqNullSafe(copies["k_source"])
+    out = once.join(copies, on).select(*[once[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "mix_copies")).alias("mix_copy"))
+    return out.drop("mix_copy")
+
+
 def op5_fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sizes = materialize(sized(docs.select("doc_id", "source", "text")).drop("text"), "sizes")

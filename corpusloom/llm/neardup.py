@@ -193,7 +193,7 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id, node): one row a document; documents of a class are linked by texts of similarity threshold or more."""
+    """(doc_id, class_id, node, label): one row a document; label names the class by its smallest node. Documents of a class are linked by texts of similarity threshold or more."""
     sketches = materialize(sketched(docs), "sketches")
     nodes = materialize(sketches.where("bands is not null").select("node", "bands", "sketch").dropDuplicates(["node"]), "nodes")
     members = nodes.select("node", F.posexplode("bands").alias("band", "hash"))
@@ -230,8 +230,20 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ids = sketches.groupBy("node").agg(F.min("doc_id").alias("low"))
     named = materialize(ids.join(labels, "node", "left").select("node", "low", F.coalesce("label", "node").alias("label")), "named")
     least = named.groupBy("label").agg(F.min("low").alias("class_id"))
-    of_node = materialize(named.join(least, "label").select("node", "class_id"), "classes")
-    return sketches.select("doc_id", "node").join(of_node, "node").select("doc_id", "class_id", "node")
+    of_node = materialize(named.join(least, "label").select("node", "label", "class_id"), "classes")
+    return sketches.select("doc_id", "node").join(of_node, "node").select("doc_id", "class_id", "node", "label")
+
+
+def survivors(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with one row of each class: that of the smallest doc_id."""
+    found = classes(docs, threshold)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    kept = found.groupBy("label").agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.node").alias("kept_node"))
+    kept = materialize(kept, "kept")
+    marked = docs.withColumn("kept_node", F.md5(text_or_empty("text")))
+    # One row a class carries this pair, so rows that repeat it are copies of that row.
+    on = (marked["kept_node"] == kept["kept_node"]) & marked["doc_id"].eqNullSafe(kept["kept_id"])
+    return marked.join(kept, on, "left_semi").dropDuplicates(["kept_node"]).drop("kept_node")
 
 
 def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

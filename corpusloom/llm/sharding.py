@@ -127,6 +127,14 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS,
     return assign(slotted, frame)
 
 
+def placed(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS) -> DataFrame:
+    """docs with virtual_slot and shard; no shuffle of texts."""
+    slotted = with_slots(docs, n_slots)
+    loads = slot_loads(slotted)
+    frame = map_frame(docs.sparkSession, balance(loads, n_shards), loads, 1).select("virtual_slot", "shard")
+    return slotted.drop("size", "text_crc32").join(F.broadcast(frame), "virtual_slot").select(*docs.columns, "virtual_slot", "shard")
+
+
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(table(spark, sf_dir, "documents"), 8)
     return out.select(
