@@ -10,8 +10,8 @@ it passes the bag's largest slot value. Two bags agree in a slot with a probabil
 compared with its smallest member only; links are verified by the exact overlap of the bags. Components of the links are
 formed, and in buckets whose members are still in different components those outside the bucket's largest component, `LEADERS` a
 round, meet the members of all other components, until each bucket is settled. So no pair of a bucket goes untested unless its
-two texts already are in one class, there is no cap, and pairs inside a component are never emitted. Pairs whose whole signatures agree in fewer than `SURE` of the slots
-(6 standard deviations under 0.8) are not fetched for the exact comparison.
+two texts already are in one class, there is no cap, and pairs inside a component are never emitted. A bit of each slot, `SKETCH` in all, goes along: pairs
+whose bits differ in more places than those of a pair at the threshold do by 6 standard deviations are dropped inside the join.
 
 Equal texts are one node of all this, by their MD5. Texts are shuffled only for the pairs to verify.
 
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table, text_or_empty
@@ -36,7 +36,9 @@ from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 36, 7
-SURE, LEADERS = 0.65, 64
+LEADERS = 64
+SLOTS = BANDS * ROWS
+SKETCH = [f"s{i}" for i in range(-(-SLOTS // 64))]
 WORD = re.compile(r"\w+")
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -133,7 +135,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, batch_docs: int = 512) -> DataFrame:
-    """(doc_id, node, bands, sketch): a row a document; bands and sketch (a byte a slot) once for equal texts of a batch, and null for texts without words."""
+    """(doc_id, node, bands, sketch): a row a document; bands and sketch (a bit a slot) once for equal texts of a batch, and null for texts without words."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
@@ -146,26 +148,22 @@ def sketched(docs: DataFrame, batch_docs: int = 512) -> DataFrame:
                 band, byte = [None] * len(part), [None] * len(part)
                 if use:
                     sig = signatures([bags[i] for i in use])
-                    small = (mix(sig.view(np.uint64)) & np.uint64(255)).astype(np.uint8)
-                    for i, b, s in zip(use, bands(sig), small, strict=True):
-                        band[i], byte[i] = b, s.tobytes()
+                    one = np.zeros((len(use), 64 * len(SKETCH)), np.uint8)
+                    one[:, :SLOTS] = (mix(sig.view(np.uint64)) & np.uint64(1)).astype(np.uint8)
+                    for i, b, s in zip(use, bands(sig), np.packbits(one, axis=1).view(np.int64), strict=True):
+                        band[i], byte[i] = b, s
                 yield pd.DataFrame({"doc_id": part["doc_id"], "node": part["node"], "bands": band, "sketch": byte})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = text_or_empty("text")
-    return docs.select("doc_id", F.md5(text).alias("node"), text.alias("text")).mapInPandas(sketch, f"doc_id {kind}, node string, bands array<long>, sketch binary")
+    return docs.select("doc_id", F.md5(text).alias("node"), text.alias("text")).mapInPandas(sketch, f"doc_id {kind}, node string, bands array<long>, sketch array<long>")
 
 
-def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in SURE of the slots or more."""
-    a, b = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
-
-    def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = [bool((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).mean() >= SURE) for x, y in zip(batch["sa"], batch["sb"], strict=True)]
-            yield batch.loc[np.array(keep, bool), ["a", "b"]]
-
-    return pairs.join(a, "a").join(b, "b").mapInPandas(agree, "a string, b string")
+def near(a: str, b: str, threshold: float) -> Column:
+    """Whether the sketches of two aliased tables are near enough: a bit differs with probability (1 - similarity) / 2."""
+    p = (1 - threshold) / 2
+    far = SLOTS * p + 6 * (SLOTS * p * (1 - p)) ** 0.5
+    return sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH), F.lit(0)) <= far
 
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -195,14 +193,17 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, node, label): one row a document; label names the class by its smallest node. Documents of a class are linked by texts of similarity threshold or more."""
     sketches = materialize(sketched(docs), "sketches")
-    nodes = materialize(sketches.where("bands is not null").select("node", "bands", "sketch").dropDuplicates(["node"]), "nodes")
+    nodes = sketches.where("bands is not null").select("node", "bands", *[F.col("sketch")[i].alias(c) for i, c in enumerate(SKETCH)])
+    nodes = materialize(nodes.dropDuplicates(["node"]), "nodes")
+    bits = nodes.select("node", *SKETCH)
     members = nodes.select("node", F.posexplode("bands").alias("band", "hash"))
     shared = members.groupBy("band", "hash").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1")
     open_ = materialize(members.join(shared.select("band", "hash", "center"), ["band", "hash"]), "buckets")
     # First each node with the centre that most of its buckets share.
     votes = open_.where("node <> center").groupBy("center", "node").agg(F.count(F.lit(1)).alias("n"))
     first = votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "center")).alias("best")).select(F.col("best.center").alias("a"), F.col("node").alias("b"))  # the centre is the smaller
-    pairs = materialize(likely(first, nodes), "pairs")
+    joined = first.join(bits.alias("x"), F.col("a") == F.col("x.node")).join(bits.alias("y"), (F.col("b") == F.col("y.node")) & near("x", "y", threshold))
+    pairs = materialize(joined.select("a", "b"), "pairs")
     links = verified(pairs, docs, threshold)
     tested = pairs
     labels = components(links)
@@ -216,17 +217,19 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             break
         # Every pair between components has a member outside the largest one: up to LEADERS of those a bucket and round meet all others.
         order = F.row_number().over(Window.partitionBy("band", "hash").orderBy("node"))
-        leaders = left.where("label <> major").withColumn("rank", order).where(F.col("rank") <= LEADERS).select("band", "hash", F.col("node").alias("leader"), F.col("label").alias("own"))
+        leaders = left.where("label <> major").withColumn("rank", order).where(F.col("rank") <= LEADERS).select("band", "hash", "node", "label")
         leaders = materialize(leaders, "leaders")
-        met = left.join(leaders, ["band", "hash"]).where("label <> own").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-        more = materialize(likely(met.join(tested, ["a", "b"], "left_anti"), nodes), "pairs")
+        x, y = left.join(bits, "node").alias("x"), leaders.join(bits, "node").alias("y")
+        on = (F.col("x.band") == F.col("y.band")) & (F.col("x.hash") == F.col("y.hash")) & (F.col("x.label") != F.col("y.label")) & near("x", "y", threshold)
+        met = x.join(y, on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        more = materialize(met.join(tested, ["a", "b"], "left_anti"), "pairs")
         if more.limit(1).count():
             new = verified(more, docs, threshold)
             tested = tested.unionByName(more)
             if new.limit(1).count():
                 links = links.unionByName(new)
                 labels = components(links)
-        left = left.join(leaders.withColumnRenamed("leader", "node"), ["band", "hash", "node"], "left_anti").select("band", "hash", "node")
+        left = left.join(leaders, ["band", "hash", "node"], "left_anti").select("band", "hash", "node")
     ids = sketches.groupBy("node").agg(F.min("doc_id").alias("low"))
     named = materialize(ids.join(labels, "node", "left").select("node", "low", F.coalesce("label", "node").alias("label")), "named")
     least = named.groupBy("label").agg(F.min("low").alias("class_id"))
