@@ -65,7 +65,7 @@ def tier_factors(evidence: DataFrame, least: int = 3) -> DataFrame:
     """(category, weight, factor): clamped mean precision of the tier's keywords with `least` hits; 1 without any."""
     some = evidence.where(F.col("total") >= least).groupBy("category", "weight").agg(F.avg("precision").alias("mean"))
     every = evidence.select("category", "weight").distinct()
-    return every.join(some, ["category", "weight"], "left").select("category", "weight", F.coalesce(F.greatest(F.lit(0.3), F.least(F.lit(1.5), 0.5 + F.col("mean"))), F.lit(1.0)).alias("factor"))
+    return every.join(some, ["category", "weight"], "left").select("category", "weight", F.when(F.col("mean").isNull(), 1.0).otherwise(F.greatest(F.lit(0.3), F.least(F.lit(1.5), 0.5 + F.col("mean")))).alias("factor"))
 
 
 def reweighted(evidence: DataFrame, least: int = 3) -> DataFrame:

@@ -191,7 +191,7 @@ def precision_summary(spark, sf):
     return evidence(spark, sf).groupBy("category").agg(r(F.avg("precision"), "mean"), r(F.median("precision"), "median"), r(F.min("precision"), "low"), r(F.max("precision"), "high"))
 
 
-TIERS = "t AS (SELECT category, weight, coalesce(greatest(0.3, least(1.5, 0.5 + avg(precision) FILTER (total >= 3))), 1.0) AS factor FROM p GROUP BY ALL)"
+TIERS = "t AS (SELECT category, weight, CASE WHEN count(*) FILTER (total >= 3) = 0 THEN 1.0 ELSE greatest(0.3, least(1.5, 0.5 + avg(precision) FILTER (total >= 3))) END AS factor FROM p GROUP BY ALL)"
 
 
 @query("tier_adjustment", f"WITH {EVIDENCE}, {TIERS} SELECT category, weight, round(factor, 4)::DOUBLE AS factor FROM t")
