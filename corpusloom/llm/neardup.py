@@ -6,12 +6,14 @@ it is wide, whose points carry a signature slot and, inside the interval, a leve
 its count, so a shingle of count c costs about log2(c) processes; points are drawn in ascending order and a process stops when
 it passes the bag's largest slot value. Two bags agree in a slot with a probability equal to their weighted Jaccard similarity.
 
-`BANDS` bands of `ROWS` slots give buckets (at a similarity of 0.8 two bags share none with probability 2e-4). A bucket's members are
-compared with its smallest member only; links are verified by the exact overlap of the bags. Components of the links are
-formed, and in buckets whose members are still in different components those outside the bucket's largest component, `LEADERS` a
-round, meet the members of all other components, until each bucket is settled. So no pair of a bucket goes untested unless its
-two texts already are in one class, there is no cap, and pairs inside a component are never emitted. A bit of each slot, `SKETCH` in all, goes along: pairs
-whose bits differ in more places than those of a pair at the threshold do by 6 standard deviations are dropped inside the join.
+`BANDS` bands of `ROWS` slots give buckets (at a similarity of 0.8 two bags share none with probability 2e-4). A text is first compared
+with the centre that most of its buckets share; a bucket's centre is the member that meets most others, so in a family of copies
+it is the one that they were made from. Links are verified by the exact overlap of the bags, components are formed, and in
+buckets whose members are still in different components those outside the bucket's largest component, `LEADERS` a round, meet
+the members of all other components, until each bucket is settled. So no pair of a bucket goes untested unless its two texts
+already are in one class, there is no cap, and pairs inside a component are never emitted. Four bits of each slot go along: pairs that
+differ in more slots than those at the threshold do by 4 standard deviations (3 in 100,000 at exactly 0.8) are dropped inside the
+join, and a pair that shares several buckets is met in the first of them only.
 
 Equal texts are one node of all this, by their MD5. Texts are shuffled only for the pairs to verify.
 
@@ -38,7 +40,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 36, 7
 LEADERS = 64
 SLOTS = BANDS * ROWS
-SKETCH = [f"s{i}" for i in range(-(-SLOTS // 64))]
+SKETCH = [f"s{i}" for i in range(-(-SLOTS // 16))]
+BROADCAST_NODES = 200_000
 WORD = re.compile(r"\w+")
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -135,7 +138,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, batch_docs: int = 512) -> DataFrame:
-    """(doc_id, node, bands, sketch): a row a document; bands and sketch (a bit a slot) once for equal texts of a batch, and null for texts without words."""
+    """(doc_id, node, bands, sketch): a row a document; bands and sketch (four bits a slot) once for equal texts of a batch, and null for texts without words."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
@@ -148,9 +151,10 @@ def sketched(docs: DataFrame, batch_docs: int = 512) -> DataFrame:
                 band, byte = [None] * len(part), [None] * len(part)
                 if use:
                     sig = signatures([bags[i] for i in use])
-                    one = np.zeros((len(use), 64 * len(SKETCH)), np.uint8)
-                    one[:, :SLOTS] = (mix(sig.view(np.uint64)) & np.uint64(1)).astype(np.uint8)
-                    for i, b, s in zip(use, bands(sig), np.packbits(one, axis=1).view(np.int64), strict=True):
+                    four = np.zeros((len(use), 16 * len(SKETCH)), np.uint64)
+                    four[:, :SLOTS] = mix(sig.view(np.uint64)) & np.uint64(15)
+                    packed = (four.reshape(len(use), -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
+                    for i, b, s in zip(use, bands(sig), packed, strict=True):
                         band[i], byte[i] = b, s
                 yield pd.DataFrame({"doc_id": part["doc_id"], "node": part["node"], "bands": band, "sketch": byte})
 
@@ -160,83 +164,106 @@ def sketched(docs: DataFrame, batch_docs: int = 512) -> DataFrame:
 
 
 def near(a: str, b: str, threshold: float) -> Column:
-    """Whether the sketches of two aliased tables are near enough: a bit differs with probability (1 - similarity) / 2."""
-    p = (1 - threshold) / 2
-    far = SLOTS * p + 6 * (SLOTS * p * (1 - p)) ** 0.5
-    return sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH), F.lit(0)) <= far
-
-
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) of nodes whose bags are as similar as threshold, with the similarity."""
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    """Whether the sketches of two aliased tables are near enough: a slot differs with probability (1 - similarity) * 15 / 16."""
+    p = (1 - threshold) * 15 / 16
+    far = SLOTS * p + 4 * (SLOTS * p * (1 - p)) ** 0.5
+    out = F.lit(0)
+    for s in SKETCH:
+        x = F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        out = out + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return out <= far
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) of nids whose bags are as similar as threshold, with the similarity."""
+    needed = pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct()
+    needed = materialize(nodes.select("nid", "node").join(needed, "nid", "left_semi"), "needed")
+    # Few nodes go to where the texts are; many meet them by a shuffle.
+    small = F.broadcast(needed) if needed.count() <= BROADCAST_NODES else needed
     text = text_or_empty("text")
-    texts = materialize(docs.select(F.md5(text).alias("node"), text.alias("text")).join(needed, "node", "left_semi").dropDuplicates(["node"]), "texts")
-    a, b = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    texts = docs.select(F.md5(text).alias("node"), text.alias("text")).join(small, "node").dropDuplicates(["nid"])
+    texts = materialize(texts.select("nid", "text"), "texts")
+    a, b = texts.select(F.col("nid").alias("a"), F.col("text").alias("ta")), texts.select(F.col("nid").alias("b"), F.col("text").alias("tb"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
-        held: dict[str, tuple] = {}
+        held: dict[int, tuple] = {}
+
+        def bag(i: int, t: str) -> tuple:
+            if i not in held:
+                if len(held) > 2048:
+                    held.clear()
+                held[i] = hasher.bag(t)
+            return held[i]
+
         for batch in batches:
-            out = []
-            for x, y, tx, ty in zip(batch["a"], batch["b"], batch["ta"], batch["tb"], strict=True):
-                if x not in held:
-                    if len(held) > 256:
-                        held.clear()
-                    held[x] = hasher.bag(tx)
-                out.append(similarity(held[x], hasher.bag(ty)))
+            out = [similarity(bag(x, tx), bag(y, ty)) for x, y, tx, ty in zip(batch["a"], batch["b"], batch["ta"], batch["tb"], strict=True)]
             yield batch[["a", "b"]].assign(similarity=out)
 
     joined = pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
-    return materialize(joined.mapInPandas(compare, "a string, b string, similarity double").where(F.col("similarity") >= threshold), "links")
+    return materialize(joined.mapInPandas(compare, "a long, b long, similarity double").where(F.col("similarity") >= threshold), "links")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id, node, label): one row a document; label names the class by its smallest node. Documents of a class are linked by texts of similarity threshold or more."""
+    """(doc_id, class_id, node, label): one row a document; label names the class by a number. Documents of a class are linked by texts of similarity threshold or more."""
     sketches = materialize(sketched(docs), "sketches")
     nodes = sketches.where("bands is not null").select("node", "bands", *[F.col("sketch")[i].alias(c) for i, c in enumerate(SKETCH)])
-    nodes = materialize(nodes.dropDuplicates(["node"]), "nodes")
-    bits = nodes.select("node", *SKETCH)
-    members = nodes.select("node", F.posexplode("bands").alias("band", "hash"))
-    shared = members.groupBy("band", "hash").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    open_ = materialize(members.join(shared.select("band", "hash", "center"), ["band", "hash"]), "buckets")
-    # First each node with the centre that most of its buckets share.
-    votes = open_.where("node <> center").groupBy("center", "node").agg(F.count(F.lit(1)).alias("n"))
-    first = votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "center")).alias("best")).select(F.col("best.center").alias("a"), F.col("node").alias("b"))  # the centre is the smaller
-    joined = first.join(bits.alias("x"), F.col("a") == F.col("x.node")).join(bits.alias("y"), (F.col("b") == F.col("y.node")) & near("x", "y", threshold))
+    nodes = materialize(nodes.dropDuplicates(["node"]).withColumn("nid", F.monotonically_increasing_id()), "nodes")
+    bits = nodes.select("nid", "bands", *SKETCH)
+    members = nodes.select("nid", F.explode("bands").alias("hash"))
+    shared = members.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    open_ = materialize(members.join(shared, "hash"), "buckets")
+    mass = open_.groupBy("nid").agg(F.sum("n").alias("mass"))
+    centers = open_.join(mass, "nid").groupBy("hash").agg(F.max(F.struct("mass", "nid")).alias("top")).select("hash", F.col("top.nid").alias("center"), F.col("top.mass").alias("mass"))
+    votes = open_.join(centers, "hash").where("nid <> center").groupBy("center", "nid").agg(F.count(F.lit(1)).alias("n"), F.max("mass").alias("mass"))
+    best = votes.groupBy("nid").agg(F.max(F.struct("n", "mass", "center")).alias("best")).select(F.least("best.center", "nid").alias("a"), F.greatest("best.center", "nid").alias("b"))
+    sketch_only = nodes.select("nid", *SKETCH)
+    joined = best.distinct().join(sketch_only.alias("x"), F.col("a") == F.col("x.nid")).join(sketch_only.alias("y"), (F.col("b") == F.col("y.nid")) & near("x", "y", threshold))
     pairs = materialize(joined.select("a", "b"), "pairs")
-    links = verified(pairs, docs, threshold)
+    links = verified(pairs, nodes, docs, threshold)
     tested = pairs
     labels = components(links)
-    left = open_
+    left = open_.select("hash", "nid")
     while True:
-        named = left.join(labels, "node", "left").select("band", "hash", "node", F.coalesce("label", "node").alias("label"))
-        per = named.groupBy("band", "hash", "label").agg(F.count(F.lit(1)).alias("n"))
-        mixed = per.groupBy("band", "hash").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-        left = materialize(named.join(mixed.select("band", "hash", F.col("top.label").alias("major")), ["band", "hash"]), "mixed")
+        named = left.join(labels.select(F.col("node").alias("nid"), "label"), "nid", "left").select("hash", "nid", F.coalesce("label", "nid").alias("label"))
+        per = named.groupBy("hash", "label").agg(F.count(F.lit(1)).alias("n"))
+        mixed = per.groupBy("hash").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+        left = materialize(named.join(mixed.select("hash", F.col("top.label").alias("major")), "hash"), "mixed")
         if not left.limit(1).count():
             break
         # Every pair between components has a member outside the largest one: up to LEADERS of those a bucket and round meet all others.
-        order = F.row_number().over(Window.partitionBy("band", "hash").orderBy("node"))
-        leaders = left.where("label <> major").withColumn("rank", order).where(F.col("rank") <= LEADERS).select("band", "hash", "node", "label")
+        order = F.row_number().over(Window.partitionBy("hash").orderBy("nid"))
+        leaders = left.where("label <> major").withColumn("rank", order).where(F.col("rank") <= LEADERS).select("hash", "nid", "label")
         leaders = materialize(leaders, "leaders")
-        x, y = left.join(bits, "node").alias("x"), leaders.join(bits, "node").alias("y")
-        on = (F.col("x.band") == F.col("y.band")) & (F.col("x.hash") == F.col("y.hash")) & (F.col("x.label") != F.col("y.label")) & near("x", "y", threshold)
-        met = x.join(y, on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        x, y = left.join(bits, "nid").alias("x"), leaders.join(bits, "nid").alias("y")
+        first = F.try_element_at(F.filter(F.zip_with("x.bands", "y.bands", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull()), F.lit(1)) == F.col("x.hash")
+        on = (F.col("x.hash") == F.col("y.hash")) & (F.col("x.label") != F.col("y.label")) & near("x", "y", threshold) & first
+        met = x.join(y, on).select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
         more = materialize(met.join(tested, ["a", "b"], "left_anti"), "pairs")
         if more.limit(1).count():
-            new = verified(more, docs, threshold)
+            new = verified(more, nodes, docs, threshold)
             tested = tested.unionByName(more)
             if new.limit(1).count():
                 links = links.unionByName(new)
                 labels = components(links)
-        left = left.join(leaders, ["band", "hash", "node"], "left_anti").select("band", "hash", "node")
-    ids = sketches.groupBy("node").agg(F.min("doc_id").alias("low"))
-    named = materialize(ids.join(labels, "node", "left").select("node", "low", F.coalesce("label", "node").alias("label")), "named")
+        left = left.join(leaders, ["hash", "nid"], "left_anti").select("hash", "nid")
+        spark_gc(docs)
+    ids = sketches.groupBy("node").agg(F.min("doc_id").alias("low")).join(nodes.select("node", "nid"), "node", "left")
+    # A text without words has no nid; it is a class of its own, numbered below zero.
+    ids = materialize(ids.withColumn("nid", F.coalesce("nid", -1 - F.monotonically_increasing_id())), "ids")
+    named = materialize(ids.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("node", "low", F.coalesce("label", "nid").alias("label")), "named")
     least = named.groupBy("label").agg(F.min("low").alias("class_id"))
     of_node = materialize(named.join(least, "label").select("node", "label", "class_id"), "classes")
     return sketches.select("doc_id", "node").join(of_node, "node").select("doc_id", "class_id", "node", "label")
 
 
+def spark_gc(df: DataFrame) -> None:
+    """Let Spark drop shuffle files that no table needs any more; it does so when the driver collects its garbage."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def survivors(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each class: that of the smallest doc_id."""
     found = classes(docs, threshold)
