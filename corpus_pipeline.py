@@ -16,7 +16,7 @@ from corpusloom.llm.common import materialize, table, text_or_empty
 def keep_ordinary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the compression classifier, trained on this input's labelled rows, does not call toxic."""
     model = toxicity.train(*toxicity.sample(docs, table(spark, sf_dir, "labels")))
-    return toxicity.scored(docs, model, docs.columns).where("score < 0.5").drop("score")
+    return toxicity.scored(docs, model, docs.columns, "_toxicity").where("_toxicity < 0.5").drop("_toxicity")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +26,10 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text holds no benchmark item. Whether it does depends on the text alone, so texts are its keys."""
-    keyed = docs.withColumn("text_key", F.md5(text_or_empty("text")))
-    found = decontaminate.contaminated(keyed.select(F.col("text_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    leaks = materialize(found.select(F.col("doc_id").alias("text_key")).distinct(), "leaks")
-    return keyed.join(leaks, "text_key", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("_text_key", F.md5(text_or_empty("text")))
+    found = decontaminate.contaminated(keyed.select(F.col("_text_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    leaks = materialize(found.select(F.col("doc_id").alias("_text_key")).distinct(), "leaks")
+    return keyed.join(leaks, "_text_key", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -268,12 +268,12 @@ def survivors(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each class: that of the smallest doc_id."""
     found = classes(docs, threshold)
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
-    kept = found.groupBy("label").agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.node").alias("kept_node"))
+    kept = found.groupBy("label").agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("_kept_id"), F.col("k.node").alias("_kept_node"))
     kept = materialize(kept, "kept")
-    marked = docs.withColumn("kept_node", F.md5(text_or_empty("text")))
+    marked = docs.withColumn("_kept_node", F.md5(text_or_empty("text")))
     # One row a class carries this pair, so rows that repeat it are copies of that row.
-    on = (marked["kept_node"] == kept["kept_node"]) & marked["doc_id"].eqNullSafe(kept["kept_id"])
-    return marked.join(kept, on, "left_semi").dropDuplicates(["kept_node"]).drop("kept_node")
+    on = (marked["_kept_node"] == kept["_kept_node"]) & marked["doc_id"].eqNullSafe(kept["_kept_id"])
+    return marked.join(kept, on, "left_semi").dropDuplicates(["_kept_node"]).drop("_kept_node")
 
 
 def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table, text_or_empty
@@ -25,14 +25,20 @@ N_SLOTS = 4096
 MAP_SCHEMA = "version int, virtual_slot int, shard int, slot_bytes long, slot_rows long"
 
 
-def with_slots(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
-    """Add size, text_crc32 and virtual_slot. The slot depends on doc_id and the text's checksum only, never on shards."""
+def slot_columns(n_slots: int = N_SLOTS) -> dict[str, Column]:
+    """size, text_crc32 and virtual_slot. The slot depends on doc_id and the text's checksum only, never on shards."""
     text = text_or_empty("text")
-    return (
-        docs.withColumn("size", F.octet_length(text).cast("long") + F.lit(1))
-        .withColumn("text_crc32", F.crc32(F.encode(text, "UTF-8")))
-        .withColumn("virtual_slot", F.pmod(F.xxhash64(F.col("doc_id"), F.col("text_crc32")), F.lit(n_slots)).cast("int"))
-    )
+    crc = F.crc32(F.encode(text, "UTF-8"))
+    return {
+        "size": F.octet_length(text).cast("long") + F.lit(1),
+        "text_crc32": crc,
+        "virtual_slot": F.pmod(F.xxhash64(F.col("doc_id"), crc), F.lit(n_slots)).cast("int"),
+    }
+
+
+def with_slots(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
+    """(doc_id, size, text_crc32, virtual_slot)."""
+    return docs.select("doc_id", *[c.alias(k) for k, c in slot_columns(n_slots).items()])
 
 
 def slot_loads(slotted: DataFrame) -> list[tuple[int, int, int]]:
@@ -119,7 +125,7 @@ def assign(slotted: DataFrame, frame: DataFrame) -> DataFrame:
 def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
     """Rows of docs (doc_id, size, text_crc32, virtual_slot) with shard and slot; the map goes to map_path as version 1 if given."""
     spark = docs.sparkSession
-    slotted = materialize(with_slots(docs.select("doc_id", "text"), n_slots).drop("text"), "slots")
+    slotted = materialize(with_slots(docs, n_slots), "slots")
     loads = slot_loads(slotted)
     frame = map_frame(spark, balance(loads, n_shards), loads, 1)
     if map_path:
@@ -128,11 +134,11 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS,
 
 
 def placed(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS) -> DataFrame:
-    """docs with virtual_slot and shard; no shuffle of texts."""
-    slotted = with_slots(docs, n_slots)
-    loads = slot_loads(slotted)
+    """docs with virtual_slot and shard (columns of these names are replaced); no shuffle of texts."""
+    loads = slot_loads(with_slots(docs, n_slots))
     frame = map_frame(docs.sparkSession, balance(loads, n_shards), loads, 1).select("virtual_slot", "shard")
-    return slotted.drop("size", "text_crc32").join(F.broadcast(frame), "virtual_slot").select(*docs.columns, "virtual_slot", "shard")
+    kept = [c for c in docs.columns if c not in frame.columns]
+    return docs.select(*kept, slot_columns(n_slots)["virtual_slot"].alias("virtual_slot")).join(F.broadcast(frame), "virtual_slot").select(*kept, "virtual_slot", "shard")
 
 
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ on the input texts and never cross documents.
    smallest doc_id of its documents.
 4. The strings that a smaller doc_id has come back as intervals of each text, and the bytes they cover are removed.
 
-Shards are numbered by hash, as many as there are shuffle partitions: they grow in number, not in size. Rows between steps are
+Shards are numbered by hash, as many as there are shuffle partitions or `FINE` times as many: they grow in number, not in size. Rows between steps are
 packed arrays. Texts are shuffled once, into a table bucketed by their MD5 that later steps read without a shuffle.
 
 Edge cases: null is the empty text; a document without doc_id counts as larger than all others; rows with one doc_id do not
@@ -37,6 +37,7 @@ from .common import materialize, shuffle_partitions, table, text_or_empty
 from .suffixsort import neighbours_match, suffix_order
 
 LENGTH, GRAM = 50, 24
+FINE = 8  # shards of stretches for each shard of keys; a task sorts its shards one after the other
 LAST = (1 << 63) - 1
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -215,8 +216,8 @@ def repeated(rows: DataFrame, shards: int, length: int) -> DataFrame:
             offset = np.r_[0, np.cumsum(sizes)]
             strings = sizes - (length - 1)
             valid = np.ones(len(text), bool)
-            tail = (offset[1:, None] - np.arange(1, length)[None, :]).ravel()
-            valid[tail] = False
+            for back in range(1, length):
+                valid[offset[1:] - back] = False
             with tempfile.TemporaryDirectory() as folder:
                 order = suffix_order(text, length, folder=folder)
             order = order[valid[order]]
@@ -275,7 +276,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     try:
         texts = spark.table(name)
         keys = materialize(shared_keys(key_rows(texts, shards, length), shards), "keys")
-        stretches = stretch_rows(texts, keys, shards, length)
+        stretches = stretch_rows(texts, keys, FINE * shards, length)
         spans = materialize(repeated(stretches, shards, length), "spans")
 
         def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -55,15 +55,15 @@ class Queue:
         self.parts = []
         if self.file is not None:
             self.file.seek(0)
-            out = [np.fromfile(self.file, np.int64)]
+            out = [np.fromfile(self.file, self.pool.kind)]
             self.file.close()
             self.file = None
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+        return np.concatenate(out) if out else np.zeros(0, self.pool.kind)
 
 
 class Pool:
-    def __init__(self, memory: int, folder: str | None = None):
-        self.memory, self.folder, self.used = memory, folder, 0
+    def __init__(self, memory: int, folder: str | None = None, kind=np.int64):
+        self.memory, self.folder, self.kind, self.used = memory, folder, kind, 0
 
     def queues(self, n: int) -> list[Queue]:
         return [Queue(self) for _ in range(n)]
@@ -118,9 +118,9 @@ def suffix_order(text: np.ndarray, depth: int, memory: int = 256 << 20, folder:
     if n == 0:
         return np.zeros(0, np.int64)
     s_type = types(text)
-    lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
-    pool = Pool(memory, folder)
-    byte = text.astype(np.int64)
+    kind = np.int32 if n < 1 << 31 else np.int64
+    lms = (np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1).astype(kind)
+    pool = Pool(memory, folder, kind)
     order = lms[np.argsort(rank_lms(text, s_type, lms, depth), kind="stable")] if len(lms) else lms
 
     def spread(queues: list[Queue], at: np.ndarray) -> None:
@@ -135,7 +135,7 @@ def suffix_order(text: np.ndarray, depth: int, memory: int = 256 << 20, folder:
     left, stars = pool.queues(256), pool.queues(256)
     spread(stars, order)
     if not s_type[n - 1]:
-        left[int(byte[n - 1])].push(np.array([n - 1]))
+        left[int(text[n - 1])].push(np.array([n - 1], kind))
     l_sorted: list[Queue] = pool.queues(256)
     for c in range(256):
         while len(at := left[c].pop()):

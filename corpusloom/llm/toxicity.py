@@ -179,16 +179,16 @@ def train(rows: list[tuple[int, str]], prior: float) -> Model:
     return best
 
 
-def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs, and score."""
+def scored(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns `keep` of docs, and the score under a name that is none of theirs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add("score", "double")
+    schema = docs.select(*keep).schema.add(name, "double")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tools = shared.value.compressors()
         for batch in batches:
             values = shared.value.score([Model.features(t or "", tools) for t in batch["text"]]) if len(batch) else []
-            yield batch[keep].assign(score=values)
+            yield batch[keep].assign(**{name: values})
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(score, schema)
 
