@@ -9,8 +9,9 @@ it passes the bag's largest slot value. Two bags agree in a slot with a probabil
 `BANDS` bands of `ROWS` slots give buckets (at a similarity of 0.8 two bags share none with probability 2e-4). A text is first compared
 with the centre that most of its buckets share; a bucket's centre is the member that meets most others, so in a family of copies
 it is the one that they were made from. Links are verified by the exact overlap of the bags, components are formed, and in
-buckets whose members are still in different components those outside the bucket's largest component, `LEADERS` a round, meet
-the members of all other components, until each bucket is settled. So no pair of a bucket goes untested unless its two texts
+buckets whose members are still in different components those outside the bucket's largest component meet the members of all
+other components, until each bucket is settled: a few a round at first, those that meet most others before the rest, so that
+most are in the large component before their turn comes. So no pair of a bucket goes untested unless its two texts
 already are in one class, there is no cap, and pairs inside a component are never emitted. Four bits of each slot go along: pairs that
 differ in more slots than those at the threshold do by 4 standard deviations (3 in 100,000 at exactly 0.8) are dropped inside the
 join, and a pair that shares several buckets is met in the first of them only.
@@ -38,7 +39,7 @@ from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 36, 7
-LEADERS = 64
+LEADERS = 4  # of a bucket in the first round; four times as many in each next one
 SLOTS = BANDS * ROWS
 SKETCH = [f"s{i}" for i in range(-(-SLOTS // 16))]
 BROADCAST_NODES = 200_000
@@ -215,7 +216,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = nodes.select("nid", F.explode("bands").alias("hash"))
     shared = members.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     open_ = materialize(members.join(shared, "hash"), "buckets")
-    mass = open_.groupBy("nid").agg(F.sum("n").alias("mass"))
+    mass = materialize(open_.groupBy("nid").agg(F.sum("n").alias("mass")), "mass")
     centers = open_.join(mass, "nid").groupBy("hash").agg(F.max(F.struct("mass", "nid")).alias("top")).select("hash", F.col("top.nid").alias("center"), F.col("top.mass").alias("mass"))
     votes = open_.join(centers, "hash").where("nid <> center").groupBy("center", "nid").agg(F.count(F.lit(1)).alias("n"), F.max("mass").alias("mass"))
     best = votes.groupBy("nid").agg(F.max(F.struct("n", "mass", "center")).alias("best")).select(F.least("best.center", "nid").alias("a"), F.greatest("best.center", "nid").alias("b"))
@@ -225,17 +226,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = verified(pairs, nodes, docs, threshold)
     tested = pairs
     labels = components(links)
-    left = open_.select("hash", "nid")
+    left, most = open_.select("hash", "nid").join(mass, "nid"), LEADERS
     while True:
-        named = left.join(labels.select(F.col("node").alias("nid"), "label"), "nid", "left").select("hash", "nid", F.coalesce("label", "nid").alias("label"))
+        named = left.join(labels.select(F.col("node").alias("nid"), "label"), "nid", "left").select("hash", "nid", "mass", F.coalesce("label", "nid").alias("label"))
         per = named.groupBy("hash", "label").agg(F.count(F.lit(1)).alias("n"))
         mixed = per.groupBy("hash").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
         left = materialize(named.join(mixed.select("hash", F.col("top.label").alias("major")), "hash"), "mixed")
         if not left.limit(1).count():
             break
-        # Every pair between components has a member outside the largest one: up to LEADERS of those a bucket and round meet all others.
-        order = F.row_number().over(Window.partitionBy("hash").orderBy("nid"))
-        leaders = left.where("label <> major").withColumn("rank", order).where(F.col("rank") <= LEADERS).select("hash", "nid", "label")
+        # Every pair between components has a member outside the largest one; up to `most` of those a bucket meet all others now.
+        order = F.row_number().over(Window.partitionBy("hash").orderBy(F.desc("mass"), "nid"))
+        leaders = left.where("label <> major").withColumn("rank", order).where(F.col("rank") <= most).select("hash", "nid", "label")
         leaders = materialize(leaders, "leaders")
         x, y = left.join(bits, "nid").alias("x"), leaders.join(bits, "nid").alias("y")
         first = F.try_element_at(F.filter(F.zip_with("x.bands", "y.bands", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull()), F.lit(1)) == F.col("x.hash")
@@ -248,7 +249,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             if new.limit(1).count():
                 links = links.unionByName(new)
                 labels = components(links)
-        left = left.join(leaders, ["hash", "nid"], "left_anti").select("hash", "nid")
+        left = left.join(leaders, ["hash", "nid"], "left_anti").select("hash", "nid", "mass")
+        most *= 4
         spark_gc(docs)
     ids = sketches.groupBy("node").agg(F.min("doc_id").alias("low")).join(nodes.select("node", "nid"), "node", "left")
     # A text without words has no nid; it is a class of its own, numbered below zero.
