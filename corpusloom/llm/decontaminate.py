@@ -32,6 +32,7 @@ from .common import materialize, table
 
 N, STRETCH, RARE, THRESHOLD = 4, 4, 1e-4, 0.5
 BLOCK_BYTES = 16 << 20
+CELLS = 1 << 20
 WORD = re.compile(r"\w+")
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -190,8 +191,15 @@ def score_pairs(jobs: list[tuple[int, int, np.ndarray]], items: Items) -> list[i
     which = [first.setdefault((i, w.tobytes()), k) for k, (_, i, w) in enumerate(jobs)]
     todo = sorted(set(which), key=lambda k: (len(items.tokens[jobs[k][1]]), len(jobs[k][2])))
     scores: dict[int, int] = {}
-    for a in range(0, len(todo), 256):
-        part = todo[a : a + 256]
+    a = 0
+    while a < len(todo):
+        part, widest = [], 0
+        while a < len(todo) and len(part) < 256:  # a batch of few cells, or one job
+            widest = max(widest, len(jobs[todo[a]][2]))
+            if part and widest * (len(part) + 1) > CELLS:
+                break
+            part.append(todo[a])
+            a += 1
         win = np.full((len(part), max(len(jobs[k][2]) for k in part)), -1, np.int64)
         item = np.full((len(part), max(len(items.tokens[jobs[k][1]]) for k in part)), -2, np.int64)
         for r, k in enumerate(part):

@@ -8,7 +8,8 @@ code-switched text are labelled apart; a document's language is the one with the
 Training: labelled documents carry one language each, so sequences are made by joining passages of different documents,
 which is what teaches the transitions to switch. Parameters are fitted by AdaGrad on the exact likelihood gradient.
 
-Bounds: at most about `MAX_DOCS` documents a language, chosen by a hash of doc_id, and `MAX_WORDS` words of each are learned from.
+Bounds: at most about `MAX_DOCS` documents a language and `MAX_TOTAL` in all, chosen by a hash of doc_id, and `MAX_WORDS` words of each
+from a passage of `MAX_CHARS` characters at a place that the same hash chooses are learned from.
 All documents are labelled, whole. Feature tables have a fixed size (`BITS`), so what is broadcast does too.
 
 All feature and dynamic-programming steps are array operations over a batch of documents: n-grams over one code-point stream,
@@ -32,7 +33,7 @@ from .common import table
 from .toxicity import fold
 
 BITS, LEXICON = 16, 5
-MAX_DOCS, MAX_WORDS = 800, 200
+MAX_DOCS, MAX_TOTAL, MAX_CHARS, MAX_WORDS = 800, 20_000, 4_000, 200
 SEQUENCES, LENGTH, EPOCHS, BATCH, RATE = 6_000, 40, 4, 200, 0.3
 CHARS, WORDS = 1 << 20, 1 << 21
 UNKNOWN = "und"
@@ -278,9 +279,13 @@ def sample(docs: DataFrame, most: int = MAX_DOCS) -> list[tuple[str, str]]:
     counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return []
+    most = min(most, max(1, MAX_TOTAL // len(counts)))
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, most / n))])
-    chosen = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
-    return sorted((r["lang"], r["text"]) for r in chosen.select("lang", "text").collect())
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    chosen = learn.where(draw < share[F.col("lang")] * 1_000_000)
+    begin = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - MAX_CHARS, F.lit(1))) + 1
+    passage = F.substring("text", begin, F.lit(MAX_CHARS))
+    return sorted((r["lang"], r["text"]) for r in chosen.select("lang", passage.alias("text")).collect())
 
 
 def labelled(docs: DataFrame, field: Field | None, runs: bool = False) -> DataFrame:
