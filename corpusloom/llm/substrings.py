@@ -71,7 +71,9 @@ class Keys:
             have *= 2
         if have < want:
             h = np.minimum(h[: len(h) - (want - have)], h[want - have :])
-        return h
+        # Smallest hashes crowd at the low end; spread them before shards are taken from their bits.
+        h = h * BASE
+        return h ^ (h >> np.uint64(31))
 
     def runs(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first string, end, key) of the maximal runs of strings with one key."""
@@ -82,6 +84,17 @@ class Keys:
         return first, np.r_[first[1:], len(keys)], keys[first]
 
 
+def parts(batches: Iterator[pd.DataFrame], most: int = 4 << 20) -> Iterator[pd.DataFrame]:
+    """The batches in parts of about `most` bytes of text."""
+    for batch in batches:
+        ends = np.cumsum([len(x) for x in batch["data"]])
+        at = 0
+        while at < len(batch):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.iloc[at:end].reset_index(drop=True)
+            at = end
+
+
 def pack(*arrays) -> bytes:
     return zstandard.compress(pickle.dumps(arrays, protocol=5), 1)
 
@@ -99,7 +112,7 @@ def key_rows(texts: DataFrame, shards: int, length: int) -> DataFrame:
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys = Keys(length)
-        for batch in batches:
+        for batch in parts(batches):
             found = [np.unique(keys.runs(np.frombuffer(t, np.uint8))[2]) for t in batch["data"]]
             if not found:
                 continue
@@ -159,7 +172,7 @@ def stretch_rows(texts: DataFrame, shared: DataFrame, shards: int, length: int)
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys = Keys(length)
         low48 = np.uint64((1 << 48) - 1)
-        for batch in batches:
+        for batch in parts(batches):
             stretch: dict[int, dict[bytes, int]] = {}
             where: dict[int, list] = {}
             for i, (data, sets) in enumerate(zip(batch["data"], batch["sets"], strict=True)):
