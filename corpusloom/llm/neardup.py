@@ -238,10 +238,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         order = F.row_number().over(Window.partitionBy("hash").orderBy(F.desc("mass"), "nid"))
         leaders = left.where("label <> major").withColumn("rank", order).where(F.col("rank") <= most).select("hash", "nid", "label")
         leaders = materialize(leaders, "leaders")
-        x, y = left.join(bits, "nid").alias("x"), leaders.join(bits, "nid").alias("y")
+        left = materialize(left.join(leaders.select("hash", "nid"), ["hash", "nid"], "left_anti"), "rest")
         first = F.try_element_at(F.filter(F.zip_with("x.bands", "y.bands", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull()), F.lit(1)) == F.col("x.hash")
         on = (F.col("x.hash") == F.col("y.hash")) & (F.col("x.label") != F.col("y.label")) & near("x", "y", threshold) & first
-        met = x.join(y, on).select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
+        pair = [F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")]
+        y = leaders.join(bits, "nid").alias("y")
+        others = left.join(bits, "nid").alias("x").join(y, on).select(*pair)
+        among = leaders.join(bits, "nid").alias("x").join(y, on & (F.col("x.nid") < F.col("y.nid"))).select(*pair)
+        met = others.unionByName(among)
         more = materialize(met.join(tested, ["a", "b"], "left_anti"), "pairs")
         if more.limit(1).count():
             new = verified(more, nodes, docs, threshold)
@@ -249,7 +253,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             if new.limit(1).count():
                 links = links.unionByName(new)
                 labels = components(links)
-        left = left.join(leaders, ["hash", "nid"], "left_anti").select("hash", "nid", "mass")
+        left = left.select("hash", "nid", "mass")
         most *= 4
         spark_gc(docs)
     ids = sketches.groupBy("node").agg(F.min("doc_id").alias("low")).join(nodes.select("node", "nid"), "node", "left")
