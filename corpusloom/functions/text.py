@@ -229,3 +229,13 @@ def softmax(scores: Column) -> Column:
     e = F.transform(scores, lambda x: F.exp(x - top))
     total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
     return F.transform(e, lambda x: x / total)
+
+
+def share_bar(share: Column, width: int = 40) -> Column:
+    """A share of one as a bar of #."""
+    return F.repeat(F.lit("#"), F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * width).cast("int"))
+
+
+def is_pdf_link(link: Column) -> Column:
+    """A link to a PDF: by suffix, by language suffix or by a download path."""
+    return F.lower(link).rlike(r"\.pdf(\?.*)?$|_en\.pdf|/download/")

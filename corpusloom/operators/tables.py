@@ -61,3 +61,13 @@ def children_text(parents: DataFrame, children: DataFrame, parent_key: str, chil
     parts = children.groupBy(child_key).agg(F.array_sort(F.collect_list(F.struct(*order, text))).alias("_c"))
     joined = parts.select(F.col(child_key).alias(parent_key), F.array_join(F.transform("_c", lambda c: c[text]), line).alias("merged"), F.size("_c").alias("n_children"))
     return parents.join(joined, parent_key, "left")
+
+
+def select_present(df: DataFrame, wanted: list[str]) -> DataFrame:
+    """The wanted columns that df has, in the wanted order."""
+    return df.select(*[c for c in wanted if c in df.columns])
+
+
+def within(points: DataFrame, intervals: DataFrame, key: str, at: str, low: str, high: str) -> DataFrame:
+    """Points with the intervals (low, high] of the same key that hold them: an equi-join with a range condition."""
+    return points.join(intervals, key).where((F.col(at) > F.col(low)) & (F.col(at) <= F.col(high)))

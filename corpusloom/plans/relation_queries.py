@@ -124,6 +124,18 @@ def band_join(spark, sf):
     return a.join(b, ["user_id", "bucket"]).where(F.abs(F.col("a_us") - F.col("b_us")) < width).select("error_id", "click_id")
 
 
+@query("interval_containment", "SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_shipdate > o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 60 DAY")
+def interval_containment(spark, sf):
+    points = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_shipdate")
+    spans = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), "o_orderdate", (F.col("o_orderdate") + F.expr("INTERVAL 60 DAY")).alias("until"))
+    return T.within(points, spans, "k", "l_shipdate", "o_orderdate", "until").select(F.col("k").alias("l_orderkey"), "l_linenumber")
+
+
+@query("present_columns", "SELECT doc_id, source FROM documents WHERE lang = 'de'")
+def present_columns(spark, sf):
+    return T.select_present(docs(spark, sf).where("lang = 'de'"), ["doc_id", "sample_id", "source", "human_stance"])
+
+
 @query("union_distinct_urls", "SELECT DISTINCT url FROM (SELECT url FROM pages WHERE page_id % 3 <> 0 UNION ALL SELECT url FROM pages WHERE page_id % 2 = 0)")
 def union_distinct_urls(spark, sf):
     p = table(spark, sf, "pages").select("page_id", "url")

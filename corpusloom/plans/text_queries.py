@@ -250,6 +250,32 @@ def softmax_confidence(spark, sf):
     return d.select("vec_id", F.round(F.array_max("p"), 4).alias("confidence"), (F.array_position("p", F.array_max("p")) - 1).alias("label"))
 
 
+@query(
+    "seed_hop",
+    """WITH l AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS link FROM pages),
+d AS (SELECT DISTINCT page_id, link FROM l WHERE lower(regexp_extract(link, '^[a-z]+://([^/?#]+)', 1)) = host),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY link) AS n FROM d) SELECT page_id, link FROM r WHERE n <= 3""",
+)
+def seed_hop(spark, sf):
+    """The first three internal links of every seed page, in order."""
+    found = table(spark, sf, "pages").select("page_id", "url", F.explode(T.links(F.col("html"))).alias("raw")).where(F.col("raw").startswith("/"))
+    found = found.select("page_id", T.url_host(F.col("url")).alias("host"), T.absolute(F.col("url"), F.col("raw")).alias("link"))
+    inside = found.where(T.url_host(F.col("link")) == F.col("host")).select("page_id", "link").distinct()
+    return tables.top_n(inside, ["page_id"], ["link"], 3)
+
+
+@query("pdf_links", "SELECT page_id, regexp_matches(lower(url || CASE WHEN page_id % 3 = 0 THEN '/a.PDF?x=1' WHEN page_id % 3 = 1 THEN '/download/7' ELSE '' END), '\\.pdf(\\?.*)?$|_en\\.pdf|/download/') AS is_pdf FROM pages")
+def pdf_links(spark, sf):
+    tail = F.when(F.col("page_id") % 3 == 0, "/a.PDF?x=1").when(F.col("page_id") % 3 == 1, "/download/7").otherwise("")
+    return table(spark, sf, "pages").select("page_id", T.is_pdf_link(F.concat("url", tail)).alias("is_pdf"))
+
+
+@query("share_bars", "WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1) SELECT lang, n, repeat('#', floor(n::DOUBLE / (SELECT sum(n) FROM n) * 40)::INT) AS bar FROM n")
+def share_bars(spark, sf):
+    n = docs(spark, sf).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(F.broadcast(n.agg(F.sum("n").alias("all")))).select("lang", "n", T.share_bar(F.col("n").cast("double") / F.col("all")).alias("bar"))
+
+
 @query("keyword_patterns", None)
 def keyword_patterns(spark, sf):
     """Documents by keyword form: the stem patterns of the fixture lexicon."""

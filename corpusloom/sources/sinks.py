@@ -64,3 +64,30 @@ def summary_json(df: DataFrame, dimensions: list[str]) -> DataFrame:
 def export_status(text: Column, score: Column, least_chars: int = 200, least_score: float = 0.3) -> Column:
     """The status ladder of an export."""
     return F.when(F.coalesce(score, F.lit(1.0)) < least_score, "invalid_low_score").when(text.isNull(), "missing").when(F.length(text) < least_chars, "too_short").otherwise("success")
+
+
+def save_batch(df: DataFrame, path: str, key: str, order: str) -> dict[str, int]:
+    """Append a batch and return how many rows came, and how many were written or skipped; counted in the write itself."""
+    from pyspark.sql import Observation
+
+    came = Observation("came")
+    before = _rows(df.sparkSession, path)
+    append_documents(df.observe(came, F.count(F.lit(1)).alias("n")), path, key, order)
+    written = _rows(df.sparkSession, path) - before
+    n = came.get["n"]
+    return {"came": n, "written": written, "skipped": n - written}
+
+
+def _rows(spark, path: str) -> int:
+    try:
+        return spark.read.parquet(path).count()
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return 0
+
+
+def report(title: str, rows: list[tuple[str, object]], rule: str = "=" * 60) -> str:
+    """A plain-text report of a few collected figures."""
+    width = max((len(k) for k, _ in rows), default=0)
+    return "\n".join([rule, title, rule, *[f"{k.ljust(width)}  {v}" for k, v in rows]]) + "\n"
