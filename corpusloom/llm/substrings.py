@@ -37,7 +37,7 @@ from .common import materialize, shuffle_partitions, table, text_or_empty
 from .suffixsort import neighbours_match, suffix_order
 
 LENGTH, GRAM = 50, 24
-FINE = 8  # shards of stretches for each shard of keys; a task sorts its shards one after the other
+FINE = 3  # shards of stretches for each shard of keys; a task sorts its shards one after the other
 LAST = (1 << 63) - 1
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
