@@ -143,14 +143,14 @@ def _taken(copies: DataFrame, budget: float, n_ranges: int, edge_rows: int):
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The mix itself: docs with each row as often as the mix takes it. Equal rows share what is taken of them."""
-    keyed = docs.withColumn("_mix_key", F.md5(text_or_empty("text")))
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    keyed = docs.withColumn("_mix_key", F.concat_ws(":", F.md5(text_or_empty("text")), part("doc_id"), part("source")))
     sizes = materialize(sized(keyed.select("doc_id", "source", "_mix_key", "text")).drop("text"), "sizes")
     taken = mix(sizes, materialize(source_targets(sizes, weights, share, cap), "targets"))
-    copies = taken.groupBy(F.col("doc_id").alias("k_id"), F.col("source").alias("k_source"), "_mix_key").agg(F.sum("copies").cast("int").alias("_mix_copies")).where("_mix_copies > 0")
-    once = keyed.dropDuplicates(["doc_id", "source", "_mix_key"])
-    on = (once["_mix_key"] == copies["_mix_key"]) & once["doc_id"].eqNullSafe(copies["k_id"]) & once["source"].eqNullSafe(copies["k_source"])
-    out = once.join(copies, on).select(*[once[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "_mix_copies")).alias("_mix_copy"))
-    return out.drop("_mix_copy")
+    copies = taken.groupBy("_mix_key").agg(F.sum("copies").cast("int").alias("_mix_copies")).where("_mix_copies > 0")
+    # One key for both steps, so texts are shuffled once.
+    once = keyed.dropDuplicates(["_mix_key"]).join(copies, "_mix_key")
+    return once.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_mix_copies")).alias("_mix_copy")).drop("_mix_copy")
 
 
 def op5_fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -274,12 +274,11 @@ def survivors(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each class: that of the smallest doc_id."""
     found = classes(docs, threshold)
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
-    kept = found.groupBy("label").agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("_kept_id"), F.col("k.node").alias("_kept_node"))
-    kept = materialize(kept, "kept")
-    marked = docs.withColumn("_kept_node", F.md5(text_or_empty("text")))
-    # One row a class carries this pair, so rows that repeat it are copies of that row.
-    on = (marked["_kept_node"] == kept["_kept_node"]) & marked["doc_id"].eqNullSafe(kept["_kept_id"])
-    return marked.join(kept, on, "left_semi").dropDuplicates(["_kept_node"]).drop("_kept_node")
+    pair = F.concat_ws(":", F.col("k.node"), F.coalesce(F.col("k.doc_id").cast("string"), F.lit("null")))
+    kept = materialize(found.groupBy("label").agg(F.min(key).alias("k")).select(pair.alias("_pair")), "kept")
+    marked = docs.withColumn("_pair", F.concat_ws(":", F.md5(text_or_empty("text")), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    # One row a class carries this pair, so rows that repeat it are copies of that row. One key, so texts are shuffled once.
+    return marked.join(kept, "_pair", "left_semi").dropDuplicates(["_pair"]).select(*docs.columns)
 
 
 def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
