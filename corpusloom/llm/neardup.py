@@ -40,7 +40,7 @@ from .components import components
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 36, 7
 LEADERS = 4  # of a bucket in the first round; four times as many in each next one
-SLOTS = BANDS * ROWS
+SLOTS = 2 * BANDS * ROWS  # as many slots again sharpen the sketch
 SKETCH = [f"s{i}" for i in range(-(-SLOTS // 16))]
 BROADCAST_NODES = 200_000
 WORD = re.compile(r"\w+")
@@ -94,7 +94,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return overlap / (int(a[1].sum()) + int(b[1].sum()) - overlap)
 
 
-def signatures(bags: list[tuple[np.ndarray, np.ndarray]], m: int = BANDS * ROWS) -> np.ndarray:
+def signatures(bags: list[tuple[np.ndarray, np.ndarray]], m: int = SLOTS) -> np.ndarray:
     """BagMinHash signatures [bags, m] of non-empty bags."""
     n = len(bags)
     owner = np.repeat(np.arange(n), [len(b[0]) for b in bags])
@@ -131,7 +131,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], m: int = BANDS * ROWS)
 
 def bands(sig: np.ndarray) -> np.ndarray:
     """Bucket hashes [bags, BANDS]."""
-    v = sig.view(np.uint64).reshape(len(sig), BANDS, ROWS)
+    v = np.ascontiguousarray(sig[:, : BANDS * ROWS]).view(np.uint64).reshape(len(sig), BANDS, ROWS)
     out = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * GOLD, (len(sig), BANDS)).copy()
     for r in range(ROWS):
         out = mix((out ^ v[:, :, r]) + GOLD)
