@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, table
+from .common import materialize, shuffle_partitions, table, trimmed
 
 BLOCK, QUERY_BLOCK = 16_384, 256
 INDEX_SCHEMA = "block long, dim int, n int, bits int, ids binary, low binary, slices binary"
@@ -74,7 +74,7 @@ def build_index(quantised: DataFrame, block: int = BLOCK) -> DataFrame:
         for dim in list(held):
             yield emit(dim)
 
-    return quantised.mapInPandas(packed, INDEX_SCHEMA)
+    return quantised.mapInPandas(trimmed(packed), INDEX_SCHEMA)
 
 
 def score_slices(slices: np.ndarray, q: np.ndarray) -> tuple[list[np.ndarray], int]:
@@ -180,7 +180,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, query_block: int =
         for dim, held in rows.items():
             yield pd.DataFrame([{"qb": TaskContext.get().partitionId(), "q_dim": dim, "q_ids": np.array([r[0] for r in held], "<i8").tobytes(), "qs": np.array([r[1] for r in held], "<i8").tobytes()}])
 
-    blocks = materialize(queries.repartition(n_blocks).mapInPandas(gathered, "qb int, q_dim int, q_ids binary, qs binary"), "queries")
+    blocks = materialize(queries.repartition(n_blocks).mapInPandas(trimmed(gathered), "qb int, q_dim int, q_ids binary, qs binary"), "queries")
     salts = shuffle_partitions(spark)
     left = index.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     right = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
@@ -193,7 +193,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, query_block: int =
                 found = search_block(row, ids, np.frombuffer(row.qs, "<i8").reshape(len(ids), row.dim), k)
                 yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, found), strict=True)))
 
-    local = pairs.mapInPandas(searched, "query_id long, vec_id long, score long")
+    local = pairs.mapInPandas(trimmed(searched), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

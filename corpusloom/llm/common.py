@@ -51,3 +51,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
+
+
+def trimmed(f):
+    """f over batches; when they end, the Python worker gives free memory back, as it may idle beside others for long."""
+
+    def run(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        yield from f(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # not glibc
+            pass
+
+    return run

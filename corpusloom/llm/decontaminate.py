@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, trimmed
 
 N, STRETCH, RARE, THRESHOLD = 4, 4, 1e-4, 0.5
 BLOCK_BYTES = 16 << 20
@@ -136,7 +136,7 @@ def hits(docs: DataFrame, items) -> DataFrame:
                 yield pd.DataFrame(out, columns=["doc_id", "grams", "places", "starts", "ends", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(find, f"doc_id {kind}, grams binary, places binary, starts binary, ends binary, ids binary")
+    return docs.select("doc_id", "text").mapInPandas(trimmed(find), f"doc_id {kind}, grams binary, places binary, starts binary, ends binary, ids binary")
 
 
 def frequencies(found: DataFrame, n_grams: int) -> np.ndarray:
@@ -151,7 +151,7 @@ def frequencies(found: DataFrame, n_grams: int) -> np.ndarray:
         yield pd.DataFrame({"gram": seen, "n": own[seen]})
 
     out = np.zeros(n_grams, np.int64)
-    for row in found.select("grams").mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
+    for row in found.select("grams").mapInPandas(trimmed(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
         out[row["gram"]] = row["n"]
     return out
 
@@ -252,7 +252,7 @@ def aligned(found: DataFrame, items, seeding, threshold: float) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "n_seeds"])
 
     kind = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInPandas(score, f"doc_id {kind}, item_id long, score double, n_seeds int")
+    return found.mapInPandas(trimmed(score), f"doc_id {kind}, item_id long, score double, n_seeds int")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, rare: float = RARE, stretch: int = STRETCH, threshold: float = THRESHOLD) -> DataFrame:

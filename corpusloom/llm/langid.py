@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, trimmed
 from .toxicity import fold
 
 BITS, LEXICON = 16, 5
@@ -321,7 +321,7 @@ def labelled(docs: DataFrame, field: Field | None, runs: bool = False) -> DataFr
                 out["runs"] = found
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(predict, schema)
+    return docs.select("doc_id", "text").mapInPandas(trimmed(predict), schema)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

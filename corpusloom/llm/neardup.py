@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_or_empty
+from .common import materialize, table, text_or_empty, trimmed
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -60,7 +60,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Hasher:
     """64-bit hashes of words, kept for words seen before."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 100_000):
         self.seen: dict[str, int] = {}
         self.most = most
 
@@ -161,7 +161,7 @@ def sketched(docs: DataFrame, batch_docs: int = 512) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = text_or_empty("text")
-    return docs.select("doc_id", F.md5(text).alias("node"), text.alias("text")).mapInPandas(sketch, f"doc_id {kind}, node string, bands array<long>, sketch array<long>")
+    return docs.select("doc_id", F.md5(text).alias("node"), text.alias("text")).mapInPandas(trimmed(sketch), f"doc_id {kind}, node string, bands array<long>, sketch array<long>")
 
 
 def near(a: str, b: str, threshold: float) -> Column:
@@ -204,7 +204,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: flo
             yield batch[["a", "b"]].assign(similarity=out)
 
     joined = pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
-    return materialize(joined.mapInPandas(compare, "a long, b long, similarity double").where(F.col("similarity") >= threshold), "links")
+    return materialize(joined.mapInPandas(trimmed(compare), "a long, b long, similarity double").where(F.col("similarity") >= threshold), "links")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, table, text_or_empty
+from .common import materialize, shuffle_partitions, table, text_or_empty, trimmed
 from .suffixsort import neighbours_match, suffix_order
 
 LENGTH, GRAM = 50, 24
@@ -131,7 +131,7 @@ def key_rows(texts: DataFrame, shards: int, length: int) -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=["shard", "blob"])
 
-    return texts.select("node", "data").mapInPandas(find, "shard int, blob binary")
+    return texts.select("node", "data").mapInPandas(trimmed(find), "shard int, blob binary")
 
 
 def shared_keys(rows: DataFrame, shards: int) -> DataFrame:
@@ -163,7 +163,7 @@ def shared_keys(rows: DataFrame, shards: int) -> DataFrame:
             if len(cut):
                 yield pd.DataFrame({"node": [nodes[own[a]].tobytes().hex() for a in cut], "keys": [kept[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]})
 
-    return rows.repartition(shards, "shard").mapInPandas(count, "node string, keys binary")
+    return rows.repartition(shards, "shard").mapInPandas(trimmed(count), "node string, keys binary")
 
 
 def stretch_rows(texts: DataFrame, shared: DataFrame, shards: int, length: int) -> DataFrame:
@@ -193,7 +193,7 @@ def stretch_rows(texts: DataFrame, shared: DataFrame, shards: int, length: int)
                 yield pd.DataFrame(rows, columns=["shard", "blob"])
 
     sets = shared.groupBy("node").agg(F.collect_list("keys").alias("sets"))
-    return texts.join(sets, "node").select("node", "low", "data", "sets").mapInPandas(find, "shard int, blob binary")
+    return texts.join(sets, "node").select("node", "low", "data", "sets").mapInPandas(trimmed(find), "shard int, blob binary")
 
 
 def repeated(rows: DataFrame, shards: int, length: int) -> DataFrame:
@@ -258,7 +258,7 @@ def repeated(rows: DataFrame, shards: int, length: int) -> DataFrame:
             if len(cut):
                 yield pd.DataFrame({"node": [joined[16 * own[a] : 16 * own[a] + 16].hex() for a in cut], "spans": [spans[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]})
 
-    return rows.repartition(shards, "shard").mapInPandas(sort, "node string, spans binary")
+    return rows.repartition(shards, "shard").mapInPandas(trimmed(sort), "node string, spans binary")
 
 
 def cut(data: bytes, spans: list[bytes]) -> tuple[list[tuple[int, int]], bytes]:
@@ -301,7 +301,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
                 yield pd.DataFrame(out, columns=["node", "n_removed", "n_spans", "sha", "kept"])
 
         grouped = spans.groupBy("node").agg(F.collect_list("spans").alias("spans"))
-        judged = texts.join(grouped, "node").select("node", "data", "spans").mapInPandas(judge, "node string, n_removed long, n_spans long, sha string, kept binary")
+        judged = texts.join(grouped, "node").select("node", "data", "spans").mapInPandas(trimmed(judge), "node string, n_removed long, n_spans long, sha string, kept binary")
         known = materialize(texts.select("node", "low").join(judged, "node", "left"), "judged")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")

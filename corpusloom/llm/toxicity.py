@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, trimmed
 
 WINDOW, SLACK, LEVEL = 40, 40, 3
 BASE_BYTES, CLASS_BYTES = 65_536, (192, 384, 768, 1536)
@@ -190,7 +190,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str], name: str = "score")
             values = shared.value.score([Model.features(t or "", tools) for t in batch["text"]]) if len(batch) else []
             yield batch[keep].assign(**{name: values})
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(score, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(trimmed(score), schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
