@@ -39,7 +39,7 @@ from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 36, 7
-LEADERS = 4  # of a bucket in the first round; four times as many in each next one
+LEADERS = 16  # of a bucket in the first round; sixteen times as many in each next one
 SLOTS = 2 * BANDS * ROWS  # as many slots again sharpen the sketch
 SKETCH = [f"s{i}" for i in range(-(-SLOTS // 16))]
 BROADCAST_NODES = 200_000
@@ -254,7 +254,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 links = links.unionByName(new)
                 labels = components(links)
         left = left.select("hash", "nid", "mass")
-        most *= 4
+        most *= 16
         spark_gc(docs)
     ids = sketches.groupBy("node").agg(F.min("doc_id").alias("low")).join(nodes.select("node", "nid"), "node", "left")
     # A text without words has no nid; it is a class of its own, numbered below zero.
