@@ -1,14 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, rare ones first, then Smith-Waterman alignment.
 
 1. The benchmark's words get ids; its n-grams of `n` words (fewer for shorter items) are hashed. Benchmarks are handled in blocks
    of at most `BLOCK_BYTES` of text, one after the other, so what is broadcast has a fixed bound however large they are.
 2. One pass over all documents finds every benchmark n-gram and keeps, for documents with a hit, the places and the word ids
    around them (words that no item has become -1, which matches nothing). Texts are read once and never shuffled.
-3. Document frequencies of the n-grams over the whole corpus decide which of them seed: those in at most `rare` of the
-   documents, and in every stretch of `stretch` neighbouring n-grams of an item the rarest one, so that a copied run of
-   stretch + n - 1 words always has a seed, even of an item that a third of all documents hold.
-4. Each document and item that share a seed are aligned word by word (match 1, mismatch and gap -1) around the seeds. The
-   score is the best local alignment's over the item's length; 1 is a whole exact copy.
+3. Document frequencies of the n-grams over the whole corpus decide which of them seed first: those in at most `rare` of the
+   documents, and in every stretch of `stretch` neighbouring n-grams of an item the rarest one that occurs.
+4. Around all n-grams that a document and an item share, they are aligned word by word (match 1, mismatch and gap -1): first the
+   windows with a rare seed, then all others that could score more yet. A window is left out only if the words that it has in
+   common with the item are too few for the threshold or for more than the best so far, so no copy is lost, however many
+   documents hold it and however it is edited, as long as `n` words in a row are left. The score is the best local
+   alignment's over the item's length; 1 is a whole exact copy. n_seeds counts the diagonals of the shared n-grams.
 
 Frequencies are one row per benchmark n-gram, so their size is bound by the benchmark block, not by the corpus.
 
@@ -82,6 +84,13 @@ class Items:
                 own.append(of[h])
             self.grams.append(own)
         self.n_grams = count
+        flat = np.array([g for own in self.grams for g in own], np.int64)
+        self.order = np.argsort(flat, kind="stable")  # places of n-grams in items by n-gram: those of n-gram g are first[g] to first[g + 1]
+        self.first = np.searchsorted(flat[self.order], np.arange(count + 1))
+        lengths = [len(own) for own in self.grams]
+        self.of_item = np.repeat(np.arange(len(lengths)), lengths)[self.order]
+        self.offset = np.array([o for n_own in lengths for o in range(n_own)], np.int64)[self.order]
+        self.counts = [np.unique(t, return_counts=True) for t in self.tokens]
         self.lookup = {size: (np.array(sorted(of), np.uint64), np.array([of[h] for h in sorted(of)], np.int64)) for size, of in grams.items()}
 
 
@@ -156,17 +165,43 @@ def frequencies(found: DataFrame, n_grams: int) -> np.ndarray:
     return out
 
 
-def seeds(items: Items, df: np.ndarray, n_docs: int, rare: float = RARE, stretch: int = STRETCH) -> dict[int, list[tuple[int, int]]]:
-    """n-gram number -> (item index, offset) of the n-grams that seed."""
-    out: dict[int, list[tuple[int, int]]] = {}
-    for i, own in enumerate(items.grams):
+def seeds(items: Items, df: np.ndarray, n_docs: int, rare: float = RARE, stretch: int = STRETCH) -> np.ndarray:
+    """Which places of n-grams in items, in the order of `Items.first`, seed first."""
+    out = []
+    for own in items.grams:
         f = df[own]
-        keep = f <= max(1.0, rare * n_docs)
+        keep = (f > 0) & (f <= max(1.0, rare * n_docs))
+        occurs = np.where(f > 0, f, np.iinfo(np.int64).max)
         for a in range(max(1, len(own) - stretch + 1)):
-            keep[a + int(np.argmin(f[a : a + stretch]))] = True
-        for o in np.flatnonzero(keep).tolist():
-            out.setdefault(own[o], []).append((i, o))
-    return out
+            keep[a + int(np.argmin(occurs[a : a + stretch]))] = True
+        out.append(keep)
+    return np.concatenate(out)[items.order]
+
+
+def shared_words(window: np.ndarray, item: int, items: Items) -> int:
+    """Words that window and item have in common, each as often as both have it: no alignment scores more."""
+    own, counts = items.counts[item]
+    k = np.minimum(np.searchsorted(own, window), len(own) - 1)
+    return int(np.minimum(np.bincount(k[own[k] == window], minlength=len(own)), counts).sum())
+
+
+def windows(row, items: Items, seeding: np.ndarray) -> Iterator[tuple[int, np.ndarray, bool, int]]:
+    """(item, word ids, whether a rare n-gram seeds it, diagonals) of the windows around all n-grams that a document and an item share."""
+    grams, places, starts, ends, ids = (np.frombuffer(x, "<i4").astype(np.int64) for x in (row.grams, row.places, row.starts, row.ends, row.ids))
+    base = np.r_[0, np.cumsum(ends - starts)]
+    n = items.first[grams + 1] - items.first[grams]
+    at = np.repeat(items.first[grams] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    item, line, rare = items.of_item[at], np.repeat(places, n) - items.offset[at], seeding[at]
+    order = np.lexsort((line, item))
+    item, line, rare = item[order], line[order], rare[order]
+    size = np.array([len(t) for t in items.tokens])[item]
+    slack = size // 2 + 2
+    cut = np.flatnonzero((np.diff(item) != 0) | (np.diff(line) > (size + 2 * slack)[1:])) + 1
+    for u, v in zip(np.r_[0, cut].tolist(), np.r_[cut, len(item)].tolist(), strict=True):
+        s = max(0, int(np.searchsorted(starts, max(int(line[u]), 0), "right")) - 1)
+        a, b = max(int(line[u] - slack[u]), int(starts[s])), min(int(line[v - 1] + size[u] + slack[u]), int(ends[s]))
+        if b > a:
+            yield int(item[u]), ids[base[s] + a - starts[s] : base[s] + b - starts[s]], bool(rare[u:v].any()), len(np.unique(line[u:v]))
 
 
 def align(window: np.ndarray, item: np.ndarray) -> np.ndarray:
@@ -212,42 +247,23 @@ def score_pairs(jobs: list[tuple[int, int, np.ndarray]], items: Items) -> list[i
 
 def aligned(found: DataFrame, items, seeding, threshold: float) -> DataFrame:
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        it, seed = items.value, seeding.value
-        seeded = np.zeros(it.n_grams, bool)
-        seeded[list(seed)] = True
+        it, first = items.value, seeding.value
         for batch in batches:
-            jobs, owners = [], []
+            jobs: dict[bool, list[tuple[int, int, np.ndarray, int]]] = {True: [], False: []}
+            seen: dict[tuple[int, int], int] = {}
             for r, row in enumerate(batch.itertuples(index=False)):
-                grams = np.frombuffer(row.grams, "<i4")
-                use = np.flatnonzero(seeded[grams])
-                if not len(use):
-                    continue
-                places, starts, ends, ids = (np.frombuffer(x, "<i4") for x in (row.places, row.starts, row.ends, row.ids))
-                base = np.r_[0, np.cumsum(ends - starts)]
-                lines: dict[int, set[int]] = {}
-                for k in use.tolist():
-                    for i, o in seed[int(grams[k])]:
-                        lines.setdefault(i, set()).add(int(places[k]) - o)
-                for i, at in lines.items():
-                    size = len(it.tokens[i])
-                    slack = size // 2 + 2
-                    runs: list[list[int]] = []
-                    for p in sorted(at):
-                        if runs and p - slack <= runs[-1][1]:
-                            runs[-1][1] = p + size + slack
-                        else:
-                            runs.append([p - slack, p + size + slack])
-                    for lo, hi in runs:
-                        s = max(0, int(np.searchsorted(starts, max(lo + slack, 0), "right")) - 1)
-                        a, b = max(lo, int(starts[s])), min(hi, int(ends[s]))
-                        if b > a:
-                            jobs.append((r, i, ids[base[s] + a - starts[s] : base[s] + b - starts[s]]))
-                            owners.append((r, i, len(at)))
-            best: dict[tuple[int, int], tuple[int, int]] = {}
-            for (r, i, n), s in zip(owners, score_pairs(jobs, it), strict=True):
-                best[r, i] = max(best.get((r, i), (0, 0)), (s, n))
+                for i, window, rare, n in windows(row, it, first):
+                    seen[r, i] = seen.get((r, i), 0) + n
+                    most = shared_words(window, i, it)
+                    if most >= threshold * len(it.tokens[i]):
+                        jobs[rare].append((r, i, window, most))
+            best: dict[tuple[int, int], int] = {}
+            for rare in (True, False):
+                todo = [(r, i, window) for r, i, window, most in jobs[rare] if most > best.get((r, i), -1)]
+                for (r, i, _), s in zip(todo, score_pairs(todo, it), strict=True):
+                    best[r, i] = max(best.get((r, i), 0), s)
             docs = batch["doc_id"].tolist()
-            rows = [(docs[r], it.ids[i], s / len(it.tokens[i]), n) for (r, i), (s, n) in best.items() if s >= threshold * len(it.tokens[i])]
+            rows = [(docs[r], it.ids[i], s / len(it.tokens[i]), seen[r, i]) for (r, i), s in best.items() if s >= threshold * len(it.tokens[i])]
             if rows:
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "n_seeds"])
 

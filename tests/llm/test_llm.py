@@ -96,6 +96,29 @@ def test_common_item_still_seeds(spark):
     assert {r["doc_id"] for r in got.collect()} == set(range(60))
 
 
+def brute_score(text, item):
+    """Best local alignment of two lists of words."""
+    best, before = 0, [0] * (len(item) + 1)
+    for x in text:
+        now = [0]
+        for j, y in enumerate(item):
+            now.append(max(0, before[j] + (1 if x == y else -1), before[j + 1] - 1, now[j] - 1))
+        best, before = max(best, *now), now
+    return best
+
+
+@pytest.mark.parametrize("exact", [0, 2])
+@pytest.mark.parametrize("every", [5, 6, 7])
+def test_edited_copies_in_many_documents(spark, every, exact):
+    """No edited copy is lost where many documents share its n-grams and those that the edits broke occur nowhere or in exact copies only."""
+    item = [f"w{i}" for i in range(40)]
+    texts = [f"{prose(30)} {' '.join(w if (i + 1) % every else 'changed' for i, w in enumerate(item))} {prose(30)}" for _ in range(20)]
+    texts += [f"{prose(20)} {' '.join(item)}"] * exact + [prose(90) for _ in range(50)] + ["w3 w4 w5 w6 " + prose(60)]
+    want = {(d, s / 40) for d, t in enumerate(texts) if (s := brute_score(t.split(), item)) >= 20}
+    got = decontaminate.contaminated(frame(spark, texts), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert {(r["doc_id"], r["score"]) for r in got.collect()} == want and len(want) == 20 + exact
+
+
 def test_alignment_against_cells():
     def cells(a, b):
         h = np.zeros((len(a) + 1, len(b) + 1), int)
