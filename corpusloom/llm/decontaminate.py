@@ -207,11 +207,11 @@ def windows(row, items: Items, seeding: np.ndarray) -> Iterator[tuple[int, np.nd
 def align(window: np.ndarray, item: np.ndarray) -> np.ndarray:
     """Best Smith-Waterman scores of rows of windows [b, w] against rows of items [b, l]; -2 pads items, -1 matches nothing."""
     b, w = window.shape
-    place = np.arange(1, w + 1, dtype=np.int16)
-    before = np.zeros((b, w + 1), np.int16)
-    best = np.zeros(b, np.int16)
+    place = np.arange(1, w + 1, dtype=np.int32)
+    before = np.zeros((b, w + 1), np.int32)
+    best = np.zeros(b, np.int32)
     for i in range(item.shape[1]):
-        same = np.where(window == item[:, i : i + 1], 1, -1).astype(np.int16)
+        same = np.where(window == item[:, i : i + 1], 1, -1).astype(np.int32)
         now = np.maximum(np.maximum(before[:, :-1] + same, before[:, 1:] - 1), 0)
         # A gap in the item: the running maximum of score + place, less the place.
         now = np.maximum.accumulate(now + place, axis=1) - place

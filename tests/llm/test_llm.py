@@ -133,6 +133,18 @@ def test_alignment_against_cells():
         assert decontaminate.align(w[None, :], t[None, :])[0] == cells(w, t)
 
 
+def test_very_long_texts(spark):
+    """Windows of more than 32,767 words: a match at the end is found, and a long clean text stays clean."""
+    item = [f"w{i}" for i in range(40)]
+    window = np.full((2, 100_000), -1, np.int64)
+    window[1, 99_000:99_040] = np.arange(40)
+    assert decontaminate.align(window, np.arange(40)[None, :].repeat(2, axis=0)).tolist() == [0, 40]
+    clean = (item[10:14] + ["other"] * 36) * 2500
+    texts = [" ".join(clean), " ".join(clean + item), " ".join([*clean, *item, "end"] + clean)]
+    got = decontaminate.contaminated(frame(spark, texts), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert sorted((r["doc_id"], r["score"]) for r in got.collect()) == [(1, 1.0), (2, 1.0)]
+
+
 def test_decontamination_empty(spark, empty):
     bench = spark.createDataFrame([(1, prose(9))], "item_id long, text string")
     assert decontaminate.contaminated(empty, bench).count() == 0
