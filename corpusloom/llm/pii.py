@@ -9,11 +9,15 @@ that hold entity and term, n(e,t) those that hold the term close to the entity,
 the share of the entity's information content that the term gives away (1: whoever has the term has the entity). Terms
 at `generalise` or more are replaced by a broader form, terms at `remove` or more are removed; only terms met with the
 entity in `support` different contexts count, so copies of one document prove nothing. All counts run over all documents.
+Terms are counted within `width` characters of the entity, not over whole documents, as in long documents every rarer word shares a
+document with an entity a few times by chance and would be flagged. A flagged term is replaced or removed wherever it stands, far
+from the entity and in documents that do not hold it too, since it gives the entity away there.
 
 Plan: one pass finds spans and contexts (only rows that hold a digit or `@` are searched); entity contexts are exploded and
 counted with map-side partial aggregation; n(t) is counted for candidate terms only, in a second pass over all texts, by a
 broadcast semi-join while the candidates number at most `BROADCAST_TERMS`, otherwise by pre-aggregated counts and a shuffled
-join. Added spans depend on the text alone, so they are computed once a distinct text and joined back by its hash.
+join. A third pass over all texts finds those that hold flagged terms, and their places. Added spans depend on the text alone, so
+they are kept once a distinct text and joined back by its hash; a small side of these joins is broadcast under the same bound.
 
 Patterns use possessive quantifiers and look-behinds that leave their matches as they are but keep them linear in
 the text's length and off the regex engine's stack.
@@ -63,7 +67,7 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def matches(text: Column, pattern: str, kind: str) -> Column:
+def matches(text: Column, pattern: str | Column, kind: str) -> Column:
     """array of (kind, start, end, value) of all matches: the texts between matches give the places."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
@@ -115,18 +119,18 @@ def moved(m: Column, by: Column) -> Column:
 
 
 def find_base(docs: DataFrame, width: int = CONTEXT) -> DataFrame:
-    """(doc_id, spans, near, text_key) of every row; text_key is null where the row has no base span."""
+    """(doc_id, spans, near, text_key) of every row; near is null where the row has no base span."""
     text = F.col("text")
     plain = docs.select("doc_id", text_or_empty("text").alias("text"))
     searched = F.when(text.contains("@") | text.rlike("[0-9]"), base_spans(text)).otherwise(F.array().cast(SPAN))
     some = F.size("spans") > 0
     near = F.when(some, near_terms(text, F.col("spans"), width))
-    return plain.withColumn("spans", searched).withColumn("near", near).withColumn("text_key", F.when(some, F.md5("text"))).drop("text")
+    return plain.withColumn("spans", searched).withColumn("near", near).withColumn("text_key", F.md5("text")).drop("text")
 
 
 def disclosures(docs: DataFrame, base: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(entity, term, disclosure, action) of the terms that disclose an entity."""
-    held = base.where("text_key is not null")
+    held = base.where("near is not null")
     one = held.select(F.explode("near").alias("n")).select("n.entity", "n.context", F.array_distinct(F.col("n.terms.value")).alias("terms"))
     per_doc = held.select(F.explode(F.array_distinct(F.col("near.entity"))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     pairs = one.select("entity", "context", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count(F.lit(1)).alias("n_et"))
@@ -148,18 +152,40 @@ def disclosures(docs: DataFrame, base: DataFrame, support: int = SUPPORT, genera
     return scored.where(F.col("disclosure") >= generalise).withColumn("action", F.when(F.col("disclosure") >= remove, F.lit("remove")).otherwise(F.lit("generalise")))
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A materialized table, broadcast in joins while it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+
+
+def everywhere(docs: DataFrame, flagged: DataFrame) -> DataFrame:
+    """(text_key, start, end, action): all whole words of all texts that are flagged terms, once a distinct text."""
+    text = F.col("text")
+    keyed = docs.select(text_or_empty("text").alias("text")).withColumn("text_key", F.md5("text"))
+    words = keyed.select("text_key", F.explode(F.array_distinct(F.filter(F.split(text, r"\P{L}+"), lambda w: F.length(w) >= 3))).alias("word"))
+    spelled = words.withColumn("term", F.lower("word")).join(small(flagged), "term").groupBy("text_key").agg(F.collect_set(F.struct("word", "action")).alias("put"))
+    spelled = small(materialize(spelled, "spelled"))
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("put.word", "|"), F.lit(r")(?!\p{L})"))
+    action = lambda m: F.element_at(F.filter("put", lambda x: x["word"] == m["value"]), 1)["action"]
+    places = F.transform(matches(text, pattern, "term"), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), action(m).alias("action")))
+    once = keyed.join(spelled, "text_key").select("text_key", places.alias("places")).groupBy("text_key").agg(F.first("places").alias("places"))
+    return once.select("text_key", F.explode("places").alias("p")).select("text_key", "p.*")
+
+
 def find(docs: DataFrame, **limits) -> DataFrame:
     """(doc_id, spans, terms): base spans, and the added spans (start, end, action)."""
     base = materialize(find_base(docs), "pii")
-    flagged = materialize(disclosures(docs, base, **limits), "flagged")
-    once = base.where("text_key is not null").groupBy("text_key").agg(F.first("near").alias("near"))
-    seen = once.select("text_key", F.explode("near").alias("n")).select("text_key", "n.entity", F.explode("n.terms").alias("t"))
-    # A place that two entities flag is removed if either says so: "remove" sorts after "generalise".
-    hits = seen.select("text_key", "entity", F.col("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end")).join(flagged, ["entity", "term"])
+    # A term that two entities flag is removed if either says so: "remove" sorts after "generalise".
+    flagged = materialize(disclosures(docs, base, **limits).groupBy("term").agg(F.max("action").alias("action")), "flagged")
+    once = base.where("near is not null").groupBy("text_key").agg(F.first("near").alias("near"))
+    seen = once.select("text_key", F.explode("near").alias("n")).select("text_key", F.explode("n.terms").alias("t"))
+    # Words that a base span cuts off are whole to near_terms alone.
+    close = seen.select("text_key", F.col("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end")).join(flagged, "term").select("text_key", "start", "end", "action")
+    hits = close.unionByName(everywhere(docs, flagged))
     added = hits.groupBy("text_key", "start", "end").agg(F.max("action").alias("action")).groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
+    added = small(materialize(added, "added"))
     none = F.array().cast("array<struct<start:int,end:int,action:string>>")
-    found = base.where("text_key is not null").join(added, "text_key", "left").select("doc_id", "spans", F.coalesce("terms", none).alias("terms"))
-    return found.unionByName(base.where("text_key is null").select("doc_id", "spans", none.alias("terms")))
+    clear = F.filter("terms", lambda m: ~F.exists("spans", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    return base.select("doc_id", "spans", "text_key").join(added, "text_key", "left").select("doc_id", "spans", F.coalesce(clear, none).alias("terms"))
 
 
 def redact(text: Column, spans: Column, terms: Column) -> Column:

@@ -386,6 +386,20 @@ def test_disclosing_terms(spark):
         assert "[EMAIL]" in r["x"] and "Zyxwara" not in r["x"]
 
 
+def test_flagged_terms_everywhere(spark):
+    """A flagged term goes from every text: far from the entity, in documents without it and without any base span, in each spelling."""
+    far = " ".join(f"plain{'abcdefghij'[i % 10]}" for i in range(60))
+    texts = [f"{far} {'abcdefgh'[i] * 4} Zyxwara writes to ann@corp.example {far}" for i in range(6)]
+    texts[5] += " ZYXWARA again, zyxwara, Zyxwaras zyxwara@x.example éZyxwara"
+    texts += [f"{far} zyxwara", f"Zyxwara {far} bob@other.example", None] + [f"{far} writes {i}" for i in range(300)]
+    out = {r["doc_id"]: r for r in pii.find(frame(spark, texts)).collect()}
+    assert len(out) == len(texts)
+    for i, text in enumerate(texts):
+        want = [(m.start(), m.end(), "remove") for m in re.finditer(r"(?<!\w)zyxwara(?![\w@])", text or "", re.I)]
+        assert [tuple(t) for t in out[i]["terms"]] == want, i
+    assert [len(out[i]["terms"]) for i in range(9)] == [1, 1, 1, 1, 1, 3, 1, 1, 0]
+
+
 # 10 Near-duplicates
 
 
