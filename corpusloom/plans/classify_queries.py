@@ -265,11 +265,23 @@ def vocabulary_repair(spark, sf):
 @query("similarity_flag")
 def similarity_flag(spark, sf):
     """Each document against the next one of its language by doc_id."""
+    return similarity.compare(next_of_language(table(spark, sf, "documents")), "a", "b").select("doc_id", "similarity", "abnormal")
+
+
+def next_of_language(documents, block=1000):
+    """(doc_id, a, b): the text of each document and of the next one of its language by doc_id; none for the last of a language.
+
+    Neighbours are found in blocks of ids; the last row of a block meets the first row of the next block that has rows, found over
+    one row a block and language."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("lang", (F.col("doc_id") / 1000).cast("int")).orderBy("doc_id")
-    pairs = table(spark, sf, "documents").select("doc_id", "lang", F.substring("text", 1, 1200).alias("a")).withColumn("b", F.lead("a").over(w)).where("b is not null")
-    return similarity.compare(pairs, "a", "b").select("doc_id", "similarity", "abnormal")
+    d = documents.select("doc_id", "lang", F.col("text").alias("a"), F.floor(F.col("doc_id") / block).alias("block"))
+    first = d.groupBy("lang", "block").agg(F.min(F.struct("doc_id", "a")).alias("head"))
+    heads = first.withColumn("after", F.lead("head").over(Window.partitionBy("lang").orderBy("block"))).select(F.col("lang").alias("l"), F.col("block").alias("k"), "after")
+    w = Window.partitionBy("lang", "block").orderBy("doc_id", "a")
+    rows = d.withColumn("next", F.lead(F.struct("doc_id", "a")).over(w))
+    pairs = rows.join(heads, F.col("lang").eqNullSafe(F.col("l")) & F.col("block").eqNullSafe(F.col("k")), "left")
+    return pairs.withColumn("next", F.coalesce("next", "after")).where("next is not null").select("doc_id", "a", F.col("next.a").alias("b"))
 
 
 @query("text_classifier")
