@@ -24,7 +24,7 @@ STAMPED = "documents with a year written into text and name"
 def stamped(spark, sf):
     """Every third text begins with a year, every other name holds one."""
     y = (F.lit(2010) + F.col("doc_id") % 20).cast("string")
-    d = docs(spark, sf).select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 200).alias("t"))
+    d = docs(spark, sf).select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     return d.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(y, F.lit(" "), F.col("t"))).otherwise(F.col("t")).alias("body"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("act_32"), y, F.lit("R.txt"))).otherwise(F.lit("act.txt")).alias("name"))
 
 
