@@ -14,9 +14,13 @@
 
 Frequencies are one row per benchmark n-gram, so their size is bound by the benchmark block, not by the corpus.
 
-Edge cases: null or wordless texts and items match nothing; repeated rows each give their rows; items with equal texts
-are each reported; an empty table gives an empty result; extra columns are ignored. A text of any length is
-searched whole; windows that seeds leave far apart are aligned apart and the best counts.
+A block costs one pass over the documents, so a benchmark of B bytes costs B / `BLOCK_BYTES` passes.
+
+Edge cases: null or wordless texts and items match nothing; an item of fewer than `n` words says too little in running text and
+matches only texts that have its words and no others; items and documents whose id is null take part and are reported with it;
+repeated rows each give their rows; items with equal texts are each reported; an empty table gives an empty result; extra
+columns are ignored. A text of any length is searched whole; windows that seeds leave far apart are aligned apart and the
+best counts.
 """
 
 from __future__ import annotations
@@ -29,8 +33,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import materialize, table, trimmed
+from .common import map_rows, materialize, received, shipped, table, trimmed
 
 N, STRETCH, RARE, THRESHOLD = 4, 4, 1e-4, 0.5
 BLOCK_BYTES = 16 << 20
@@ -61,7 +66,8 @@ def gram_hashes(ids: np.ndarray, n: int) -> np.ndarray:
 class Items:
     """A block of benchmark items: vocabulary, word ids and n-grams."""
 
-    def __init__(self, rows: list[tuple[int, str]], n: int = N):
+    def __init__(self, rows: list[tuple[int | None, str]], n: int = N):
+        self.n = n
         self.vocab: dict[str, int] = {}
         self.ids, self.tokens, self.sizes = [], [], []
         for item, text in rows:
@@ -97,12 +103,13 @@ class Items:
 def item_blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of at most `most` bytes of text (one item at least)."""
     held, size = [], 0
-    for row in benchmark.select("item_id", "text").where("text is not null and item_id is not null").orderBy("item_id").toLocalIterator():
-        if held and size + len(row["text"]) > most:
+    for row in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
+        more = len(row["text"].encode("utf-8", "replace"))
+        if held and size + more > most:
             yield held
             held, size = [], 0
         held.append((row["item_id"], row["text"]))
-        size += len(row["text"])
+        size += more
     if held:
         yield held
 
@@ -110,19 +117,21 @@ def item_blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[
 def hits(docs: DataFrame, items) -> DataFrame:
     """(doc_id, grams, places, starts, ends, ids): n-gram numbers and word places; ids holds the words of the stretches [start, end) around them."""
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        it = items.value
-        get = it.vocab.get
-        margin = 2 * it.longest + 8
-        for batch in batches:
-            out = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+    def start():
+        it = received(items)
+        get, margin = it.vocab.get, 2 * it.longest + 8
+
+        def find(texts: list[str | None]):
+            rows, out = [], []
+            for row, text in enumerate(texts):
                 if not text:
                     continue
                 toks = WORD.findall(text.lower())
                 ids = np.fromiter(map(get, toks, repeat(-1)), np.int64, len(toks))
                 found = []
                 for size, (hashes, numbers) in it.lookup.items():
+                    if size < it.n and len(ids) != size:
+                        continue
                     h = gram_hashes(ids, size)
                     at = np.flatnonzero(h)
                     if len(at):
@@ -139,13 +148,14 @@ def hits(docs: DataFrame, items) -> DataFrame:
                 cut = np.flatnonzero(np.diff(places) > 2 * margin) + 1
                 starts = np.maximum(places[np.r_[0, cut]] - margin, 0)
                 ends = np.minimum(places[np.r_[cut - 1, len(places) - 1]] + margin, len(ids))
-                parts = np.concatenate([ids[a:b] for a, b in zip(starts, ends, strict=True)]).astype("<i4").tobytes()
-                out.append((doc, grams.astype("<i4").tobytes(), places.astype("<i4").tobytes(), starts.astype("<i4").tobytes(), ends.astype("<i4").tobytes(), parts))
-            if out:
-                yield pd.DataFrame(out, columns=["doc_id", "grams", "places", "starts", "ends", "ids"])
+                parts = np.concatenate([ids[a:b] for a, b in zip(starts, ends, strict=True)])
+                rows.append(row)
+                out.append([x.astype("<i4").tobytes() for x in (grams, places, starts, ends, parts)])
+            return rows, list(zip(*out, strict=True)) or [[]] * 5
+
+        return find
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(trimmed(find), f"doc_id {kind}, grams binary, places binary, starts binary, ends binary, ids binary")
+    return map_rows(docs, ["doc_id"], ["text"], "grams binary, places binary, starts binary, ends binary, ids binary", start)
 
 
 def frequencies(found: DataFrame, n_grams: int) -> np.ndarray:
@@ -187,7 +197,7 @@ def shared_words(window: np.ndarray, item: int, items: Items) -> int:
 
 def windows(row, items: Items, seeding: np.ndarray) -> Iterator[tuple[int, np.ndarray, bool, int]]:
     """(item, word ids, whether a rare n-gram seeds it, diagonals) of the windows around all n-grams that a document and an item share."""
-    grams, places, starts, ends, ids = (np.frombuffer(x, "<i4").astype(np.int64) for x in (row.grams, row.places, row.starts, row.ends, row.ids))
+    grams, places, starts, ends, ids = (np.frombuffer(x, "<i4").astype(np.int64) for x in row)
     base = np.r_[0, np.cumsum(ends - starts)]
     n = items.first[grams + 1] - items.first[grams]
     at = np.repeat(items.first[grams] - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -246,12 +256,13 @@ def score_pairs(jobs: list[tuple[int, int, np.ndarray]], items: Items) -> list[i
 
 
 def aligned(found: DataFrame, items, seeding, threshold: float) -> DataFrame:
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        it, first = items.value, seeding.value
-        for batch in batches:
+    def start():
+        it, first = received(items), received(seeding)
+
+        def score(*columns):
             jobs: dict[bool, list[tuple[int, int, np.ndarray, int]]] = {True: [], False: []}
             seen: dict[tuple[int, int], int] = {}
-            for r, row in enumerate(batch.itertuples(index=False)):
+            for r, row in enumerate(zip(*columns, strict=True)):
                 for i, window, rare, n in windows(row, it, first):
                     seen[r, i] = seen.get((r, i), 0) + n
                     most = shared_words(window, i, it)
@@ -262,13 +273,12 @@ def aligned(found: DataFrame, items, seeding, threshold: float) -> DataFrame:
                 todo = [(r, i, window) for r, i, window, most in jobs[rare] if most > best.get((r, i), -1)]
                 for (r, i, _), s in zip(todo, score_pairs(todo, it), strict=True):
                     best[r, i] = max(best.get((r, i), 0), s)
-            docs = batch["doc_id"].tolist()
-            rows = [(docs[r], it.ids[i], s / len(it.tokens[i]), seen[r, i]) for (r, i), s in best.items() if s >= threshold * len(it.tokens[i])]
-            if rows:
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "n_seeds"])
+            kept = [(r, i, s / len(it.tokens[i])) for (r, i), s in best.items() if s >= threshold * len(it.tokens[i])]
+            return [r for r, _, _ in kept], [[it.ids[i] for _, i, _ in kept], [s for _, _, s in kept], [seen[r, i] for r, i, _ in kept]]
+
+        return score
 
-    kind = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInPandas(trimmed(score), f"doc_id {kind}, item_id long, score double, n_seeds int")
+    return map_rows(found, ["doc_id"], ["grams", "places", "starts", "ends", "ids"], "item_id long, score double, n_seeds int", start)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, rare: float = RARE, stretch: int = STRETCH, threshold: float = THRESHOLD) -> DataFrame:
@@ -280,14 +290,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, rare: float
         block = Items(rows, n)
         if not block.ids:
             continue
-        items = spark.sparkContext.broadcast(block)
+        items = shipped(spark, block)
         found = materialize(hits(docs, items), "hits")
-        seeding = spark.sparkContext.broadcast(seeds(block, frequencies(found, block.n_grams), n_docs, rare, stretch))
+        seeding = shipped(spark, seeds(block, frequencies(found, block.n_grams), n_docs, rare, stretch))
         part = aligned(found, items, seeding, threshold)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        return spark.createDataFrame([], f"doc_id {kind}, item_id long, score double, n_seeds int")
+        kinds = spark.createDataFrame([], "item_id long, score double, n_seeds int").schema
+        return spark.createDataFrame([], StructType([docs.schema["doc_id"], *kinds.fields]))
     return out
 
 

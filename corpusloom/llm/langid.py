@@ -8,15 +8,17 @@ code-switched text are labelled apart; a document's language is the one with the
 Training: labelled documents carry one language each, so sequences are made by joining passages of different documents,
 which is what teaches the transitions to switch. Parameters are fitted by AdaGrad on the exact likelihood gradient.
 
-Bounds: at most about `MAX_DOCS` documents a language and `MAX_TOTAL` in all, chosen by a hash of doc_id, and `MAX_WORDS` words of each
-from a passage of `MAX_CHARS` characters at a place that the same hash chooses are learned from.
-All documents are labelled, whole. Feature tables have a fixed size (`BITS`), so what is broadcast does too.
+Bounds: at most `MAX_DOCS` documents a language and `MAX_TOTAL` in all (one a language at least), the first by a hash of doc_id, are
+learned from; they are read whole, and `SEQUENCES` sequences are drawn from all places of their texts. All documents are
+labelled, whole. Feature tables have a fixed size (`BITS`) and the lexicon is bounded by the sample, so what is broadcast is too.
 
 All feature and dynamic-programming steps are array operations over a batch of documents: n-grams over one code-point stream,
-forward-backward time-major over documents by descending length. Documents are never split or cut.
+forward-backward time-major over documents by descending length. Documents are never split or cut. Words are runs of letters
+of the lower-cased text; a dotted capital I is lower-cased to i, the only letter that lower() would make two characters of.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; without any labelled document all are `und`;
-repeated rows each give a row; an empty table gives an empty result; extra columns are ignored.
+repeated rows each give a row and are learned from once; rows without doc_id are labelled but not learned from; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,15 +27,14 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, trimmed
+from .common import map_rows, received, shipped, table
 from .toxicity import fold
 
 BITS, LEXICON = 16, 5
-MAX_DOCS, MAX_TOTAL, MAX_CHARS, MAX_WORDS = 800, 20_000, 4_000, 200
+MAX_DOCS, MAX_TOTAL = 800, 20_000
 SEQUENCES, LENGTH, EPOCHS, BATCH, RATE = 6_000, 40, 4, 200, 0.3
 CHARS, WORDS = 1 << 20, 1 << 21
 UNKNOWN = "und"
@@ -47,6 +48,10 @@ def letters() -> np.ndarray:
     return _LETTERS[0]
 
 
+def lowered(text: str) -> str:
+    return text.replace("İ", "i").lower()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = h * np.uint64(0x9E3779B97F4A7C15)
     return h ^ (h >> np.uint64(31))
@@ -58,7 +63,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     Each word stands between edges (0); row i holds the features that begin at char i: the 2-gram, the 3-gram, the affix (an
     edge and 3 letters), or 0, the row that stays zero. Documents are told apart by the caller, by word counts.
     """
-    cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    cp = np.frombuffer(lowered(text).encode("utf-32-le", "surrogatepass"), "<u4")
     is_letter = letters()[cp]
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]  # the first non-letter after a word is its edge
@@ -162,10 +167,9 @@ def fit(rows: list[tuple[str, str]], seed: int = 11) -> Field | None:
     passages: dict[str, list[list[str]]] = {lang: [] for lang in langs}
     is_letter = letters()
     for lang, text in rows:
-        words = "".join(c if is_letter[ord(c)] else " " for c in text).split()
-        at = int(rng.integers(0, max(1, len(words) - MAX_WORDS + 1)))
+        words = "".join(c if is_letter[ord(c)] else " " for c in lowered(text)).split()
         if words:
-            passages[lang].append(words[at : at + MAX_WORDS])
+            passages[lang].append(words)
     langs = [x for x in langs if passages[x]]
     if not langs:
         return None
@@ -181,7 +185,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 11) -> Field | None:
             own += [k] * len(source[at : at + size])
         sequences.append(words[:LENGTH])
         labels.append(own[:LENGTH])
-    counts = Counter(w.lower() for lang in langs for p in passages[lang] for w in p)
+    counts = Counter(w for lang in langs for p in passages[lang] for w in p)
     known = [w for w, n in counts.items() if n >= LEXICON]
     field = Field(langs, features(" ".join(known))[2] if known else np.zeros(0, np.uint64))
     k = len(langs)
@@ -250,7 +254,7 @@ def label(field: Field, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarr
             while stop < len(texts) and size < CHARS:
                 size += len(texts[stop])
                 stop += 1
-            part = [t.lower() for t in texts[end:stop]]
+            part = [lowered(t) for t in texts[end:stop]]
             counts.append(word_counts(part))
             rows, first, hashes = features("\n".join(part))
             if len(first):
@@ -274,36 +278,31 @@ def label(field: Field, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarr
 
 
 def sample(docs: DataFrame, most: int = MAX_DOCS) -> list[tuple[str, str]]:
-    """(lang, text) of about `most` documents a language, of those that may be learned from."""
-    learn = docs.select("doc_id", "text", "lang").where((fold(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    """(lang, text) of at most `most` documents a language, of those that may be learned from."""
+    learn = docs.select("doc_id", "text", "lang").where((fold(F.col("doc_id"), 4) != 2) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    n_langs = learn.agg(F.count_distinct("lang")).first()[0]
+    if not n_langs:
         return []
-    most = min(most, max(1, MAX_TOTAL // len(counts)))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, most / n))])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    chosen = learn.where(draw < share[F.col("lang")] * 1_000_000)
-    begin = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - MAX_CHARS, F.lit(1))) + 1
-    passage = F.substring("text", begin, F.lit(MAX_CHARS))
-    return sorted((r["lang"], r["text"]) for r in chosen.select("lang", passage.alias("text")).collect())
+    most = min(most, max(1, MAX_TOTAL // n_langs))
+    # Only ids are ranked, and each task keeps its own first ones before the shuffle.
+    rank = F.rank().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = learn.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= most).select("doc_id", "lang").distinct()
+    texts = learn.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    return sorted((r["lang"], r["text"]) for r in texts.select("lang", "text").collect())
 
 
 def labelled(docs: DataFrame, field: Field | None, runs: bool = False) -> DataFrame:
     """(doc_id, lang_pred, score, n_words) of every row, and with runs the label runs [start, end) in words."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, lang_pred string, score double, n_words long" + ", runs array<struct<start:int,end:int,lang:string>>" * runs
-
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        field = shared.value
-        for batch in batches:
-            texts = [t or "" for t in batch["text"]]
+    shared = shipped(docs.sparkSession, field)
+    schema = "lang_pred string, score double, n_words long" + ", runs array<struct<start:int,end:int,lang:string>>" * runs
+
+    def start():
+        field = received(shared)
+
+        def predict(texts: list[str | None]):
+            texts = [t or "" for t in texts]
             if field is None:
-                out = pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": UNKNOWN, "score": 0.0, "n_words": word_counts(texts)})
-                if runs:
-                    out["runs"] = [[] for _ in texts]
-                yield out
-                continue
+                return None, [[UNKNOWN] * len(texts), [0.0] * len(texts), word_counts([lowered(t) for t in texts]), *[[[]] * len(texts)] * runs]
             sums, counts, found = [], [], []
             for s, n, best in label(field, texts):
                 sums.append(s)
@@ -316,12 +315,12 @@ def labelled(docs: DataFrame, field: Field | None, runs: bool = False) -> DataFr
             total, n = (np.concatenate(sums), np.concatenate(counts)) if sums else (np.zeros((0, len(field.langs))), np.zeros(0, np.int64))
             best = total.argmax(axis=1) if len(total) else np.zeros(0, int)
             score = np.where(n > 0, total[np.arange(len(total)), best] / np.maximum(n, 1), 0.0)
-            out = pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": np.where(n > 0, np.array(field.langs, object)[best], UNKNOWN), "score": np.clip(score, 0, 1), "n_words": n})
-            if runs:
-                out["runs"] = found
-            yield out
+            langs = np.where(n > 0, np.array(field.langs, object)[best], UNKNOWN).tolist()
+            return None, [langs, np.clip(score, 0, 1), n, *[found] * runs]
+
+        return predict
 
-    return docs.select("doc_id", "text").mapInPandas(trimmed(predict), schema)
+    return map_rows(docs, ["doc_id"], ["text"], schema, start)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

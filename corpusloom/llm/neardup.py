@@ -141,27 +141,35 @@ def bands(sig: np.ndarray) -> np.ndarray:
 def sketched(docs: DataFrame, batch_docs: int = 512) -> DataFrame:
     """(doc_id, node, bands, sketch): a row a document; bands and sketch (four bits a slot) once for equal texts of a batch, and null for texts without words."""
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         hasher = Hasher()
-        for batch in batches:
-            for a in range(0, len(batch), batch_docs):
-                part = batch.iloc[a : a + batch_docs]
-                first = ~part["node"].duplicated().to_numpy()
-                bags = [hasher.bag(t) if f else None for t, f in zip(part["text"], first, strict=True)]
-                use = [i for i, b in enumerate(bags) if b is not None and len(b[0])]
-                band, byte = [None] * len(part), [None] * len(part)
+
+        def sketch(names: list[str], texts: list[str]):
+            band, byte = [None] * len(names), [None] * len(names)
+            for a in range(0, len(names), batch_docs):
+                seen: set[str] = set()
+                use, bags = [], []
+                for i in range(a, min(a + batch_docs, len(names))):
+                    if names[i] not in seen:
+                        seen.add(names[i])
+                        bag = hasher.bag(texts[i])
+                        if len(bag[0]):
+                            use.append(i)
+                            bags.append(bag)
                 if use:
-                    sig = signatures([bags[i] for i in use])
+                    sig = signatures(bags)
                     four = np.zeros((len(use), 16 * len(SKETCH)), np.uint64)
                     four[:, :SLOTS] = mix(sig.view(np.uint64)) & np.uint64(15)
                     packed = (four.reshape(len(use), -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
                     for i, b, s in zip(use, bands(sig), packed, strict=True):
                         band[i], byte[i] = b, s
-                yield pd.DataFrame({"doc_id": part["doc_id"], "node": part["node"], "bands": band, "sketch": byte})
+            return None, [band, byte]
+
+        return sketch
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     text = text_or_empty("text")
-    return docs.select("doc_id", F.md5(text).alias("node"), text.alias("text")).mapInPandas(trimmed(sketch), f"doc_id {kind}, node string, bands array<long>, sketch array<long>")
+    keyed = docs.select("doc_id", F.md5(text).alias("node"), text.alias("text"))
+    return map_rows(keyed, ["doc_id", "node"], ["node", "text"], "bands array<long>, sketch array<long>", start)
 
 
 def near(a: str, b: str, threshold: float) -> Column:

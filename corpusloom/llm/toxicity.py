@@ -1,17 +1,17 @@
 """Toxicity by compression distance with zstandard dictionaries.
 
-Two dictionaries are trained, one on ordinary and one on toxic text. The ordinary one comes from zstandard's trainer. The toxic
-one is the ordinary one followed by what sets toxic text apart: the words whose document frequency in toxic text is `CONTRAST`
-times that in ordinary text, most frequent last, where zstandard finds them cheapest. (The trainer's own choice of toxic
-passages is mostly ordinary words, which then match by chance; it lost a third of the recall.) Every text is cut at spaces into
+Two dictionaries of one size are trained by zstandard, one on ordinary and one on toxic text. Both begin with the same base,
+trained on ordinary text; then comes what the trainer takes from each class: ordinary text for the one, and for the other toxic
+text without the strings that ordinary text has as well. (A string of `GRAM` bytes stays if its document frequency in toxic
+text is `CONTRAST` times that in ordinary text or more. Toxic documents are ordinary prose for the most part, so a trainer that
+reads them whole picks the same common words as the other, and windows then differ by chance.) Every text is cut at spaces into
 windows of about `WINDOW` bytes; a window is compressed with either dictionary, and the bytes the toxic one saves are its
-evidence. How many bytes of words go in is chosen by cross-validated log loss on the calibration documents. How many windows
-save 2, 3, ... bytes, and the largest savings, go through a logistic calibration fitted on labelled documents that no
-dictionary saw, weighted to the classes' shares among all labels.
+evidence. The size of the class parts is chosen by cross-validated log loss on the calibration documents. How many windows save 2, 3, ... bytes (the thresholds), and the largest savings, are calibrated by a logistic
+regression fitted on labelled documents that no dictionary saw, weighted to the classes' shares among all labels.
 
 Bounds: the dictionaries and the calibration learn from at most `MAX_TOXIC` and `MAX_ORDINARY` labelled documents, the
-first by a hash of doc_id, and at most `MAX_BYTES` of their text; all documents are scored, whole. Only label ids are
-sampled before the texts are read, so no text is shuffled and the model (tens of KB) is all that is broadcast.
+first by a hash of doc_id; they are read whole, as are all documents that are scored. Only label ids are sampled before the
+texts are read; the sampled texts alone are sorted, and the model (tens of KB) is all that is sent to the workers.
 
 Edge cases: null and empty texts score as a text without evidence; repeated doc_ids in labels count as toxic if any row is;
 without labels of both classes every score is the share of toxic labels (0 if there are none); an empty table gives an
@@ -22,23 +22,20 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, trimmed
+from .common import map_rows, received, shipped, table
 
 WINDOW, SLACK, LEVEL = 40, 40, 3
-BASE_BYTES, CLASS_BYTES = 65_536, (192, 384, 768, 1536)
-CONTRAST, SHARE, LEAST = 10.0, 0.02, 5
-MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 3_000, 6_000, 48 << 20
+BASE_BYTES, CLASS_BYTES, SEGMENT = 65_536, (384, 512, 768, 1024), 32
+GRAM, CONTRAST, SHARE, LEAST = 6, 5.0, 0.02, 5
+MAX_TOXIC, MAX_ORDINARY = 3_000, 6_000
 STEPS = (2, 3, 4, 5, 6, 8)
-WORD = re.compile(r"\w+")
+OFFSETS = b"\1\0\0\0\4\0\0\0\x08\0\0\0"  # the repeat offsets that end a trained dictionary's header
 
 
 def fold(doc_id, parts: int):
@@ -58,30 +55,51 @@ def windows(text: str, size: int = WINDOW) -> list[bytes]:
     return out or [b""]
 
 
-def base_dictionary(samples: list[bytes], size: int = BASE_BYTES) -> bytes:
-    """A zstandard dictionary of the samples; where they are too few to train one, their end."""
+def trained(samples: list[bytes], size: int, segment: int = 0) -> bytes:
+    """The content, of at most size bytes, of a dictionary that zstandard trains on the samples; where they are too few, their end."""
     try:
-        return zstandard.train_dictionary(min(size, max(1024, sum(map(len, samples)) // 10)), samples).as_bytes()
+        most = max(1024, sum(map(len, samples)) // 10) if not segment else size + 512
+        out = zstandard.train_dictionary(min(size + 512, most), samples, k=segment, d=GRAM if segment else 0).as_bytes()
+        return out[out.index(OFFSETS) + len(OFFSETS) :][-size:]
     except (zstandard.ZstdError, ValueError):
         return b"".join(samples)[-size:]
 
 
-def telling(toxic: list[list[str]], ordinary: list[list[str]]) -> list[bytes]:
-    """Words that set toxic texts apart, most frequent first. Equal texts count once."""
-    own, other = (Counter(w for ws in {tuple(t) for t in texts} for w in set(ws)) for texts in (toxic, ordinary))
-    n_own, n_other = max(1, len(toxic)), max(1, len(ordinary))
-    found = [(-n, w) for w, n in own.items() if n >= max(LEAST, SHARE * n_own) and n / n_own > CONTRAST * (other[w] + 0.5) / n_other]
-    return [w.encode() for _, w in sorted(found)]
+def gram_codes(data: bytes) -> np.ndarray:
+    """The GRAM bytes from each place on as a number."""
+    x = np.frombuffer(data, np.uint8).astype(np.uint64)
+    n = len(x) - GRAM + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for i in range(GRAM if n > 0 else 0):
+        out = (out << np.uint64(8)) | x[i : i + n]
+    return out
 
 
-def class_content(words: list[bytes], size: int) -> bytes:
-    """At most size bytes of words, most frequent last."""
-    out = b" "
-    for w in words:
-        if len(out) + len(w) + 1 > size:
-            break
-        out = b" " + w + out
-    return out
+def telling(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
+    """Codes of the strings that set toxic texts apart, ascending."""
+    codes, n = np.unique(np.concatenate([np.unique(gram_codes(t)) for t in toxic]), return_counts=True)
+    often = n >= max(LEAST, SHARE * len(toxic))
+    codes, n = codes[often], n[often]
+    other = np.zeros(len(codes) + 1)
+    for t in ordinary:
+        own = np.unique(gram_codes(t))
+        at = np.searchsorted(codes, own)
+        at[at == len(codes)] = 0
+        other[at[codes[at] == own] if len(codes) else at[:0]] += 1
+    return codes[n / len(toxic) > CONTRAST * (other[:-1] + 0.5) / max(1, len(ordinary))]
+
+
+def apart(text: bytes, codes: np.ndarray) -> list[bytes]:
+    """The maximal runs of text that the strings with these codes cover."""
+    own = gram_codes(text)
+    if not len(own) or not len(codes):
+        return []
+    hit = np.flatnonzero(codes[np.minimum(np.searchsorted(codes, own), len(codes) - 1)] == own)
+    covered = np.zeros(len(text) + 2, np.int8)
+    for i in range(GRAM):
+        covered[hit + 1 + i] = 1
+    edges = np.flatnonzero(np.diff(covered)).reshape(-1, 2)
+    return [text[a:b] for a, b in edges]
 
 
 class Model:
@@ -140,29 +158,27 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[int, str]], f
         part = learn.where(F.col("toxic") == value).orderBy(key, "doc_id").limit(most)
         ids = part if ids is None else ids.unionByName(part)
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").orderBy(key, "doc_id", "text").select("toxic", "text").toLocalIterator()
-    out, size = [], 0
-    for row in texts:
-        if size + len(row["text"]) <= MAX_BYTES:
-            out.append((row["toxic"], row["text"]))
-            size += len(row["text"])
-    return out, counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
+    return [(row["toxic"], row["text"]) for row in texts], counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
 
 
 def train(rows: list[tuple[int, str]], prior: float) -> Model:
     held = [zlib.crc32(t.encode("utf-8", "replace")) % 10 < 4 for _, t in rows]  # 4 in 10 calibrate; equal texts go together
-    parts = {c: [WORD.findall(t.lower()) for (y, t), h in zip(rows, held, strict=True) if y == c and not h] for c in (0, 1)}
+    parts = {c: list(dict.fromkeys(t.lower().encode("utf-8", "replace") for (y, t), h in zip(rows, held, strict=True) if y == c and not h)) for c in (0, 1)}
     calibrate = [(y, t) for (y, t), h in zip(rows, held, strict=True) if h]
     y = np.array([c for c, _ in calibrate], float)
     if not parts[0] or not parts[1] or len(set(y.tolist())) < 2:
         return Model(b"", b"", prior)
     weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
-    base = base_dictionary([w for (c, t), h in zip(rows, held, strict=True) if c == 0 and not h for w in windows(t, 128)][:60_000])
-    words = telling(parts[1], parts[0])
+    plain = [t[a : a + 128] for t in parts[0] for a in range(0, len(t), 128)]
+    codes = telling(parts[1], parts[0])
+    bad = [r for t in parts[1] for r in apart(t, codes)]
+    base = trained(plain, BASE_BYTES)
     best, least = None, np.inf
+    ordinary = trained(plain, max(CLASS_BYTES), SEGMENT)
     for size in CLASS_BYTES:
-        own = class_content(words, size)
-        # Filler in the ordinary dictionary keeps the base at one distance from the window in both.
-        model = Model(base + own, base + b"\x01" * len(own), prior)
+        toxic = trained(bad, size, SEGMENT)
+        width = min(len(toxic), len(ordinary))
+        model = Model(base + toxic[len(toxic) - width :], base + ordinary[len(ordinary) - width :], prior)
         tools = model.compressors()
         x = np.array([model.features(t, tools) for _, t in calibrate])
         loss = 0.0
@@ -181,16 +197,18 @@ def train(rows: list[tuple[int, str]], prior: float) -> Model:
 
 def scored(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
     """The columns `keep` of docs, and the score under a name that is none of theirs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add(name, "double")
+    shared = shipped(docs.sparkSession, model)
+
+    def start():
+        own = received(shared)
+        tools = own.compressors()
+
+        def score(texts: list[str | None]):
+            return None, [own.score([own.features(t or "", tools) for t in texts]) if texts else []]
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tools = shared.value.compressors()
-        for batch in batches:
-            values = shared.value.score([Model.features(t or "", tools) for t in batch["text"]]) if len(batch) else []
-            yield batch[keep].assign(**{name: values})
+        return score
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(trimmed(score), schema)
+    return map_rows(docs, keep, ["text"], f"{name} double", start)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
