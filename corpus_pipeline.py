@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, mixing, neardup, sharding, toxicity
-from corpusloom.llm.common import materialize, table, text_or_empty
+from corpusloom.llm.common import drop_table, fresh, materialize, quoted, table, text_or_empty
 
 
 def keep_ordinary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the compression classifier, trained on this input's labelled rows, does not call toxic."""
     model = toxicity.train(*toxicity.sample(docs, table(spark, sf_dir, "labels")))
-    return toxicity.scored(docs, model, docs.columns, "_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    score = fresh(docs, "toxicity")
+    return toxicity.scored(docs, model, docs.columns, score).where(F.col(score) < 0.5).drop(score)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +27,11 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text holds no benchmark item. Whether it does depends on the text alone, so texts are its keys."""
-    keyed = docs.withColumn("_text_key", F.md5(text_or_empty("text")))
-    found = decontaminate.contaminated(keyed.select(F.col("_text_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    leaks = materialize(found.select(F.col("doc_id").alias("_text_key")).distinct(), "leaks")
-    return keyed.join(leaks, "_text_key", "left_anti").select(*docs.columns)
+    key = fresh(docs, "text_key")
+    keyed = docs.withColumn(key, F.md5(text_or_empty("text")))
+    found = decontaminate.contaminated(keyed.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    leaks = materialize(found.select(F.col("doc_id").alias(key)).distinct(), "leaks")
+    return keyed.join(leaks, key, "left_anti").select(*map(quoted, docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +55,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        kept = materialize(stage(spark, docs, sf_dir), name)
+        if k:
+            drop_table(docs)  # the next stages read what this one kept
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
