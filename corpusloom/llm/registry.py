@@ -6,7 +6,7 @@ from .decontaminate import op1_decontaminate
 from .langid import op4_language
 from .mixing import OP5_SQL, op5_fair_queue
 from .neardup import op10_bagminhash
-from .pii import op9_disclosure
+from .pii import OP9_SQL, op9_disclosure
 from .sharding import op7_virtual_slots
 from .substrings import op3_suffix_dedup
 from .toxicity import op2_toxicity
@@ -28,4 +28,5 @@ ORACLE_SQL = {
     "op5_fair_queue": OP5_SQL,
     "op6_bit_sliced": OP6_SQL,
     "op8_reply_trees": OP8_SQL,
+    "op9_disclosure": OP9_SQL,
 }

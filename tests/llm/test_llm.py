@@ -375,7 +375,8 @@ def test_base_spans(spark, empty):
 
 
 def test_disclosing_terms(spark):
-    texts = [f"{prose(30)} Zyxwara writes to ann@corp.example {prose(30)}" for _ in range(6)] + [prose(40) + " writes " + prose(5) for _ in range(80)]
+    some = lambda n: " ".join(f"w{rnd.choice('abcdefghij')}{rnd.choice('klmnopqrst')}" for _ in range(n))
+    texts = [f"{some(30)} Zyxwara writes to ann@corp.example {some(30)}" for _ in range(6)] + [some(40) + " writes " + some(5) for _ in range(80)]
     out = {r["doc_id"]: r for r in pii.find(frame(spark, texts)).collect()}
     for i in range(6):
         words = {texts[i][t["start"] : t["end"]]: t["action"] for t in out[i]["terms"]}
@@ -389,7 +390,7 @@ def test_disclosing_terms(spark):
 def test_flagged_terms_everywhere(spark):
     """A flagged term goes from every text: far from the entity, in documents without it and without any base span, in each spelling."""
     far = " ".join(f"plain{'abcdefghij'[i % 10]}" for i in range(60))
-    texts = [f"{far} {'abcdefgh'[i] * 4} Zyxwara writes to ann@corp.example {far}" for i in range(6)]
+    texts = [f"{far} {'abcdefgh'[i] * 4} Zyxwara writes to ann@corp.example {'abcdefgh'[i] * 4} {far}" for i in range(6)]
     texts[5] += " ZYXWARA again, zyxwara, Zyxwaras zyxwara@x.example éZyxwara"
     texts += [f"{far} zyxwara", f"Zyxwara {far} bob@other.example", None] + [f"{far} writes {i}" for i in range(300)]
     out = {r["doc_id"]: r for r in pii.find(frame(spark, texts)).collect()}
@@ -400,6 +401,30 @@ def test_flagged_terms_everywhere(spark):
     assert [len(out[i]["terms"]) for i in range(9)] == [1, 1, 1, 1, 1, 3, 1, 1, 0]
 
 
+def test_copies_disclose_nothing(spark):
+    """A word that edited copies of one text have beside an address is not evidence, however many they are."""
+    texts = [f"{'abcdefgh'[i] * 4} plain words Zyxwara writes to ann@corp.example soon after" for i in range(8)] + [f"plain words {i}" for i in range(300)]
+    assert not any(r["terms"] for r in pii.find(frame(spark, texts)).collect())
+
+
+def test_disclosure_against_sql(spark):
+    """The whole operator against its SQL where two contexts are enough, which flags terms in these tables."""
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    want = sorted(tuple(map(str, r)) for r in con.execute(pii.SQL.replace("{support}", "2")).fetchall())
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = sorted(tuple(map(str, r)) for r in pii.digest(pii.find(docs, support=2)).collect())
+    assert got == want and sum(int(r[-1]) for r in got) > 10
+
+
+def test_many_spans(spark):
+    text = " ".join(f"user{i} wrote to person{i}@corp{i % 7}.example about 10.0.{i % 250}.1 today" for i in range(5000))
+    out = pii.digest(pii.find(frame(spark, [text, text, None]))).orderBy("doc_id").collect()
+    assert [(r["n_email"], r["n_ip"]) for r in out] == [(5000, 5000), (5000, 5000), (0, 0)]
+    want = ",".join(f"{k}:{a}:{b}" for k, a, b in brute_spans(text))
+    assert out[0]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+
+
 # 10 Near-duplicates
 
 
