@@ -7,13 +7,17 @@ on the input texts and never cross documents.
 2. Every string of `length` bytes is keyed by the smallest hash of its `GRAM`-byte substrings (winnowing), so equal strings have equal
    keys, and neighbouring strings mostly share one: a text has about 2 / (length - GRAM + 2) keys a byte. Keys are dealt out to
    shards; only those of two texts or more go on. A repeated string's key always does, so nothing is lost.
-3. Stretches of text whose strings have such a key go to the key's shard, equal stretches once. A shard is suffix-sorted by
-   induced sorting with disk-backed queues; neighbours in suffix order that share `length` bytes are one string, which takes the
-   smallest doc_id of its documents.
-4. The strings that a smaller doc_id has come back as intervals of each text, and the bytes they cover are removed.
-
-Shards are numbered by hash, as many as there are shuffle partitions or `FINE` times as many: they grow in number, not in size. Rows between steps are
-packed arrays. Texts are shuffled once, into a table bucketed by their MD5 that later steps read without a shuffle.
+3. Stretches of text whose strings have such a key go to the key's shard, equal stretches of a batch of texts once, with the smallest
+   doc_id they have there. A shard keeps each distinct stretch once and sorts their suffixes by external induced sorting:
+   disk-backed priority queues of suffix tuples with their common prefixes, level by level (`suffixsort`). Neighbours whose common
+   prefix has `length` bytes are one string, which takes the smallest doc_id of its stretches.
+4. What a shard finds of a stretch, runs of strings with their smallest doc_id, is joined to the places where the stretch stands by its
+   128-bit hash. Only this join sees every place of a common stretch, and Spark splits it where one stretch has very many.
+   The bytes that strings of a smaller doc_id cover are removed from each text.
+
+Shards are numbered by hash, as many as there are shuffle partitions, which are to grow with the input; one is sorted at a time, in
+`memory` bytes a structure and files beyond. Texts are shuffled once, into a table bucketed by their MD5 that later steps
+read without a shuffle.
 
 Edge cases: null is the empty text; a document without doc_id counts as larger than all others; rows with one doc_id do not
 make each other repeated; texts shorter than `length` stay; an empty table gives an empty result; extra columns are ignored.
@@ -26,18 +30,20 @@ import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions, table, text_or_empty, trimmed
-from .suffixsort import neighbours_match, suffix_order
+from .suffixsort import BLOCK, Space, sort
 
 LENGTH, GRAM = 50, 24
-FINE = 3  # shards of stretches for each shard of keys; a task sorts its shards one after the other
+MEMORY = 64 << 20
 LAST = (1 << 63) - 1
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -138,12 +144,8 @@ def shared_keys(rows: DataFrame, shards: int) -> DataFrame:
     """(node, keys): the keys of each text that another text has too, low 48 bits, by shard."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for s, blob in zip(batch["shard"], batch["blob"], strict=True):
-                held.setdefault(s, []).append(blob)
-        for s in list(held):
-            parts = [pickle.loads(b) for b in held.pop(s)]
+        for blobs in grouped(batches):
+            parts = [pickle.loads(b) for b in blobs]
             nodes = np.frombuffer(b"".join(p[0] for p in parts), np.uint8).reshape(-1, 16)
             counts = np.concatenate([np.frombuffer(p[1], np.uint32) for p in parts])
             six = np.frombuffer(b"".join(p[2] for p in parts), np.uint8).reshape(-1, 6)
@@ -163,108 +165,146 @@ def shared_keys(rows: DataFrame, shards: int) -> DataFrame:
             if len(cut):
                 yield pd.DataFrame({"node": [nodes[own[a]].tobytes().hex() for a in cut], "keys": [kept[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]})
 
-    return rows.repartition(shards, "shard").mapInPandas(trimmed(count), "node string, keys binary")
+    return by_shard(rows, shards).mapInPandas(trimmed(count), "node string, keys binary")
+
+
+def by_shard(rows: DataFrame, shards: int) -> DataFrame:
+    return rows.repartition(shards, "shard").sortWithinPartitions("shard")
+
+
+def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[Iterator[bytes]]:
+    """The blobs of each shard, one shard after the other, as they are read."""
+    rows = ((s, blob) for batch in batches for s, blob in zip(batch["shard"], batch["blob"], strict=True))
+    for _, own in groupby(rows, lambda r: r[0]):
+        yield (blob for _, blob in own)
 
 
 def stretch_rows(texts: DataFrame, shared: DataFrame, shards: int, length: int) -> DataFrame:
-    """(shard, blob): for each batch of texts and shard the stretches with a shared key, equal ones once, and where they stand."""
+    """Of each batch of texts (shard, blob): the stretches with a shared key, equal ones once, with their least and largest doc_id;
+    and of each text (node, low, h, l, starts): the 128-bit hashes of its stretches, and where they stand."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys = Keys(length)
         low48 = np.uint64((1 << 48) - 1)
         for batch in parts(batches):
-            stretch: dict[int, dict[bytes, int]] = {}
-            where: dict[int, list] = {}
-            for i, (data, sets) in enumerate(zip(batch["data"], batch["sets"], strict=True)):
+            stretch: dict[int, dict[bytes, list[int]]] = {}
+            places = []
+            for node, low, data, sets in zip(batch["node"], batch["low"].tolist(), batch["data"], batch["sets"], strict=True):
                 wanted = np.frombuffer(b"".join(sets), np.uint64)
                 first, end, key = keys.runs(np.frombuffer(data, np.uint8))
                 use = np.flatnonzero(np.isin(key & low48, wanted))
+                hashes = []
                 for a, b, s in zip(first[use].tolist(), end[use].tolist(), shard_of(key[use], shards).tolist(), strict=True):
-                    of = stretch.setdefault(s, {})
-                    where.setdefault(s, []).append((of.setdefault(data[a : b + length - 1], len(of)), i, a))
-            rows = []
-            nodes, lows = batch["node"].to_numpy(), batch["low"].to_numpy(np.int64)
-            for s, of in stretch.items():
-                at = np.array(where[s], np.int64)
-                docs, local = np.unique(at[:, 1], return_inverse=True)
-                names = b"".join(bytes.fromhex(x) for x in nodes[docs])
-                rows.append((s, pack(b"".join(of), np.array([len(x) for x in of], np.int64), names, lows[docs], at[:, 0], local, at[:, 2])))
-            if rows:
-                yield pd.DataFrame(rows, columns=["shard", "blob"])
+                    own = data[a : b + length - 1]
+                    hashes.append(xxhash.xxh3_128_intdigest(own))
+                    seen = stretch.setdefault(s, {}).setdefault(own, [low, low])
+                    if low < seen[0]:
+                        seen[0] = low
+                    elif low > seen[1]:
+                        seen[1] = low
+                if hashes:
+                    pair = np.frombuffer(b"".join(x.to_bytes(16, "little") for x in hashes), "<i8").reshape(-1, 2)
+                    places.append((node, low, pair[:, 0], pair[:, 1], first[use].astype(np.int32)))
+            rows = [(s, pack(b"".join(of), np.array([len(x) for x in of], np.int64), np.array(list(of.values()), np.int64))) for s, of in stretch.items()]
+            names = ["shard", "blob", "node", "low", "h", "l", "starts"]
+            whole = {"shard": "Int32", "low": "Int64"}
+            yield pd.DataFrame([(*r, None, None, None, None, None) for r in rows], columns=names, dtype=object).astype(whole)
+            yield pd.DataFrame([(None, None, *r) for r in places], columns=names, dtype=object).astype(whole)
 
     sets = shared.groupBy("node").agg(F.collect_list("keys").alias("sets"))
-    return texts.join(sets, "node").select("node", "low", "data", "sets").mapInPandas(trimmed(find), "shard int, blob binary")
-
-
-def repeated(rows: DataFrame, shards: int, length: int) -> DataFrame:
-    """(node, spans): the intervals [start, end) of each text that repeat a text of smaller doc_id, by shard."""
-
-    def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for s, blob in zip(batch["shard"], batch["blob"], strict=True):
-                held.setdefault(s, []).append(blob)
-        for s in list(held):
+    schema = "shard int, blob binary, node string, low long, h array<long>, l array<long>, starts array<int>"
+    return texts.join(sets, "node").select("node", "low", "data", "sets").mapInPandas(trimmed(find), schema)
+
+
+def smallest_starts(text: np.ndarray, sizes: np.ndarray, lowest: np.ndarray, length: int, memory: int, folder: str) -> np.ndarray:
+    """For each byte of the joined stretches the smallest doc_id of the string of `length` bytes that starts there."""
+    space = Space(memory, folder)
+    offset = np.r_[0, np.cumsum(sizes)]
+    order, shared = sort(text, length, space)
+    group, n_groups, least = space.array(len(text), np.int64), 0, 0
+    for a in range(0, len(order), BLOCK):
+        at, common = np.asarray(order[a : a + BLOCK]), np.asarray(shared[a : a + BLOCK])
+        whole = offset[np.searchsorted(offset, at, "right")] - at >= length  # others cross stretches
+        keep = np.flatnonzero(whole)
+        # Between two whole strings the least common prefix counts, of those that cross too.
+        edges = np.r_[0, keep + 1]
+        least_of = np.minimum.reduceat(np.r_[common, length], edges)[: len(keep)] if len(keep) else np.zeros(0, np.int64)
+        tail = common[edges[-1] :]
+        if len(keep):
+            least_of[0] = min(least_of[0], least)
+            new = least_of < length
+            group[at[keep]] = n_groups + np.cumsum(new)
+            n_groups += int(new.sum())
+            least = int(tail.min()) if len(tail) else length
+        else:
+            least = min(least, int(tail.min()) if len(tail) else length)
+    best = space.array(n_groups + 1, np.int64)
+    best[:] = LAST
+    for a in range(0, len(text), BLOCK):
+        g = np.asarray(group[a : a + BLOCK])
+        some = np.flatnonzero(g)
+        np.minimum.at(best, g[some], lowest[np.searchsorted(offset, a + some, "right") - 1])
+    for a in range(0, len(text), BLOCK):
+        group[a : a + BLOCK] = best[group[a : a + BLOCK]]
+    return group
+
+
+def repeated(rows: DataFrame, shards: int, length: int, memory: int = MEMORY) -> DataFrame:
+    """(h, l, lows, begins, ends): for each stretch the runs [begin, end) of strings that a document has whose doc_id is smaller than that of
+    another one with the stretch, by shard."""
+
+    def sorted_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for blobs in grouped(batches):
             number: dict[bytes, int] = {}
-            least: list[int] = []
-            nodes, which, owner, start, low = [], [], [], [], []
-            n_docs = 0
-            for blob in held.pop(s):
-                joined, sizes, names, lows, at, local, begin = unpack(blob)
+            lowest, highest = [], []
+            for blob in blobs:
+                joined, sizes, lows = unpack(blob)
                 ends = np.cumsum(sizes)
-                own = np.array([number.setdefault(joined[e - n : e], len(number)) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], np.int64)
-                least += [LAST] * (len(number) - len(least))
-                nodes.append(names)
-                which.append(own[at])
-                owner.append(local + n_docs)
-                start.append(begin)
-                low.append(lows[local])
-                n_docs += len(lows)
-            which, owner, start, low = map(np.concatenate, (which, owner, start, low))
+                for e, n, (low, high) in zip(ends.tolist(), sizes.tolist(), lows.tolist(), strict=True):
+                    k = number.setdefault(joined[e - n : e], len(number))
+                    if k == len(lowest):
+                        lowest.append(low)
+                        highest.append(high)
+                    else:
+                        lowest[k], highest[k] = min(lowest[k], low), max(highest[k], high)
             sizes = np.array([len(x) for x in number], np.int64)
             text = np.frombuffer(b"".join(number), np.uint8)
+            hashes = np.frombuffer(b"".join(xxhash.xxh3_128_intdigest(x).to_bytes(16, "little") for x in number), "<i8").reshape(-1, 2)
             del number
-            lowest = np.full(len(sizes), LAST, np.int64)
-            np.minimum.at(lowest, which, low)
-            offset = np.r_[0, np.cumsum(sizes)]
-            strings = sizes - (length - 1)
-            valid = np.ones(len(text), bool)
-            for back in range(1, length):
-                valid[offset[1:] - back] = False
             with tempfile.TemporaryDirectory() as folder:
-                order = suffix_order(text, length, folder=folder)
-            order = order[valid[order]]
-            group = np.flatnonzero(~neighbours_match(text, order, length))
-            of = np.searchsorted(offset, order, "right") - 1
-            best = np.minimum.reduceat(lowest[of], group)
-            smallest = np.empty(len(text), np.int64)
-            smallest[order] = np.repeat(best, np.diff(np.r_[group, len(order)]))
-            # Every place where a stretch stands: which of its strings have a smaller doc_id.
-            count = strings[which]
-            begin = np.r_[0, np.cumsum(count)]
-            inner = np.arange(begin[-1]) - np.repeat(begin[:-1], count)
-            hit = smallest[np.repeat(offset[which], count) + inner] < np.repeat(low, count)
-            edge = np.zeros(len(hit) + 1, bool)
-            edge[begin] = True
-            first = np.flatnonzero(hit & np.r_[True, ~hit[:-1] | edge[1 : len(hit)]])
-            last = np.flatnonzero(hit & np.r_[~hit[1:] | edge[1 : len(hit)], True])
-            at = np.searchsorted(begin, first, "right") - 1
-            spans = np.stack([start[at] + inner[first], start[at] + inner[last] + length], axis=1).astype(np.int64)
-            order = np.argsort(owner[at], kind="stable")
-            own, spans = owner[at][order], spans[order]
-            cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
-            ends = np.r_[cut[1:], len(own)][: len(cut)]
-            joined = b"".join(nodes)
-            if len(cut):
-                yield pd.DataFrame({"node": [joined[16 * own[a] : 16 * own[a] + 16].hex() for a in cut], "spans": [spans[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]})
-
-    return rows.repartition(shards, "shard").mapInPandas(trimmed(sort), "node string, spans binary")
-
-
-def cut(data: bytes, spans: list[bytes]) -> tuple[list[tuple[int, int]], bytes]:
+                smallest = smallest_starts(text, sizes, np.array(lowest, np.int64), length, memory, folder)
+                offset = np.r_[0, np.cumsum(sizes)]
+                for a in range(0, len(sizes), 1 << 14):
+                    b = min(a + (1 << 14), len(sizes))
+                    low = np.asarray(smallest[offset[a] : offset[b]])
+                    of = np.repeat(np.arange(a, b), sizes[a:b])
+                    place = np.arange(offset[a], offset[b]) - offset[of]
+                    hit = (place <= sizes[of] - length) & (low < np.array(highest, np.int64)[of])
+                    first = np.flatnonzero(hit & np.r_[True, ~hit[:-1] | (low[1:] != low[:-1]) | (of[1:] != of[:-1])])
+                    if not len(first):
+                        continue
+                    last = np.flatnonzero(hit & np.r_[~hit[1:] | (low[1:] != low[:-1]) | (of[1:] != of[:-1]), True])
+                    own = of[first]
+                    cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                    split = lambda x: np.split(x, cuts[1:])
+                    yield pd.DataFrame({"h": hashes[own[cuts], 0], "l": hashes[own[cuts], 1], "lows": split(low[first]), "begins": split(place[first].astype(np.int32)), "ends": split((place[last] + 1).astype(np.int32))})
+
+    return by_shard(rows, shards).mapInPandas(trimmed(sorted_), "h long, l long, lows array<long>, begins array<int>, ends array<int>")
+
+
+def covered(found: DataFrame, runs: DataFrame, length: int) -> DataFrame:
+    """(node, spans): the intervals [start, end) of each text that repeat a text of smaller doc_id."""
+    places = found.select("node", "low", F.explode(F.arrays_zip("h", "l", "starts")).alias("p")).select("node", "low", "p.h", "p.l", "p.starts")
+    smaller = F.filter(F.arrays_zip("lows", "begins", "ends"), lambda r: r["lows"] < F.col("low"))
+    spans = F.transform(smaller, lambda r: F.struct((F.col("starts") + r["begins"]).alias("a"), (F.col("starts") + r["ends"] + (length - 1)).alias("b")))
+    hit = places.join(runs, ["h", "l"]).select("node", spans.alias("spans")).where(F.size("spans") > 0)
+    return hit.groupBy("node").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], bytes]:
     """(maximal removed runs, what is left)."""
     runs: list[list[int]] = []
-    for a, b in sorted(map(tuple, np.frombuffer(b"".join(spans), np.int64).reshape(-1, 2).tolist())):
+    for a, b in sorted(spans):
         if runs and a <= runs[-1][1]:
             runs[-1][1] = max(runs[-1][1], b)
         else:
@@ -289,19 +329,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     try:
         texts = spark.table(name)
         keys = materialize(shared_keys(key_rows(texts, shards, length), shards), "keys")
-        stretches = stretch_rows(texts, keys, FINE * shards, length)
-        spans = materialize(repeated(stretches, shards, length), "spans")
+        found = materialize(stretch_rows(texts, keys, shards, length), "stretches")
+        runs = materialize(repeated(found.where("shard is not null").select("shard", "blob"), shards, length), "runs")
+        spans = covered(found.where("node is not null"), runs, length)
 
         def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 out = []
                 for node, data, own in zip(batch["node"], batch["data"], batch["spans"], strict=True):
-                    runs, kept = cut(data, own)
+                    runs, kept = cut(data, [(x["a"], x["b"]) for x in own])
                     out.append((node, sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
                 yield pd.DataFrame(out, columns=["node", "n_removed", "n_spans", "sha", "kept"])
 
-        grouped = spans.groupBy("node").agg(F.collect_list("spans").alias("spans"))
-        judged = texts.join(grouped, "node").select("node", "data", "spans").mapInPandas(trimmed(judge), "node string, n_removed long, n_spans long, sha string, kept binary")
+        judged = texts.join(spans, "node").select("node", "data", "spans").mapInPandas(trimmed(judge), "node string, n_removed long, n_spans long, sha string, kept binary")
         known = materialize(texts.select("node", "low").join(judged, "node", "left"), "judged")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")

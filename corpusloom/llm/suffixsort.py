@@ -1,12 +1,20 @@
-"""Suffix sorting of one shard by induced sorting, with disk-backed bucket queues.
+"""External suffix and common-prefix arrays by induced sorting with disk-backed priority queues.
 
-Suffixes are told apart to a depth of `depth` bytes (all that a match of that length needs). The leftmost S-type (LMS)
-substrings are named and the reduced string of names is ranked, each round doubling the names a rank covers, until ranks
-cover the depth; ranked LMS suffixes then induce the L-type and these the S-type suffixes. A bucket of the induction is a
-first-in first-out queue of suffix positions; queues beyond `memory` bytes are kept in files, so a shard's queues may be
-larger than memory. Positions are induced a queue wave at a time, as arrays.
+A level sorts the suffixes of a string of symbols. Its leftmost S-type (LMS) suffixes are sorted by their LMS substrings, these are
+named, and the string of names is sorted by the same function, level by level, until all names differ. Sorted LMS suffixes
+then induce the L-type suffixes in ascending order, and these the S-type ones in descending order. Both inductions are one
+routine over a priority queue of tuples (key, place, common prefix): the key is the suffix's first symbol and the rank of the
+suffix behind it, so what is popped is in suffix order, and what a popped tuple induces has a larger key.
 
-The common prefixes of neighbours in suffix order are compared eight bytes at a time and carried to the depth.
+The common prefix of a suffix with the one before it is carried in its tuple: if two suffixes follow each other in a bucket, theirs
+is one more than the smallest among those of the suffixes that induced them and all ranked in between. Values are cut off
+at `depth`, so beyond the block at hand that smallest value comes from `depth` + 1 numbers, the last ranks with at most each value. Names that agree come
+back from the recursion as a count and are turned into symbols by the places of the LMS suffixes; only what lies beyond
+them is compared.
+
+Memory: a queue keeps sorted runs of tuples, at most `memory` bytes of them in memory and the rest in files; popping reads blocks of
+`BLOCK` tuples a run at most, and files are merged when there are more than `RUNS`. Texts, types, ranks and results of a
+level are memory-mapped files too once they pass `memory`; a block reads them at its own places in ascending order.
 """
 
 from __future__ import annotations
@@ -16,163 +24,282 @@ import tempfile
 
 import numpy as np
 
+BLOCK, RUNS = 1 << 15, 24
+
+
+class Space:
+    """Arrays and files of one sort: in memory up to a size, memory-mapped files beyond it."""
+
+    def __init__(self, memory: int, folder: str):
+        self.memory, self.folder = memory, folder
+        self.on_disk = 0  # bytes written so far
+
+    def array(self, n: int, kind) -> np.ndarray:
+        size = n * np.dtype(kind).itemsize
+        if size <= self.memory:
+            return np.zeros(n, kind)
+        self.on_disk += size
+        handle, path = tempfile.mkstemp(dir=self.folder)
+        os.ftruncate(handle, size)
+        out = np.memmap(path, kind, "r+", shape=(n,))
+        os.close(handle)
+        os.unlink(path)
+        return out
+
+    def stored(self, rows: np.ndarray) -> np.ndarray:
+        out = self.array(rows.size, np.int64).reshape(rows.shape)
+        out[:] = rows
+        return out
+
 
 class Queue:
-    """A FIFO of position arrays that goes to a file when the pool is over its memory."""
+    """A priority queue of tuples (rows of int64, the first column a key that no two tuples share)."""
 
-    def __init__(self, pool: Pool):
-        self.pool, self.parts, self.file = pool, [], None
+    def __init__(self, space: Space):
+        self.space = space
+        self.near: list[list] = []  # [sorted rows, next row] in memory
+        self.far: list[list] = []  # the same in files
+        self.held = 0
 
-    def push(self, a: np.ndarray) -> None:
-        if not len(a):
+    def push(self, rows: np.ndarray, in_order: bool = False) -> None:
+        if not len(rows):
             return
-        if self.pool.used + a.nbytes > self.pool.memory:
-            self.spill()
-            if self.file is None:
-                self.file = tempfile.TemporaryFile(dir=self.pool.folder)
-            self.file.seek(0, os.SEEK_END)
-            a.tofile(self.file)
-        elif self.file is not None:  # order: what is on disk comes first
-            self.file.seek(0, os.SEEK_END)
-            a.tofile(self.file)
-        else:
-            self.parts.append(a)
-            self.pool.used += a.nbytes
-
-    def spill(self) -> None:
-        if self.parts:
-            self.file = self.file or tempfile.TemporaryFile(dir=self.pool.folder)
-            self.file.seek(0, os.SEEK_END)
-            for p in self.parts:
-                p.tofile(self.file)
-                self.pool.used -= p.nbytes
-            self.parts = []
-
-    def pop(self) -> np.ndarray:
-        """All positions queued so far."""
-        out = self.parts
-        self.pool.used -= sum(p.nbytes for p in out)
-        self.parts = []
-        if self.file is not None:
-            self.file.seek(0)
-            out = [np.fromfile(self.file, self.pool.kind)]
-            self.file.close()
-            self.file = None
-        return np.concatenate(out) if out else np.zeros(0, self.pool.kind)
-
-
-class Pool:
-    def __init__(self, memory: int, folder: str | None = None, kind=np.int64):
-        self.memory, self.folder, self.kind, self.used = memory, folder, kind, 0
-
-    def queues(self, n: int) -> list[Queue]:
-        return [Queue(self) for _ in range(n)]
-
-
-def words_at(text: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position on as a big-endian number; text has 8 bytes of padding."""
-    return np.ndarray((len(text) - 7,), ">u8", text.tobytes(), 0, (1,))
-
-
-def types(text: np.ndarray) -> np.ndarray:
-    """True where the suffix is S-type; the end counts as smaller than any byte."""
+        self.near.append([rows if in_order else rows[np.argsort(rows[:, 0], kind="stable")], 0])
+        self.held += rows.nbytes
+        if self.held > self.space.memory or len(self.near) > RUNS:
+            merged = np.concatenate([r[a:] for r, a in self.near])
+            merged = merged[np.argsort(merged[:, 0], kind="stable")]
+            self.near, self.held = [], 0
+            if merged.nbytes > self.space.memory // 2:
+                self.far.append([self.space.stored(merged), 0])
+                if len(self.far) > RUNS:
+                    self.merge()
+            else:
+                self.near, self.held = [[merged, 0]], merged.nbytes
+
+    def merge(self) -> None:
+        """Make the files one, a block at a time."""
+        near, self.near = self.near, []
+        out, at = self.space.array(3 * sum(len(r) - a for r, a in self.far), np.int64).reshape(-1, 3), 0
+        while self.far:
+            rows = self.first(BLOCK)
+            out[at : at + len(rows)] = rows
+            at += len(rows)
+            self.drop(int(rows[-1, 0]))
+        self.near, self.far = near, [[out, 0]]
+
+    def first(self, most: int) -> np.ndarray:
+        """The tuples of smallest keys, in order, at most `most`."""
+        parts = [np.asarray(r[a : a + most]) for r, a in self.near + self.far]
+        if len(parts) == 1:
+            return parts[0]
+        rows = np.concatenate(parts) if parts else np.zeros((0, 3), np.int64)
+        return rows[np.argsort(rows[:, 0], kind="stable")[:most]]
+
+    def drop(self, key: int) -> None:
+        """Remove the tuples up to this key."""
+        for runs in (self.near, self.far):
+            for run in runs:
+                run[1] += int(np.searchsorted(run[0][run[1] : run[1] + BLOCK, 0], key, "right"))
+            runs[:] = [r for r in runs if r[1] < len(r[0])]
+
+
+def equal_ahead(text: np.ndarray, p: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many symbols from p and from q on agree, at most `most` of each pair; the end of the text agrees with nothing."""
+    out = np.zeros(len(p), np.int64)
+    most = np.minimum(most, len(text) - np.maximum(p, q))
+    open_ = np.flatnonzero(most > 0)
+    while len(open_):
+        k = out[open_]
+        open_ = open_[text[p[open_] + k] == text[q[open_] + k]]
+        out[open_] += 1
+        open_ = open_[out[open_] < most[open_]]
+    return out
+
+
+def range_minima(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The least of values[first .. last] for each pair of places."""
+    levels, begin = [values], [0]
+    while 2 << (len(levels) - 1) <= len(values):
+        half = 1 << (len(levels) - 1)
+        begin.append(begin[-1] + len(levels[-1]))
+        levels.append(np.minimum(levels[-1][:-half], levels[-1][half:]))
+    flat, begin = np.concatenate(levels), np.array(begin)
+    k = np.frexp(last - first + 1)[1] - 1
+    return np.minimum(flat[begin[k] + first], flat[begin[k] + last - (1 << k) + 1])
+
+
+def induce(text: np.ndarray, flip: int | None, wanted: np.ndarray, seeds: Queue, depth: int, space: Space, end: int | None = None):
+    """Blocks (places, seeded, common prefixes with the one before) of the seeds and all they induce, in order.
+
+    A place before a popped one is induced where `wanted` says so. With flip, symbols count downwards from it. depth 0: no prefixes.
+    `end`: the symbol whose last place is seeded as what the end of the text induces.
+    """
+    n_symbols = int(text.max()) + 1 if len(text) else 0
+    latest = space.array(n_symbols, np.int64)  # the rank that induced the last suffix of each symbol, less one
+    latest[:] = -1
+    if end is not None:
+        latest[end] = 0
+    last = np.full(depth + 1, -1, np.int64)  # the last rank with at most this common prefix
+    rank, before, size = 1, None, min(BLOCK, 256)
+    while len(rows := seeds.first(size)):
+        key, place = rows[:, 0], rows[:, 1]
+        # What a tuple induces must come behind all that are popped with it: take the first that all do.
+        prior = place - 1
+        some = np.flatnonzero(prior >= 0)
+        some = some[wanted[prior[some]]]
+        symbol = text[prior[some]].astype(np.int64)
+        new = ((symbol if flip is None else flip - symbol) << 33) | (rank + some)
+        least = np.full(len(rows) + 1, np.iinfo(np.int64).max)
+        least[some + 1] = new
+        safe = int(np.argmax(np.r_[key >= np.minimum.accumulate(least)[:-1], True]))
+        size = min(BLOCK, max(64, 2 * safe))
+        keep = some < safe
+        some, symbol, new = some[keep], symbol[keep], new[keep]
+        rows = np.array(rows[:safe])
+        seeds.drop(int(rows[-1, 0]))
+        key, place, shared = rows.T
+        seeded = (key >> 32) & 1 == 1
+        carried = np.zeros(len(new), np.int64)
+        if depth:
+            shared = shared.copy()
+            bucket = key >> 33
+            joint = np.r_[before[0] if before else -1, bucket[:-1]] == bucket
+            turn = joint & (np.r_[before[1] if before else False, seeded[:-1]] != seeded)
+            shared[~joint] = 0
+            if turn.any():  # an L- and an S-type suffix of one symbol agree as long as the shorter run of it
+                at = np.flatnonzero(turn)
+                other = np.r_[before[2] if before else 0, place[:-1]][at]
+                runs = [equal_ahead(text, x, x + 1, np.full(len(x), depth)) + 1 for x in (place[at], other)]
+                shared[at] = np.minimum(np.minimum(*runs), depth)
+            if len(new):
+                order = np.argsort(symbol, kind="stable")
+                s, here = symbol[order], some[order]
+                same = np.r_[False, s[1:] == s[:-1]]
+                left = np.where(same, np.r_[0, here[:-1] + rank], latest[s])
+                inside = np.flatnonzero(left >= rank)
+                smallest = np.minimum(np.minimum.accumulate(shared)[here], np.searchsorted(last, left, "right"))
+                smallest[inside] = range_minima(shared, left[inside] - rank + 1, here[inside])
+                carried[order] = np.where(left < 0, 0, np.minimum(smallest + 1, depth))
+                latest[s] = here + rank  # the last of equal ones stays
+            own = np.full(depth + 1, -1, np.int64)
+            own[shared] = rank + np.arange(safe)
+            last = np.maximum(last, np.maximum.accumulate(own))
+            before = (bucket[-1], seeded[-1], place[-1])
+        seeds.push(np.stack([new, place[some] - 1, carried], axis=1))
+        yield place, seeded, shared
+        rank += safe
+
+
+def types(text: np.ndarray, space: Space) -> np.ndarray:
+    """True where the suffix is S-type; the end counts as smaller than any symbol."""
     n = len(text)
-    change = np.flatnonzero(text[1:] != text[:-1])
-    last = np.r_[change, n - 1]  # last position of each run of one byte
-    rises = np.r_[text[change] < text[change + 1], False]
-    return np.repeat(rises, np.diff(np.r_[-1, last]))
+    out = space.array(n, bool)
+    after, own = -1, False  # the symbol behind the block, and its type
+    for a in range((n - 1) // BLOCK * BLOCK, -1, -BLOCK):
+        x = np.r_[np.asarray(text[a : a + BLOCK]).astype(np.int64), after]
+        change = np.flatnonzero(x[:-1] != x[1:])
+        rises = x[change] < x[change + 1]
+        ends = np.r_[change, len(x) - 2] if not len(change) or change[-1] != len(x) - 2 else change
+        kinds = np.r_[rises, own] if len(ends) > len(rises) else rises
+        out[a : a + len(x) - 1] = np.repeat(kinds, np.diff(np.r_[-1, ends]))
+        after, own = int(x[0]), bool(out[a])
+    return out
 
 
-def rank_lms(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, depth: int) -> np.ndarray:
-    """Dense ranks of LMS suffixes, right to `depth` bytes. A symbol is a byte with its type (L before S), 10 bits; 0 is the end."""
+def both_ways(text: np.ndarray, s_type: np.ndarray, lms: list[np.ndarray], depth: int, space: Space):
+    """Blocks (places, common prefixes with the next smaller) of all suffixes in descending order; lms: (places, common prefixes) in order."""
     n = len(text)
-    symbol = np.zeros(n + 6, np.int64)
-    symbol[:n] = text.astype(np.int64) * 2 + s_type + 1
-    six = np.zeros(n, np.int64)
-    for j in range(6):
-        six = (six << 10) | symbol[j : n + j]
-    length = np.r_[lms[1:] + 1, n] - lms  # an LMS substring ends with the next LMS byte
-    name = np.zeros(len(lms), np.int64)
-    for k in range(0, min(int(length.max()), depth + 6), 6):
-        some = np.flatnonzero(length > k)
-        left = np.minimum(length[some] - k, 6)
-        _, part = np.unique(six[lms[some] + k] >> (60 - 10 * left) << (60 - 10 * left), return_inverse=True)
-        if k == 0:
-            name = part
-        else:
-            more = np.zeros(len(lms), np.int64)
-            more[some] = part + 1
-            _, name = np.unique(name * (len(lms) + 1) + more, return_inverse=True)
-    span = 1
-    while span * 2 < depth + 2 and len(lms) and int(name.max()) + 1 < len(name):
-        ahead = np.zeros(len(name), np.int64)
-        ahead[: max(0, len(name) - span)] = name[span:] + 1
-        _, name = np.unique(name * (len(lms) + 1) + ahead, return_inverse=True)
-        span *= 2
-    return name
-
-
-def suffix_order(text: np.ndarray, depth: int, memory: int = 256 << 20, folder: str | None = None) -> np.ndarray:
-    """Positions of text (bytes) in suffix order, right to `depth` bytes."""
+    first = Queue(space)
+    top = int(text.max())
+    for a in range(0, len(lms[0]), BLOCK):
+        p = np.asarray(lms[0][a : a + BLOCK], np.int64)
+        key = (text[p].astype(np.int64) << 33) | (1 << 32) | np.arange(a, a + len(p))
+        first.push(np.stack([key, p, np.asarray(lms[1][a : a + BLOCK], np.int64)], axis=1))
+    first.push(np.array([[int(text[n - 1]) << 33, n - 1, 0]], np.int64))
+    l_type = np.logical_not(s_type) if not isinstance(s_type, np.memmap) else space.array(n, bool)
+    if isinstance(s_type, np.memmap):
+        np.logical_not(s_type, out=l_type)
+    count = n - int(np.count_nonzero(s_type))
+    found, prefix, at = space.array(count, np.int64), space.array(count + 1, np.int64), 0
+    for place, seeded, shared in induce(text, None, l_type, first, depth, space, int(text[n - 1])):
+        own = ~seeded
+        k = int(own.sum())
+        found[at : at + k], prefix[at : at + k] = place[own], shared[own]
+        at += k
+    second = Queue(space)
+    for b in range(count, 0, -BLOCK):
+        a = max(0, b - BLOCK)
+        p, shared = np.asarray(found[a:b])[::-1], np.asarray(prefix[a + 1 : b + 1])[::-1]
+        key = ((top - text[p].astype(np.int64)) << 33) | (1 << 32) | (count - b + np.arange(b - a))
+        second.push(np.stack([key, p, shared], axis=1), in_order=False)
+    yield from induce(text, top, s_type, second, depth, space)
+
+
+def sort(text: np.ndarray, depth: int, space: Space) -> tuple[np.ndarray, np.ndarray]:
+    """(places in suffix order, common prefixes with the one before, at most depth) of a string of symbols."""
     n = len(text)
-    if n == 0:
-        return np.zeros(0, np.int64)
-    s_type = types(text)
-    kind = np.int32 if n < 1 << 31 else np.int64
-    lms = (np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1).astype(kind)
-    pool = Pool(memory, folder, kind)
-    order = lms[np.argsort(rank_lms(text, s_type, lms, depth), kind="stable")] if len(lms) else lms
-
-    def spread(queues: list[Queue], at: np.ndarray) -> None:
-        """Append positions to the queues of their bytes, in order."""
-        by = np.argsort(text[at], kind="stable")
-        at = at[by]
-        cut = np.searchsorted(text[at], np.arange(257))
-        for c in np.flatnonzero(np.diff(cut)).tolist():
-            queues[c].push(at[cut[c] : cut[c + 1]])
-
-    # L-type suffixes, from the smallest byte up: those in a queue, then what the bucket's LMS suffixes induce.
-    left, stars = pool.queues(256), pool.queues(256)
-    spread(stars, order)
-    if not s_type[n - 1]:
-        left[int(text[n - 1])].push(np.array([n - 1], kind))
-    l_sorted: list[Queue] = pool.queues(256)
-    for c in range(256):
-        while len(at := left[c].pop()):
-            l_sorted[c].push(at)
-            before = at[at > 0] - 1
-            spread(left, before[~s_type[before]])
-        before = stars[c].pop()
-        before = before[before > 0] - 1
-        spread(left, before[~s_type[before]])
-    # S-type suffixes, from the largest byte down; queues hold each bucket backwards.
-    right = pool.queues(256)
-    out: list[np.ndarray] = []
-    for c in range(255, -1, -1):
-        s_part: list[np.ndarray] = []
-        while len(at := right[c].pop()):
-            s_part.append(at)
-            before = at[at > 0] - 1
-            spread(right, before[s_type[before]])
-        l_part = l_sorted[c].pop()
-        before = l_part[::-1]
-        before = before[before > 0] - 1
-        spread(right, before[s_type[before]])
-        out += s_part
-        out.append(l_part[::-1])
-    return np.concatenate(out)[::-1] if out else np.zeros(0, np.int64)
-
-
-def neighbours_match(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Whether each suffix in order shares its first `depth` bytes with the one before; positions have depth bytes ahead."""
-    padded = np.r_[text, np.zeros(depth + 8, np.uint8)]
-    words = words_at(padded)
-    same = np.zeros(len(order), bool)
-    if len(order) < 2:
-        return same
-    at = np.arange(1, len(order))
-    for k in range(0, depth, 8):
-        k = min(k, depth - 8)
-        at = at[words[order[at] + k] == words[order[at - 1] + k]]
-    same[at] = True
-    return same
+    order, shared = space.array(n, np.int64), space.array(n, np.int64)
+    if n < 2:
+        return order, shared
+    s_type = types(text, space)
+    lms = space.array(int(np.count_nonzero(s_type[1:] & ~s_type[:-1])), np.int64)
+    at = 0
+    for a in range(0, n - 1, BLOCK):
+        x = np.asarray(s_type[a : a + BLOCK + 1])
+        p = np.flatnonzero(x[1:] & ~x[:-1]) + a + 1
+        lms[at : at + len(p)] = p
+        at += len(p)
+    m = len(lms)
+    ranked, common = space.array(m, np.int64), space.array(m, np.int64)
+    if m:
+        # LMS substrings in order: the inductions from LMS suffixes that are sorted by their first symbol only.
+        number = space.array(n, np.int64)
+        number[lms] = np.arange(m)
+        at = m
+        for place, _, _ in both_ways(text, s_type, [lms, common], 0, space):
+            p = place[place > 0]
+            p = p[s_type[p] & ~s_type[p - 1]]
+            ranked[at - len(p) : at] = p[::-1]
+            at -= len(p)
+        names, name = space.array(m, np.int64), 0
+        for a in range(0, m, BLOCK):
+            q = np.asarray(ranked[a : a + BLOCK])
+            p = np.r_[ranked[a - 1] if a else q[0], q[:-1]]
+            i, j = number[p], number[q]
+            ends = [np.where(k + 1 < m, lms[np.minimum(k + 1, m - 1)], n) for k in (i, j)]
+            size = ends[1] - q
+            same = (ends[0] - p == size) & (i + 1 < m) & (j + 1 < m)
+            at = np.flatnonzero(same)
+            same[at] = equal_ahead(text, p[at], q[at], size[at] + 1) > size[at]
+            same[0] &= a > 0
+            own = name + np.cumsum(~same)
+            names[j], name = own - 1, int(own[-1])
+        if name < m:
+            inner, agreed = sort(names, depth, space)
+        else:
+            inner, agreed = space.array(m, np.int64), space.array(m, np.int64)
+            inner[names] = np.arange(m)
+        for a in range(0, m, BLOCK):
+            j, k = np.asarray(inner[a : a + BLOCK]), np.asarray(agreed[a : a + BLOCK])
+            ranked[a : a + len(j)] = lms[j]
+            if depth:
+                i = np.r_[inner[a - 1] if a else j[0], j[:-1]]
+                sure = np.minimum(lms[np.minimum(np.maximum(i, j) + k, m - 1) - np.maximum(i, j) + j] - lms[j], depth)
+                more = equal_ahead(text, lms[i] + sure, lms[j] + sure, depth - sure)
+                common[a : a + len(j)] = np.where((np.arange(a, a + len(j)) == 0), 0, sure + more)
+    at = n
+    for place, _, below in both_ways(text, s_type, [ranked, common], depth, space):
+        # In descending order a tuple's common prefix is with the suffix above it.
+        order[at - len(place) : at] = place[::-1]
+        if at < n:
+            shared[at] = below[0]
+        shared[at - len(place) + 1 : at] = below[1:][::-1]
+        at -= len(place)
+    return order, shared
+
+
+def suffix_array(text: np.ndarray, depth: int, memory: int = 64 << 20, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(places of text (bytes) in suffix order, common prefixes with the one before, at most depth)."""
+    with tempfile.TemporaryDirectory(dir=folder) as at:
+        return sort(text, depth, Space(memory, at))

@@ -217,16 +217,47 @@ def test_repeats_edge_ids(spark):
     assert got == [("5", 0), ("5", 0), ("None", n)]
 
 
-def test_suffix_order():
+def common_prefix(a, b, most):
+    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y or k == most), min(len(a), len(b), most))
+
+
+@pytest.mark.parametrize("block", [4, 1 << 15])
+def test_suffix_array(monkeypatch, block):
+    """Places and common prefixes, with queues that spill to files and blocks of a few tuples."""
+    monkeypatch.setattr(suffixsort, "BLOCK", block)
     r = np.random.default_rng(4)
     for _ in range(60):
-        t = r.integers(0, 3, r.integers(1, 150)).astype(np.uint8) + 97
+        t = r.integers(0, 1 + r.integers(1, 5), r.integers(1, 120)).astype(np.uint8) + 97
         if r.random() < 0.4:
             t = np.tile(t[: max(1, len(t) // 6)], 7)
-        b = t.tobytes()
-        order = suffixsort.suffix_order(t, 50, memory=int(r.choice([0, 64, 1 << 20])))
-        keys = [b[i : i + 50] for i in order]
-        assert keys == sorted(keys) and sorted(order.tolist()) == list(range(len(b)))
+        b, depth = t.tobytes(), int(r.choice([3, 50]))
+        order, shared = suffixsort.suffix_array(t, depth, memory=int(r.choice([0, 200, 1 << 20])))
+        want = sorted(range(len(b)), key=lambda i: b[i:])
+        assert order.tolist() == want
+        assert shared.tolist() == [0] + [common_prefix(b[i:], b[j:], depth) for i, j in zip(want, want[1:], strict=False)]
+
+
+def test_sort_larger_than_memory(tmp_path):
+    """A shard whose queues take over ten times the memory: the tuples in memory stay within it, and the result is that of a sort in memory."""
+    words = prose(40_000).encode()
+    text = np.frombuffer(words, np.uint8)
+    memory = 24 * len(text) // 12
+    space, most = suffixsort.Space(memory, str(tmp_path)), 0
+    push = suffixsort.Queue.push
+
+    def watched(self, rows, in_order=False):
+        nonlocal most
+        push(self, rows, in_order)
+        most = max(most, sum((len(r) - a) * 24 for r, a in self.near))
+
+    suffixsort.Queue.push = watched
+    try:
+        order, shared = suffixsort.sort(text, 50, space)
+    finally:
+        suffixsort.Queue.push = push
+    again = suffixsort.suffix_array(text, 50, memory=1 << 30)
+    assert (order == again[0]).all() and (shared == again[1]).all()
+    assert most <= memory and space.on_disk > 10 * memory
 
 
 # 4 Language
