@@ -12,7 +12,8 @@ block is spread over all tasks; each block pair returns k rows, and a window kee
 
 Edge cases: null vectors and vectors with null or non-finite components take no part, nor do rows without vec_id; a query
 meets only vectors of its own length; rows with the query's vec_id are its own; equal vectors tie and go by vec_id;
-an empty table gives an empty result; extra columns are ignored.
+an empty table gives an empty result; extra columns are ignored. A component so large that a score could pass 64 bits (above
+2**31 / sqrt(dimensions) after scaling) stops the job with a message, as no right score could be given.
 """
 
 from __future__ import annotations
@@ -35,7 +36,10 @@ def quantise(vectors: DataFrame, scale: float = 1024.0) -> DataFrame:
     e = F.col("embedding")
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")))
     kept = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & e.isNotNull() & (F.size(e) > 0) & finite)
-    return kept.select("vec_id", F.transform(e, lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("long")).alias("q"))
+    most = F.sqrt(F.lit(float(1 << 62)) / F.size(e))
+    large = F.exists(e, lambda x: F.abs(x.cast("double") * F.lit(scale)) >= most)
+    q = F.transform(e, lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("long"))
+    return kept.select("vec_id", F.when(large, F.raise_error(F.lit("a component is too large for 64-bit scores"))).otherwise(q).alias("q"))
 
 
 def pack(ids: np.ndarray, q: np.ndarray) -> dict:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_or_empty
+from .common import fresh, materialize, quoted, table, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -54,7 +54,7 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def shuffle_key(seed: int):
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("size").cast("string")))
 
 
 def mix(sizes: DataFrame, targets: DataFrame, epochs: int = 2, seed: int = 7, bucket_digits: int = BUCKET_DIGITS, n_ranges: int = N_RANGES, edge_rows: int = EDGE_ROWS) -> DataFrame:
@@ -144,13 +144,14 @@ def _taken(copies: DataFrame, budget: float, n_ranges: int, edge_rows: int):
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The mix itself: docs with each row as often as the mix takes it. Equal rows share what is taken of them."""
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
-    keyed = docs.withColumn("_mix_key", F.concat_ws(":", F.md5(text_or_empty("text")), part("doc_id"), part("source")))
-    sizes = materialize(sized(keyed.select("doc_id", "source", "_mix_key", "text")).drop("text"), "sizes")
+    key, number = fresh(docs, "mix_key"), fresh(docs, "mix_copy")
+    keyed = docs.withColumn(key, F.concat_ws(":", F.md5(text_or_empty("text")), part("doc_id"), part("source")))
+    sizes = materialize(sized(keyed.select("doc_id", "source", F.col(key).alias("row_key"), "text")).drop("text"), "sizes")
     taken = mix(sizes, materialize(source_targets(sizes, weights, share, cap), "targets"))
-    copies = taken.groupBy("_mix_key").agg(F.sum("copies").cast("int").alias("_mix_copies")).where("_mix_copies > 0")
+    copies = taken.groupBy(F.col("row_key").alias(key)).agg(F.sum("copies").cast("int").alias(number)).where(F.col(number) > 0)
     # One key for both steps, so texts are shuffled once.
-    once = keyed.dropDuplicates(["_mix_key"]).join(copies, "_mix_key")
-    return once.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_mix_copies")).alias("_mix_copy")).drop("_mix_copy")
+    once = keyed.dropDuplicates([key]).join(copies, key)
+    return once.select(*map(quoted, docs.columns), F.explode(F.sequence(F.lit(1), F.col(number))).alias(number)).drop(number)
 
 
 def op5_fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +162,7 @@ def op5_fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                  md5('7:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),
+                  md5('7:' || coalesce(doc_id::VARCHAR, 'null') || ':' || len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS key FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, 2.0::DOUBLE * source_size AS cap,
              (CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END)::DOUBLE AS weight FROM per),

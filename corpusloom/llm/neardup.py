@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_or_empty, trimmed
+from .common import fresh, map_rows, materialize, quoted, table, text_or_empty, trimmed
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -282,11 +282,11 @@ def survivors(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each class: that of the smallest doc_id."""
     found = classes(docs, threshold)
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
-    pair = F.concat_ws(":", F.col("k.node"), F.coalesce(F.col("k.doc_id").cast("string"), F.lit("null")))
-    kept = materialize(found.groupBy("label").agg(F.min(key).alias("k")).select(pair.alias("_pair")), "kept")
-    marked = docs.withColumn("_pair", F.concat_ws(":", F.md5(text_or_empty("text")), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    pair, own = F.concat_ws(":", F.col("k.node"), F.coalesce(F.col("k.doc_id").cast("string"), F.lit("null"))), fresh(docs, "pair")
+    kept = materialize(found.groupBy("label").agg(F.min(key).alias("k")).select(pair.alias(own)), "kept")
+    marked = docs.withColumn(own, F.concat_ws(":", F.md5(text_or_empty("text")), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     # One row a class carries this pair, so rows that repeat it are copies of that row. One key, so texts are shuffled once.
-    return marked.join(kept, "_pair", "left_semi").dropDuplicates(["_pair"]).select(*docs.columns)
+    return marked.join(kept, own, "left_semi").dropDuplicates([own]).select(*map(quoted, docs.columns))
 
 
 def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

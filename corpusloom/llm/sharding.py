@@ -6,7 +6,8 @@ edits the map: it writes a new version in which only the slots that must move ch
 
 Plan: one pass over the texts for sizes and hashes (24 bytes a row survive it), one aggregation to at most `n_slots`
 rows (pre-aggregated map-side), the map on the driver (`n_slots` rows, a constant), a broadcast join with that map, and
-one window per slot for the row's place in its shard. No step holds more than one slot's rows.
+one window per `PARTS`th of a slot for the row's place in its shard, so a slot of very many equal rows is spread too.
+The map is stored below the shared folder and rows are assigned by the version that is read back.
 
 Edge cases: a null text has no bytes (size 1, checksum 0 of the empty string); a null doc_id hashes like any other
 value; repeated rows keep one output row each; an empty table gives an empty result; extra columns are ignored.
@@ -15,13 +16,14 @@ value; repeated rows keep one output row each; an empty table gives an empty res
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_or_empty
+from .common import materialize, quoted, shared_dir, table, text_or_empty
 
-N_SLOTS = 4096
+N_SLOTS, PARTS = 4096, 16
 MAP_SCHEMA = "version int, virtual_slot int, shard int, slot_bytes long, slot_rows long"
 
 
@@ -98,9 +100,9 @@ def map_frame(spark: SparkSession, mapping: dict[int, int], loads: list[tuple[in
     return spark.createDataFrame(rows, MAP_SCHEMA)
 
 
-def write_map(frame: DataFrame, path: str) -> None:
-    """Append one version of the map to the versioned map table."""
-    frame.write.mode("append").partitionBy("version").parquet(path)
+def write_map(frame: DataFrame, path: str, version: int = 1) -> None:
+    """Store one version of the map; a version that is there already is left alone and raises."""
+    frame.drop("version").write.mode("errorifexists").parquet(f"{path}/version={version}")
 
 
 def read_map(spark: SparkSession, path: str, version: int | None = None) -> dict[int, int]:
@@ -110,34 +112,52 @@ def read_map(spark: SparkSession, path: str, version: int | None = None) -> dict
     return {r["virtual_slot"]: r["shard"] for r in stored.where(F.col("version") == version).collect()}
 
 
-def assign(slotted: DataFrame, frame: DataFrame) -> DataFrame:
-    """Add shard and slot (the row's place in its shard, gapless from 0) by a map of at most n_slots rows."""
-    order = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = frame.select("virtual_slot", "shard", F.coalesce(F.sum("slot_rows").over(order), F.lit(0)).alias("slot_start"))
-    within = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
+def edit_map(spark: SparkSession, path: str, loads: list[tuple[int, int, int]], n_shards: int) -> int:
+    """Rebalance the newest stored version for these loads and store it as the next one, whose number is returned."""
+    newest = spark.read.schema(MAP_SCHEMA).parquet(path).agg(F.max("version")).first()[0]
+    version = newest + 1
+    write_map(map_frame(spark, rebalance(read_map(spark, path, newest), loads, n_shards), loads, version), path, version)
+    return version
+
+
+def assign(slotted: DataFrame, mapping: dict[int, int]) -> DataFrame:
+    """Add shard and slot (the row's place in its shard, gapless from 0) to rows (doc_id, size, text_crc32, virtual_slot, part)."""
+    spark = slotted.sparkSession
+    rows = [(s, shard) for s, shard in mapping.items()]
+    shards = spark.createDataFrame(rows, "virtual_slot int, shard int")
+    counts = slotted.groupBy("virtual_slot", "part").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(shards), "virtual_slot")
+    order = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)
+    # n_slots * PARTS rows at most, a constant.
+    starts = counts.select("virtual_slot", "part", "shard", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("slot_start"))
+    within = Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "size")
     return (
-        slotted.join(F.broadcast(starts), "virtual_slot")
+        slotted.join(F.broadcast(starts), ["virtual_slot", "part"])
         .withColumn("slot", (F.row_number().over(within) - 1 + F.col("slot_start")).cast("long"))
-        .drop("slot_start")
+        .drop("slot_start", "part")
     )
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
-    """Rows of docs (doc_id, size, text_crc32, virtual_slot) with shard and slot; the map goes to map_path as version 1 if given."""
+    """Rows of docs (doc_id, size, text_crc32, virtual_slot) with shard and slot, by version 1 of a map that is stored at map_path."""
     spark = docs.sparkSession
-    slotted = materialize(with_slots(docs, n_slots), "slots")
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(PARTS)).cast("int")
+    slotted = materialize(with_slots(docs, n_slots).withColumn("part", part), "slots")
     loads = slot_loads(slotted)
-    frame = map_frame(spark, balance(loads, n_shards), loads, 1)
-    if map_path:
-        write_map(frame, map_path)
-    return assign(slotted, frame)
+    return assign(slotted, stored_map(spark, loads, n_shards, map_path))
 
 
-def placed(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS) -> DataFrame:
-    """docs with virtual_slot and shard (columns of these names are replaced); no shuffle of texts."""
-    loads = slot_loads(with_slots(docs, n_slots))
-    frame = map_frame(docs.sparkSession, balance(loads, n_shards), loads, 1).select("virtual_slot", "shard")
-    kept = [c for c in docs.columns if c not in frame.columns]
+def stored_map(spark: SparkSession, loads: list[tuple[int, int, int]], n_shards: int, map_path: str | None) -> dict[int, int]:
+    """Version 1 of the map for these loads, as stored at map_path (a new folder below the shared one by default) and read back."""
+    path = map_path or f"{shared_dir(spark)}/corpusloom/slot-map-{uuid.uuid4().hex}"
+    write_map(map_frame(spark, balance(loads, n_shards), loads, 1), path)
+    return read_map(spark, path, 1)
+
+
+def placed(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
+    """docs with virtual_slot and shard (columns of these names are replaced), by the stored map; no shuffle of texts."""
+    mapping = stored_map(docs.sparkSession, slot_loads(with_slots(docs, n_slots)), n_shards, map_path)
+    frame = docs.sparkSession.createDataFrame(list(mapping.items()), "virtual_slot int, shard int")
+    kept = [quoted(c) for c in docs.columns if c not in frame.columns]
     return docs.select(*kept, slot_columns(n_slots)["virtual_slot"].alias("virtual_slot")).join(F.broadcast(frame), "virtual_slot").select(*kept, "virtual_slot", "shard")
 
 

@@ -145,6 +145,42 @@ def test_very_long_texts(spark):
     assert sorted((r["doc_id"], r["score"]) for r in got.collect()) == [(1, 1.0), (2, 1.0)]
 
 
+def test_recall_by_edit_rate(spark):
+    """All pairs by brute force: of the copies that score the threshold or more, 0.9 are found at each rate of edited words."""
+    items = [prose(40).split() for _ in range(4)]
+    texts, rates = [], (0.0, 0.05, 0.1, 0.15, 0.2)
+    for rate in rates:
+        for k in range(40):
+            texts.append(prose(15).split() + [w if rnd.random() >= rate else "changed" for w in items[k % 4]] + prose(15).split())
+    want = {(d, i) for d, t in enumerate(texts) for i, item in enumerate(items) if brute_score(t, item) >= 20}
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame(spark, [" ".join(t) for t in texts]), bench).collect()}
+    assert got <= want
+    for k in range(len(rates)):
+        own = {p for p in want if p[0] // 40 == k}
+        assert len(got & own) >= 0.9 * len(own) and len(own) > 20
+
+
+def test_ids_stay_whole(spark):
+    """Ids beyond 2**53 beside a null id, in every operator that hands texts to Python."""
+    item = prose(30)
+    big = 2**60 + 1
+    docs = frame(spark, [f"{prose(5)} {item}", item, item, prose(40)], [big, None, big + 1, big + 2])
+    bench = spark.createDataFrame([(7, item), (None, prose(20)), (8, "words")], "item_id long, text string")
+    assert {(r["doc_id"], r["score"]) for r in decontaminate.contaminated(docs, bench).collect()} == {(big, 1.0), (None, 1.0), (big + 1, 1.0)}
+    ids = {big, None, big + 1, big + 2}
+    assert {r["doc_id"] for r in toxicity.scored(docs, toxicity.Model(b"", b"", 0.1), docs.columns, "s").collect()} == ids
+    assert {r["doc_id"] for r in langid.labelled(docs, None).collect()} == ids
+    assert {r["doc_id"] for r in neardup.classes(docs).collect()} == ids
+
+
+def test_items_of_few_words_and_without_id(spark):
+    bench = spark.createDataFrame([(1, "common"), (None, "null id item of six words")], "item_id long, text string")
+    texts = ["a common word", "Common!", "the null id item of six words here", prose(50)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame(spark, texts), bench).collect()}
+    assert got == {(1, 1), (2, None)}
+
+
 def test_decontamination_empty(spark, empty):
     bench = spark.createDataFrame([(1, prose(9))], "item_id long, text string")
     assert decontaminate.contaminated(empty, bench).count() == 0
@@ -276,6 +312,15 @@ def test_language(spark, documents, empty):
     assert langid.labelled(odd, None).where("lang_pred = 'und'").count() == 5
 
 
+def test_dotted_capital_i(spark):
+    """A dotted capital I is one letter of its word, in training and in scoring."""
+    rows = [("tr", f"İstanbul İzmir {prose(20)} İĞDIR") for _ in range(30)] + [("en", prose(30)) for _ in range(30)]
+    field = langid.fit(rows)
+    out = langid.labelled(frame(spark, ["İstanbul İzmir"]), field).first()
+    assert out["n_words"] == 2 and out["lang_pred"] == "tr"
+    assert langid.labelled(frame(spark, ["İstanbul İzmir"]), None).first()["n_words"] == 2
+
+
 def test_code_switching(spark, documents):
     field = langid.fit(langid.sample(documents))
     by = {r["lang"]: r["text"] for r in documents.where("n_chars > 1500").collect()}
@@ -342,6 +387,12 @@ def test_top_k_edges(spark):
     assert bitsliced.search(bitsliced.build_index(none), none).count() == 0
 
 
+def test_components_too_large(spark):
+    df = spark.createDataFrame([(1, [1e17, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        bitsliced.quantise(df).collect()
+
+
 # 7 Sharding
 
 
@@ -355,7 +406,13 @@ def test_shards(spark, documents, odd, empty, tmp_path):
     stored = sharding.read_map(spark, str(tmp_path / "map"))
     assert all(stored[r["virtual_slot"]] == r["shard"] for r in rows)
     loads = sharding.slot_loads(out.select("virtual_slot", "size"))
-    grown = sharding.rebalance(stored, loads, 9)
+    assert sharding.edit_map(spark, str(tmp_path / "map"), loads, 9) == 2
+    grown = sharding.read_map(spark, str(tmp_path / "map"))
+    assert sharding.read_map(spark, str(tmp_path / "map"), 1) == stored and grown == sharding.rebalance(stored, loads, 9)
+    with pytest.raises(Exception, match="already exists"):
+        sharding.write_map(sharding.map_frame(spark, stored, loads, 2), str(tmp_path / "map"), 2)
+    brute = {(r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in documents.collect()}
+    assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in rows} == brute
     assert sum(grown[s] != stored[s] for s in stored) < len(stored) / 4
     assert sharding.shard_documents(odd).count() == 11
     assert sharding.shard_documents(empty).count() == 0
