@@ -16,9 +16,9 @@ few times by chance and would be flagged. A flagged term is replaced or removed
 documents that do not hold it too, since it gives the entity away there.
 
 Plan: one pass finds spans and contexts (only rows that hold a digit or `@` are searched); entity contexts are exploded and
-counted with map-side partial aggregation; n(t) is counted for candidate terms only, in a second pass over all texts, by a
-broadcast semi-join while the candidates number at most `BROADCAST_TERMS`, otherwise by pre-aggregated counts and a shuffled
-join. A third pass over all texts finds those that hold flagged terms, and their places. Added spans depend on the text alone, so
+counted with map-side partial aggregation; n(t) is counted for candidate terms only (those not too common in the documents that
+hold entities already), in a second pass over all texts, whose words are counted in each task before they are shuffled and
+joined to the candidates. A third pass over all texts finds those that hold flagged terms, and their places. Added spans depend on the text alone, so
 they are kept once a distinct text and joined back by its hash; a small side of these joins is broadcast under the same bound.
 
 Patterns use possessive quantifiers and look-behinds that leave their matches as they are but keep them linear in
@@ -167,7 +167,7 @@ def near_terms(cut: Column, spans: Column, width: int) -> Column:
 
 
 def find_base(docs: DataFrame, width: int = CONTEXT) -> DataFrame:
-    """(doc_id, spans, near, text_key) of every row; near is null where the row has no base span."""
+    """(doc_id, spans, near, own, text_key) of every row; near and own, the row's words, are null where it has no base span."""
     text = F.col("text")
     plain = docs.select("doc_id", text_or_empty("text").alias("text"))
     searched = F.when(text.contains("@") | text.rlike("[0-9]"), base_spans(text)).otherwise(F.array().cast(SPAN))
@@ -175,7 +175,8 @@ def find_base(docs: DataFrame, width: int = CONTEXT) -> DataFrame:
     rows = plain.withColumn("spans", searched).withColumn("cut", F.when(some, blocks(text)))
     rows = rows.withColumn("blank", F.when(some, blocks(blotted(F.col("cut"), F.col("spans"), F.length(text)))))
     near = F.when(some, near_terms(F.col("blank"), F.col("spans"), width))
-    return rows.withColumn("near", near).select("doc_id", "spans", "near", F.md5("text").alias("text_key"))
+    own = F.when(some, F.array_distinct(F.transform(words(text), lambda w: F.lower(w))))
+    return rows.withColumn("near", near).select("doc_id", "spans", "near", own.alias("own"), F.md5("text").alias("text_key"))
 
 
 def words(text: Column) -> Column:
@@ -189,20 +190,21 @@ def disclosures(docs: DataFrame, base: DataFrame, support: int = SUPPORT, genera
     per_doc = held.select(F.explode(F.array_distinct(F.col("near.entity"))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     met = held.select("row", F.explode("near").alias("n")).select("row", "n.entity", "n.left", "n.right", F.explode("n.terms").alias("term"))
     pairs = met.groupBy("entity", "term").agg(F.count_distinct("row").alias("n_et"), F.count_distinct("left").alias("lefts"), F.count_distinct("right").alias("rights"))
-    pairs = materialize(pairs.where(F.least("lefts", "rights") >= support), "pairs")
-    terms = materialize(pairs.select("term").distinct(), "terms")
-    n_terms = terms.count()
-    all_words = docs.select(F.explode(F.array_distinct(F.transform(words(text_or_empty("text")), lambda w: F.lower(w)))).alias("term"))
-    if n_terms == 0:
-        counts = terms.withColumn("n_t", F.lit(0).cast("long"))
-    elif n_terms <= BROADCAST_TERMS:
-        counts = all_words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    else:
-        counts = all_words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(terms, "term", "left_semi")
+    seen = base.select(F.explode("own").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_own"))
     n = F.lit(float(max(base.count(), 1)))
     info = F.log(n / F.col("n_e"))
-    ratio = F.when(info > 0, F.round(F.log(F.col("n_et") * n / (F.col("n_e") * F.col("n_t"))) / info, 9)).otherwise(F.lit(0.0))
-    scored = pairs.join(per_doc, "entity").join(counts, "term").select("entity", "term", ratio.alias("disclosure"))
+
+    def ratio(n_t: str) -> Column:
+        return F.when(info > 0, F.round(F.log(F.col("n_et") * n / (F.col("n_e") * F.col(n_t))) / info, 9)).otherwise(F.lit(0.0))
+
+    # A term is in as many documents as in those that hold entities at least, which leaves out the common words before all texts are searched.
+    pairs = pairs.where(F.least("lefts", "rights") >= support).join(per_doc, "entity").join(seen, "term")
+    pairs = materialize(pairs.where(ratio("n_own") >= generalise).drop("n_own"), "pairs")
+    terms = materialize(pairs.select("term").distinct(), "terms")
+    all_words = docs.select(F.explode(F.array_distinct(F.transform(words(text_or_empty("text")), lambda w: F.lower(w)))).alias("term"))
+    # Words are counted before they meet the candidates: an inner join, since Spark moves a semi-join below the count.
+    counts = all_words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(small(terms), "term")
+    scored = pairs.join(counts, "term").select("entity", "term", ratio("n_t").alias("disclosure"))
     return scored.where(F.col("disclosure") >= generalise).withColumn("action", F.when(F.col("disclosure") >= remove, F.lit("remove")).otherwise(F.lit("generalise")))
 
 
