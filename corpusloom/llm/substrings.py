@@ -10,7 +10,8 @@ on the input texts and never cross documents.
 3. Stretches of text whose strings have such a key go to the key's shard, equal stretches of a batch of texts once, with the smallest
    doc_id they have there. A shard keeps each distinct stretch once and sorts their suffixes by external induced sorting:
    disk-backed priority queues of suffix tuples with their common prefixes, level by level (`suffixsort`). Neighbours whose common
-   prefix has `length` bytes are one string, which takes the smallest doc_id of its stretches.
+   prefix has `length` bytes are one string, which takes the smallest doc_id of its stretches. (A stretch that is the only one of
+   its key in all texts is not sorted: no other stretch holds a string of it.)
 4. What a shard finds of a stretch, runs of strings with their smallest doc_id, is joined to the places where the stretch stands by its
    128-bit hash. Only this join sees every place of a common stretch, and Spark splits it where one stretch has very many.
    The bytes that strings of a smaller doc_id cover are removed from each text.
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import materialize, shuffle_partitions, table, text_or_empty, trimmed
 from .suffixsort import BLOCK, Space, sort
 
-LENGTH, GRAM = 50, 24
+LENGTH, GRAM = 50, 32
 MEMORY = 64 << 20
 LAST = (1 << 63) - 1
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -187,21 +188,21 @@ def stretch_rows(texts: DataFrame, shared: DataFrame, shards: int, length: int)
         keys = Keys(length)
         low48 = np.uint64((1 << 48) - 1)
         for batch in parts(batches):
-            stretch: dict[int, dict[bytes, list[int]]] = {}
+            stretch: dict[int, dict[bytes, list[int]]] = {}  # [key, least, largest doc_id] of each
             places = []
             for node, low, data, sets in zip(batch["node"], batch["low"].tolist(), batch["data"], batch["sets"], strict=True):
                 wanted = np.frombuffer(b"".join(sets), np.uint64)
                 first, end, key = keys.runs(np.frombuffer(data, np.uint8))
                 use = np.flatnonzero(np.isin(key & low48, wanted))
                 hashes = []
-                for a, b, s in zip(first[use].tolist(), end[use].tolist(), shard_of(key[use], shards).tolist(), strict=True):
+                for a, b, k, s in zip(first[use].tolist(), end[use].tolist(), key[use].view(np.int64).tolist(), shard_of(key[use], shards).tolist(), strict=True):
                     own = data[a : b + length - 1]
                     hashes.append(xxhash.xxh3_128_intdigest(own))
-                    seen = stretch.setdefault(s, {}).setdefault(own, [low, low])
-                    if low < seen[0]:
-                        seen[0] = low
-                    elif low > seen[1]:
+                    seen = stretch.setdefault(s, {}).setdefault(own, [k, low, low])
+                    if low < seen[1]:
                         seen[1] = low
+                    elif low > seen[2]:
+                        seen[2] = low
                 if hashes:
                     pair = np.frombuffer(b"".join(x.to_bytes(16, "little") for x in hashes), "<i8").reshape(-1, 2)
                     places.append((node, low, pair[:, 0], pair[:, 1], first[use].astype(np.int32)))
@@ -249,6 +250,27 @@ def smallest_starts(text: np.ndarray, sizes: np.ndarray, lowest: np.ndarray, len
     return group
 
 
+def runs_of(text: np.ndarray, names: np.ndarray, sizes: np.ndarray, lowest: np.ndarray, highest: np.ndarray, length: int, memory: int) -> Iterator[pd.DataFrame]:
+    """The result rows of the joined stretches of a shard."""
+    offset = np.r_[0, np.cumsum(sizes)]
+    with tempfile.TemporaryDirectory() as folder:
+        smallest = smallest_starts(text, sizes, lowest, length, memory, folder)
+        for a in range(0, len(sizes), 1 << 14):
+            b = min(a + (1 << 14), len(sizes))
+            low = np.asarray(smallest[offset[a] : offset[b]])
+            of = np.repeat(np.arange(a, b), sizes[a:b])
+            place = np.arange(offset[a], offset[b]) - offset[of]
+            hit = (place <= sizes[of] - length) & (low < highest[of])
+            turn = (low[1:] != low[:-1]) | (of[1:] != of[:-1])
+            first = np.flatnonzero(hit & np.r_[True, ~hit[:-1] | turn])
+            last = np.flatnonzero(hit & np.r_[~hit[1:] | turn, True])
+            if len(first):
+                own = of[first]
+                cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                lists = [np.split(x, cuts[1:]) for x in (low[first], place[first].astype(np.int32), (place[last] + 1).astype(np.int32))]
+                yield pd.DataFrame(dict(zip(("h", "l", "lows", "begins", "ends"), (names[own[cuts], 0], names[own[cuts], 1], *lists), strict=True)))
+
+
 def repeated(rows: DataFrame, shards: int, length: int, memory: int = MEMORY) -> DataFrame:
     """(h, l, lows, begins, ends): for each stretch the runs [begin, end) of strings that a document has whose doc_id is smaller than that of
     another one with the stretch, by shard."""
@@ -256,38 +278,31 @@ def repeated(rows: DataFrame, shards: int, length: int, memory: int = MEMORY) ->
     def sorted_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for blobs in grouped(batches):
             number: dict[bytes, int] = {}
-            lowest, highest = [], []
+            keys, lowest, highest = [], [], []
             for blob in blobs:
                 joined, sizes, lows = unpack(blob)
                 ends = np.cumsum(sizes)
-                for e, n, (low, high) in zip(ends.tolist(), sizes.tolist(), lows.tolist(), strict=True):
+                for e, n, (key, low, high) in zip(ends.tolist(), sizes.tolist(), lows.tolist(), strict=True):
                     k = number.setdefault(joined[e - n : e], len(number))
                     if k == len(lowest):
+                        keys.append(key)
                         lowest.append(low)
                         highest.append(high)
                     else:
                         lowest[k], highest[k] = min(lowest[k], low), max(highest[k], high)
+            lowest, highest = np.array(lowest, np.int64), np.array(highest, np.int64)
+            _, which, times = np.unique(np.array(keys, np.int64), return_inverse=True, return_counts=True)
+            sole = times[which] == 1
+            names = np.frombuffer(b"".join(xxhash.xxh3_128_intdigest(x).to_bytes(16, "little") for x in number), "<i8").reshape(-1, 2)
             sizes = np.array([len(x) for x in number], np.int64)
-            text = np.frombuffer(b"".join(number), np.uint8)
-            hashes = np.frombuffer(b"".join(xxhash.xxh3_128_intdigest(x).to_bytes(16, "little") for x in number), "<i8").reshape(-1, 2)
+            # Equal strings have equal keys, so the strings of a key's only stretch stand in no other.
+            some = np.flatnonzero(sole & (lowest < highest))
+            if len(some):
+                yield pd.DataFrame({"h": names[some, 0], "l": names[some, 1], "lows": list(lowest[some, None]), "begins": list(np.zeros((len(some), 1), np.int32)), "ends": list((sizes[some, None] - length + 1).astype(np.int32))})
+            text = np.frombuffer(b"".join(x for x, s in zip(number, sole.tolist(), strict=True) if not s), np.uint8)
             del number
-            with tempfile.TemporaryDirectory() as folder:
-                smallest = smallest_starts(text, sizes, np.array(lowest, np.int64), length, memory, folder)
-                offset = np.r_[0, np.cumsum(sizes)]
-                for a in range(0, len(sizes), 1 << 14):
-                    b = min(a + (1 << 14), len(sizes))
-                    low = np.asarray(smallest[offset[a] : offset[b]])
-                    of = np.repeat(np.arange(a, b), sizes[a:b])
-                    place = np.arange(offset[a], offset[b]) - offset[of]
-                    hit = (place <= sizes[of] - length) & (low < np.array(highest, np.int64)[of])
-                    first = np.flatnonzero(hit & np.r_[True, ~hit[:-1] | (low[1:] != low[:-1]) | (of[1:] != of[:-1])])
-                    if not len(first):
-                        continue
-                    last = np.flatnonzero(hit & np.r_[~hit[1:] | (low[1:] != low[:-1]) | (of[1:] != of[:-1]), True])
-                    own = of[first]
-                    cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                    split = lambda x: np.split(x, cuts[1:])
-                    yield pd.DataFrame({"h": hashes[own[cuts], 0], "l": hashes[own[cuts], 1], "lows": split(low[first]), "begins": split(place[first].astype(np.int32)), "ends": split((place[last] + 1).astype(np.int32))})
+            if len(text):
+                yield from runs_of(text, names[~sole], sizes[~sole], lowest[~sole], highest[~sole], length, memory)
 
     return by_shard(rows, shards).mapInPandas(trimmed(sorted_), "h long, l long, lows array<long>, begins array<int>, ends array<int>")
 
