@@ -153,6 +153,21 @@ def redact(c: Column, rules: list[tuple[str, str]] | None = None) -> Column:
 # Web pages
 
 
+def page_date(html: Column, url: Column) -> Column:
+    """Publication date (YYYY-MM-DD): the first dated meta tag of a known name, else the first dated time element, else a date in the
+    address, else empty."""
+    day = r"([0-9]{4}-[0-9]{2}-[0-9]{2})"
+    tags = F.transform(
+        F.regexp_extract_all(html, F.lit(r"(?i)<meta\b[^>]*>"), F.lit(0)),
+        lambda t: F.when(F.lower(F.regexp_extract(t, r'(?i)\bname="([^"]*)"', 1)).isin(*DATE_NAMES), or_null(F.regexp_extract(t, rf'(?i)\bcontent="{day}', 1))),
+    )
+    return F.coalesce(F.try_element_at(F.filter(tags, lambda d: d.isNotNull()), F.lit(1)), or_null(F.regexp_extract(html, rf'(?i)<time\b[^>]*\bdatetime="{day}', 1)), F.regexp_extract(url, day, 1), F.lit(""))
+
+
+# Names of meta tags that hold a date of publication.
+DATE_NAMES = ("dc.date", "dcterms.issued", "publication-date", "date")
+
+
 def page_title(html: Column) -> Column:
     """First h1, then og:title, then title, without tags; null if none."""
     plain = lambda x: or_null(squeeze(F.regexp_replace(x, "<[^>]*>", "")))

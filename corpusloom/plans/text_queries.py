@@ -147,6 +147,22 @@ def html_title(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.page_title(F.col("html")).alias("title"))
 
 
+@query(
+    "page_date",
+    """WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '<meta name="DC.date" content="2021-03-04T00:00">' WHEN 1 THEN '<time class="x" datetime="2020-05-06 10:00">' ELSE '' END || html AS html,
+ url || CASE page_id % 4 WHEN 2 THEN '-2019-07-08_en' ELSE '' END AS url FROM pages),
+m AS (SELECT page_id, html, url, list_filter(regexp_extract_all(html, '(?i)<meta\\b[^>]*>'), lambda t: lower(regexp_extract(t, '(?i)\\bname="([^"]*)"', 1)) IN ('dc.date', 'dcterms.issued', 'publication-date', 'date')
+ AND regexp_matches(t, '(?i)\\bcontent="[0-9]{4}-[0-9]{2}-[0-9]{2}')) AS tags FROM p)
+SELECT page_id, coalesce(nullif(regexp_extract(tags[1], '(?i)\\bcontent="([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), ''), nullif(regexp_extract(html, '(?i)<time\\b[^>]*\\bdatetime="([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), ''),
+ nullif(regexp_extract(url, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), ''), '') AS published FROM m""",
+)
+def page_date(spark, sf):
+    k = F.col("page_id") % 4
+    html = F.concat(F.when(k == 0, '<meta name="DC.date" content="2021-03-04T00:00">').when(k == 1, '<time class="x" datetime="2020-05-06 10:00">').otherwise(""), "html")
+    url = F.concat("url", F.when(k == 2, "-2019-07-08_en").otherwise(""))
+    return table(spark, sf, "pages").select("page_id", T.page_date(html, url).alias("published"))
+
+
 @query("html_links", """SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS link FROM pages""")
 def html_links(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.explode(T.links(F.col("html"))).alias("link"))
