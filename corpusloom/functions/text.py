@@ -178,6 +178,16 @@ def page_title(html: Column) -> Column:
     )
 
 
+def drop_site(title: Column) -> Column:
+    """A title up to its last ` | ` or, without one, up to its last ` - `: what follows names the site."""
+    return F.when(title.contains(" | "), F.regexp_replace(title, r"(?s)^(.*) \| .*$", "$1")).otherwise(F.regexp_replace(title, r"(?s)^(.*) - .*$", "$1"))
+
+
+def drop_session(url: Column) -> Column:
+    """An address without a trailing session number `?s=NNN`."""
+    return F.regexp_replace(url, r"[?&]s=[0-9]+$", "")
+
+
 def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'href="([^"]+)"'), F.lit(1))
 

@@ -41,13 +41,29 @@ def top_n(df: DataFrame, group: list[str], order: list[Column | str], n: int) ->
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
-def until_streak(pages: DataFrame, order: str, empty: Column, length: int) -> DataFrame:
-    """Pages up to and with the one that completes `length` empty ones in a row (a summary of pages: one row each)."""
-    w = Window.orderBy(order)
-    d = pages.withColumn("_e", empty.cast("int")).withColumn("_g", F.sum(1 - F.col("_e")).over(w))
-    d = d.withColumn("_run", F.sum("_e").over(Window.partitionBy("_g").orderBy(order)))
-    stop = d.where(F.col("_run") >= length).agg(F.min(order).alias("_stop"))
-    return d.join(F.broadcast(stop)).where(F.col("_stop").isNull() | (F.col(order) <= F.col("_stop"))).drop("_e", "_g", "_run", "_stop")
+def numbered(df: DataFrame, order: list[Column | str], place: str, folder: str) -> DataFrame:
+    """All rows with their place (from 1) in the given order, which should have no ties, without one task seeing all rows.
+
+    Rows are range-partitioned and written below `folder` with the number of their range, so that a retry cannot deal them anew;
+    a row's place is its rank in its range after the rows of the ranges before.
+    """
+    df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.parquet(folder)
+    kept = df.sparkSession.read.parquet(folder)
+    sizes = kept.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))  # one row a range
+    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return kept.join(F.broadcast(before), "_part").withColumn(place, F.col("_before") + own).drop("_part", "_before")
+
+
+def until_streak(pages: DataFrame, order: str, empty: Column, length: int, folder: str) -> DataFrame:
+    """Pages up to and with the one that completes `length` empty ones in a row. `order` has no ties; `folder` is new and shared.
+
+    Every empty page counts for itself and the length - 1 places behind it: the first place with `length` counts completes the streak.
+    """
+    d = numbered(pages.withColumn("_empty", empty), [order], "_place", folder)
+    counts = d.where("_empty").select(F.explode(F.sequence("_place", F.col("_place") + (length - 1))).alias("_place")).groupBy("_place").agg(F.count(F.lit(1)).alias("_n"))
+    stop = counts.where(F.col("_n") == length).agg(F.min("_place").alias("_stop"))
+    return d.join(F.broadcast(stop)).where(F.col("_stop").isNull() | (F.col("_place") <= F.col("_stop"))).drop("_empty", "_place", "_stop")
 
 
 def until_true(pages: DataFrame, order: str, stop: Column) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
@@ -61,6 +62,16 @@ def stance_cross_tab(spark, sf):
     return simple_stance(spark, sf).groupBy("lang").pivot("stance", ["cooperate", "neutral", "tough"]).count().na.fill(0)
 
 
+@query(
+    "stance_year_shares",
+    f"WITH {SIMPLE}, n AS (SELECT 2017 + doc_id % 10 AS year, stance, count(*) AS n FROM c GROUP BY ALL) SELECT year, stance, n, round(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY year), 2) AS share FROM n",
+)
+def stance_year_shares(spark, sf):
+    """Stances of a year with their share of the year's rows; the window is over the counts."""
+    n = simple_stance(spark, sf).groupBy((F.lit(2017) + F.col("doc_id") % 10).alias("year"), "stance").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("share", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy("year")), 2))
+
+
 @query("stance_neutral_side", f"WITH {SIMPLE} SELECT doc_id, source FROM c WHERE stance = 'neutral'")
 def stance_neutral_side(spark, sf):
     return simple_stance(spark, sf).where("stance = 'neutral'").select("doc_id", "source")

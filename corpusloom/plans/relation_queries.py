@@ -9,6 +9,7 @@ from ..operators import tables as T
 from ..sources import sinks
 from ..streaming import incremental
 from .registry import query, table
+from .shared import shared_folder
 
 
 def docs(spark, sf):
@@ -36,12 +37,12 @@ def year_column():
     return F.when(F.col("doc_id") % 7 == 0, "").when(F.col("doc_id") % 7 == 1, F.concat(y, F.lit(".0"))).otherwise(y)
 
 
-@query("merge_sort_nulls_last", f"SELECT doc_id, TRY_CAST({YEARS} AS DOUBLE)::INT AS year, row_number() OVER (ORDER BY TRY_CAST({YEARS} AS DOUBLE) NULLS LAST, doc_id)::INT AS place FROM documents")
+@query("merge_sort_nulls_last", f"SELECT doc_id, TRY_CAST({YEARS} AS DOUBLE)::INT AS year, row_number() OVER (ORDER BY TRY_CAST({YEARS} AS DOUBLE) NULLS LAST, doc_id) AS place FROM documents")
 def merge_sort_nulls_last(spark, sf):
     y = year_column().try_cast("double")
     d = docs(spark, sf).select("doc_id", y.alias("y"))
-    place = F.row_number().over(Window.orderBy(F.col("y").asc_nulls_last(), "doc_id"))
-    return d.select("doc_id", F.col("y").cast("int").alias("year"), place.alias("place"))
+    d = T.numbered(d, [F.col("y").asc_nulls_last(), F.col("doc_id").asc()], "place", shared_folder(spark, "places"))
+    return d.select("doc_id", F.col("y").cast("int").alias("year"), "place")
 
 
 @query("semi_join_gold", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
@@ -224,7 +225,7 @@ def listing(spark, sf):
 
 @query("empty_streak_stop", f"WITH {LISTING}, g AS (SELECT *, sum((links > 0)::INT) OVER (ORDER BY page) AS grp FROM l), r AS (SELECT *, sum((links = 0)::INT) OVER (PARTITION BY grp ORDER BY page) AS run FROM g) SELECT page, links FROM r WHERE page <= coalesce((SELECT min(page) FROM r WHERE run >= 2), 1000000)")
 def empty_streak_stop(spark, sf):
-    return T.until_streak(listing(spark, sf), "page", F.col("links") == 0, 2).select("page", "links")
+    return T.until_streak(listing(spark, sf), "page", F.col("links") == 0, 2, shared_folder(spark, "listing")).select("page", "links")
 
 
 @query("oldest_year_stop", f"WITH {LISTING} SELECT page, oldest FROM l WHERE page <= coalesce((SELECT min(page) FROM l WHERE oldest < 2005), 1000000)")
@@ -286,8 +287,6 @@ def windowed_events(spark, sf):
 @query("stream_incremental", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def stream_incremental(spark, sf):
     """Ingest the landed events twice by a checkpointed stream; the sink has each once."""
-    from .shared import shared_folder
-
     base = shared_folder(spark, "stream")
     events = table(spark, sf, "events").select("event_id", "user_id", "event_type")
     events.write.parquet(f"{base}/landing")

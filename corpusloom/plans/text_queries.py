@@ -30,7 +30,7 @@ def stamped(spark, sf):
 
 STAMPED_SQL = """s AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN (2010 + doc_id % 20)::VARCHAR || ' ' || t ELSE t END AS body,
  CASE WHEN doc_id % 2 = 0 THEN 'act_32' || (2010 + doc_id % 20)::VARCHAR || 'R.txt' ELSE 'act.txt' END AS name
- FROM (SELECT doc_id, substr(coalesce(text, ''), 1, 200) AS t FROM documents)),
+ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
 y AS (SELECT doc_id, TRY_CAST(regexp_extract(body, '(?:^|[^0-9A-Za-z_])(201[7-9]|202[0-6])(?:[^0-9A-Za-z_]|$)', 1) AS INT) AS by_body,
  TRY_CAST(regexp_extract(name, '(201[7-9]|202[0-6])', 1) AS INT) AS by_name FROM s)"""
 
@@ -125,10 +125,10 @@ def pii_redact(spark, sf):
     "header_parse",
     """WITH s AS (SELECT doc_id, source, text FROM documents)
 SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE coalesce(source, '') END AS source, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'second' END AS theme,
- CASE WHEN doc_id % 5 = 0 THEN 'TITLE: x' || chr(10) || repeat('=', 80) || chr(10) ELSE '' END || substr(regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', '', 'g'), 1, 100) AS body FROM s""",
+ CASE WHEN doc_id % 5 = 0 THEN 'TITLE: x' || chr(10) || repeat('=', 80) || chr(10) ELSE '' END || coalesce(text, '') AS body FROM s""",
 )
 def header_parse(spark, sf):
-    plain = F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z ]", ""), 1, 100)
+    plain = F.coalesce("text", F.lit(""))
     rule = "=" * 80
     layout_a = F.concat(F.lit("Topic (EN): first\nSource: "), F.coalesce("source", F.lit("")), F.lit(f"\nTopic (EN): second\n{rule}\n"), plain)
     layout_b = F.concat(F.lit(f"{rule}\nTITLE: x\n{rule}\n"), plain)
@@ -163,6 +163,23 @@ def page_date(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.page_date(html, url).alias("published"))
 
 
+SITE = " | Example"
+
+
+@query(
+    "site_title",
+    f"""WITH t AS (SELECT page_id, url, regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) AS t FROM pages)
+SELECT page_id, nullif(trim(CASE WHEN page_id % 3 = 0 THEN t WHEN instr(t, ' - ') > 0 THEN substr(t, 1, length(t) - instr(reverse(t), ' - ') - 2) ELSE t END), '') AS title, regexp_replace(url, '[?&]s=[0-9]+$', '') AS address
+FROM (SELECT page_id, url || CASE page_id % 4 WHEN 0 THEN '?s=12' WHEN 1 THEN '&s=7' ELSE '' END AS url, trim(regexp_replace(regexp_replace(t, '<[^>]*>', '', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS t FROM t)""",
+)
+def site_title(spark, sf):
+    """Titles without the site's name, which every third page carries behind a bar; addresses without a session number."""
+    title = T.squeeze(F.regexp_replace(F.regexp_extract("html", r"(?s)<title[^>]*>(.*?)</title>", 1), "<[^>]*>", ""))
+    carried = F.when(F.col("page_id") % 3 == 0, F.concat(title, F.lit(SITE))).otherwise(title)
+    url = F.concat("url", F.when(F.col("page_id") % 4 == 0, "?s=12").when(F.col("page_id") % 4 == 1, "&s=7").otherwise(""))
+    return table(spark, sf, "pages").select("page_id", T.or_null(F.trim(T.drop_site(carried))).alias("title"), T.drop_session(url).alias("address"))
+
+
 @query("html_links", """SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS link FROM pages""")
 def html_links(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.explode(T.links(F.col("html"))).alias("link"))
@@ -237,6 +254,23 @@ def sitemap_entries(spark, sf):
     return readers.sitemap_rows(maps).select("url", "lastmod")
 
 
+@query(
+    "sitemap_tree",
+    """WITH RECURSIVE edges AS (SELECT 'map' || (page_id // 9)::VARCHAR AS parent, 'map' || page_id::VARCHAR AS child, row_number() OVER (PARTITION BY page_id // 9 ORDER BY page_id) AS n FROM pages WHERE page_id > 0 AND page_id <= 400),
+tree AS (SELECT 'map0' AS m, 0 AS depth UNION ALL SELECT child, depth + 1 FROM tree JOIN edges ON parent = m WHERE n <= 4 AND depth < 2)
+SELECT 'https://example.com/' || m AS url, '2024-02-03' AS lastmod, depth FROM tree""",
+)
+def sitemap_tree(spark, sf):
+    """Landed sitemaps, an index of sitemaps each: page k is listed by page k // 9. Two levels below the root, four children each."""
+    own = F.format_string("<url><loc>https://example.com/map%d</loc><lastmod>2024-02-03</lastmod></url>", F.col("page_id"))
+    child = F.struct("page_id", F.format_string("<sitemap><loc>map%d</loc></sitemap>", F.col("page_id")).alias("x"))
+    p = table(spark, sf, "pages").select("page_id").where("page_id <= 400")
+    below = p.where("page_id > 0").groupBy(F.floor(F.col("page_id") / 9).alias("page_id")).agg(F.array_sort(F.collect_list(child)).alias("c"))
+    xml = F.concat(own, F.coalesce(F.array_join(F.transform("c", lambda c: c["x"]), ""), F.lit("")))
+    landed = p.join(below, "page_id", "left").select(F.format_string("map%d", F.col("page_id")).alias("map"), xml.alias("xml"))
+    return readers.sitemap_tree(landed, "map0", depth=2, children=4)
+
+
 @query("fetch_outcomes", "SELECT CASE WHEN page_id % 5 = 0 THEN 'missing' WHEN page_id % 5 = 1 THEN 'retry' WHEN length(html) > 50 THEN 'success' ELSE 'failed' END AS outcome, count(*) AS n FROM pages GROUP BY 1")
 def fetch_outcomes(spark, sf):
     status = F.when(F.col("page_id") % 5 == 0, 404).when(F.col("page_id") % 5 == 1, 503).otherwise(200)
@@ -259,9 +293,9 @@ def token_quantiles(spark, sf):
     return n.agg(F.min("n").alias("low"), q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"), F.max("n").alias("high"), F.round(F.avg("n"), 4).alias("mean"))
 
 
-@query("softmax_confidence", "WITH s AS (SELECT vec_id, list_transform(embedding[1:3], lambda x: exp(x::DOUBLE - list_max(embedding[1:3])::DOUBLE)) AS e FROM embeddings) SELECT vec_id, round(list_max(e) / list_sum(e), 4) AS confidence, list_position(e, list_max(e)) - 1 AS label FROM s")
+@query("softmax_confidence", "WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE)) AS e FROM embeddings) SELECT vec_id, round(list_max(e) / list_sum(e), 4) AS confidence, list_position(e, list_max(e)) - 1 AS label FROM s")
 def softmax_confidence(spark, sf):
-    p = T.softmax(F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")))
+    p = T.softmax(F.transform("embedding", lambda x: x.cast("double")))
     d = table(spark, sf, "embeddings").select("vec_id", p.alias("p"))
     return d.select("vec_id", F.round(F.array_max("p"), 4).alias("confidence"), (F.array_position("p", F.array_max("p")) - 1).alias("label"))
 

@@ -84,6 +84,23 @@ def sitemap_rows(pages: DataFrame, xml: str = "xml") -> DataFrame:
     return d.select("pos", url.alias("url"), F.trim(F.regexp_extract("e", r"(?s)<lastmod>\s*(.*?)\s*</lastmod>", 1)).alias("lastmod")).where("url <> ''")
 
 
+def sitemap_tree(landed: DataFrame, root: str, depth: int = 2, children: int = 30, key: str = "map", xml: str = "xml") -> DataFrame:
+    """(url, lastmod, depth) of the pages that a landed sitemap and those it lists name, level by level.
+
+    Only the first `children` sitemaps of each one are followed, `depth` levels deep; a sitemap that has not landed has no pages.
+    Entries without a location go.
+    """
+    entry = lambda tag: F.regexp_extract_all(F.col(xml), F.lit(rf"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1))
+    place = lambda e: F.trim(F.regexp_extract(e, r"(?s)<loc>\s*(.*?)\s*</loc>", 1))
+    known = landed.select(F.col(key).alias("_map"), entry("url").alias("_urls"), F.slice(F.filter(F.transform(entry("sitemap"), place), lambda u: u != ""), 1, children).alias("_maps"))
+    level, out = known.where(F.col("_map") == root), None
+    for k in range(depth + 1):
+        rows = level.select(F.explode("_urls").alias("_e")).select(place(F.col("_e")).alias("url"), F.trim(F.regexp_extract("_e", r"(?s)<lastmod>\s*(.*?)\s*</lastmod>", 1)).alias("lastmod"), F.lit(k).alias("depth"))
+        out = rows if out is None else out.unionByName(rows)
+        level = level.select(F.explode("_maps").alias("_map")).distinct().join(known, "_map")
+    return out.where("url <> ''")
+
+
 def binary_rows(spark: SparkSession, path: str, glob: str, least: int = 100, most: int = 50 << 20, magic: bytes | None = b"%PDF-") -> DataFrame:
     """(path, length, sha256, content) of files within the size bounds that begin with the magic bytes."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).where(F.col("length").between(least + 1, most))
