@@ -217,12 +217,12 @@ def stretch_rows(texts: DataFrame, shared: DataFrame, shards: int, length: int)
     return texts.join(sets, "node").select("node", "low", "data", "sets").mapInPandas(trimmed(find), schema)
 
 
-def smallest_starts(text: np.ndarray, sizes: np.ndarray, lowest: np.ndarray, length: int, memory: int, folder: str) -> np.ndarray:
-    """For each byte of the joined stretches the smallest doc_id of the string of `length` bytes that starts there."""
+def smallest_starts(text: np.ndarray, sizes: np.ndarray, lowest: np.ndarray, length: int, memory: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of the joined stretches the number of the string of `length` bytes that starts there, and each one's smallest doc_id."""
     space = Space(memory, folder)
     offset = np.r_[0, np.cumsum(sizes)]
     order, shared = sort(text, length, space)
-    group, n_groups, least = space.array(len(text), np.int64), 0, 0
+    group, n_groups, least = space.places(len(text)), 0, 0
     for a in range(0, len(order), BLOCK):
         at, common = np.asarray(order[a : a + BLOCK]), np.asarray(shared[a : a + BLOCK])
         whole = offset[np.searchsorted(offset, at, "right")] - at >= length  # others cross stretches
@@ -245,19 +245,17 @@ def smallest_starts(text: np.ndarray, sizes: np.ndarray, lowest: np.ndarray, len
         g = np.asarray(group[a : a + BLOCK])
         some = np.flatnonzero(g)
         np.minimum.at(best, g[some], lowest[np.searchsorted(offset, a + some, "right") - 1])
-    for a in range(0, len(text), BLOCK):
-        group[a : a + BLOCK] = best[group[a : a + BLOCK]]
-    return group
+    return group, best
 
 
 def runs_of(text: np.ndarray, names: np.ndarray, sizes: np.ndarray, lowest: np.ndarray, highest: np.ndarray, length: int, memory: int) -> Iterator[pd.DataFrame]:
     """The result rows of the joined stretches of a shard."""
     offset = np.r_[0, np.cumsum(sizes)]
     with tempfile.TemporaryDirectory() as folder:
-        smallest = smallest_starts(text, sizes, lowest, length, memory, folder)
+        group, best = smallest_starts(text, sizes, lowest, length, memory, folder)
         for a in range(0, len(sizes), 1 << 14):
             b = min(a + (1 << 14), len(sizes))
-            low = np.asarray(smallest[offset[a] : offset[b]])
+            low = best[group[offset[a] : offset[b]]]
             of = np.repeat(np.arange(a, b), sizes[a:b])
             place = np.arange(offset[a], offset[b]) - offset[of]
             hit = (place <= sizes[of] - length) & (low < highest[of])

@@ -14,7 +14,8 @@ them is compared.
 
 Memory: a queue keeps sorted runs of tuples, at most `memory` bytes of them in memory and the rest in files; popping reads blocks of
 `BLOCK` tuples a run at most, and files are merged when there are more than `RUNS`. Texts, types, ranks and results of a
-level are memory-mapped files too once they pass `memory`; a block reads them at its own places in ascending order.
+level are as narrow as their numbers allow, and memory-mapped files too once they pass `memory`; a block reads them at its own
+places in ascending order.
 """
 
 from __future__ import annotations
@@ -46,62 +47,91 @@ class Space:
         os.unlink(path)
         return out
 
+    def places(self, n: int, most: int | None = None) -> np.ndarray:
+        """An array of n numbers up to `most` (n unless given), as narrow as they allow."""
+        return self.array(n, np.min_scalar_type(-1 - (n if most is None else most)))
+
     def stored(self, rows: np.ndarray) -> np.ndarray:
-        out = self.array(rows.size, np.int64).reshape(rows.shape)
+        out = self.array(rows.size, np.int64).reshape(rows.shape[::-1]).T
         out[:] = rows
         return out
 
 
 class Queue:
-    """A priority queue of tuples (rows of int64, the first column a key that no two tuples share)."""
+    """A priority queue of tuples (columns of int64, the first one a key that no two tuples share), kept column by column."""
 
     def __init__(self, space: Space):
         self.space = space
-        self.near: list[list] = []  # [sorted rows, next row] in memory
+        self.near: list[list] = []  # [sorted rows, next row] in memory, each run at least twice as long as the next
         self.far: list[list] = []  # the same in files
         self.held = 0
 
     def push(self, rows: np.ndarray, in_order: bool = False) -> None:
         if not len(rows):
             return
-        self.near.append([rows if in_order else rows[np.argsort(rows[:, 0], kind="stable")], 0])
+        self.near.append([rows if in_order else rows.T[:, rows[:, 0].argsort(kind="stable")].T, 0])
         self.held += rows.nbytes
-        if self.held > self.space.memory or len(self.near) > RUNS:
-            merged = np.concatenate([r[a:] for r, a in self.near])
-            merged = merged[np.argsort(merged[:, 0], kind="stable")]
-            self.near, self.held = [], 0
-            if merged.nbytes > self.space.memory // 2:
+        while len(self.near) > 1 and len(self.near[-2][0]) - self.near[-2][1] < 2 * (len(self.near[-1][0]) - self.near[-1][1]):
+            self.near[-2:] = [[joined(self.near[-2:]), 0]]
+        if self.held > self.space.memory:
+            merged = joined(self.near)
+            self.near, self.held = [[merged, 0]], merged.nbytes
+            if self.held > self.space.memory // 2:
                 self.far.append([self.space.stored(merged), 0])
+                self.near, self.held = [], 0
                 if len(self.far) > RUNS:
                     self.merge()
-            else:
-                self.near, self.held = [[merged, 0]], merged.nbytes
 
     def merge(self) -> None:
         """Make the files one, a block at a time."""
         near, self.near = self.near, []
-        out, at = self.space.array(3 * sum(len(r) - a for r, a in self.far), np.int64).reshape(-1, 3), 0
+        out, at = self.space.array(3 * sum(len(r) - a for r, a in self.far), np.int64).reshape(3, -1).T, 0
         while self.far:
             rows = self.first(BLOCK)
             out[at : at + len(rows)] = rows
             at += len(rows)
-            self.drop(int(rows[-1, 0]))
+            self.drop(int(rows[-1, 0]), BLOCK)
         self.near, self.far = near, [[out, 0]]
 
     def first(self, most: int) -> np.ndarray:
         """The tuples of smallest keys, in order, at most `most`."""
-        parts = [np.asarray(r[a : a + most]) for r, a in self.near + self.far]
-        if len(parts) == 1:
-            return parts[0]
-        rows = np.concatenate(parts) if parts else np.zeros((0, 3), np.int64)
-        return rows[np.argsort(rows[:, 0], kind="stable")[:most]]
-
-    def drop(self, key: int) -> None:
-        """Remove the tuples up to this key."""
+        runs = self.near + self.far
+        if len(runs) == 1:
+            rows, a = runs[0]
+            return np.asarray(rows[a : a + most])
+        if not runs:
+            return np.zeros((0, 3), np.int64)
+        sizes = [most] * len(runs)
+        if ends := [r[a + most - 1, 0] for r, a in runs if a + most <= len(r)]:
+            bound = min(ends)  # one run alone has `most` tuples up to this key
+            sizes = [int(r[a : a + most, 0].searchsorted(bound, "right")) for r, a in runs]
+        columns = np.concatenate([r[a : a + n].T for (r, a), n in zip(runs, sizes, strict=True)], axis=1)
+        return columns[:, columns[0].argsort(kind="stable")[:most]].T
+
+    def drop(self, key: int, most: int) -> None:
+        """Remove the tuples up to this key, which are among the first `most`."""
         for runs in (self.near, self.far):
+            done = False
             for run in runs:
-                run[1] += int(np.searchsorted(run[0][run[1] : run[1] + BLOCK, 0], key, "right"))
-            runs[:] = [r for r in runs if r[1] < len(r[0])]
+                rows, a = run
+                if rows[a, 0] <= key:
+                    run[1] += int(rows[a : a + most, 0].searchsorted(key, "right"))
+                    done |= run[1] == len(rows)
+            if done:
+                runs[:] = [r for r in runs if r[1] < len(r[0])]
+
+
+def joined(runs: list[list]) -> np.ndarray:
+    """The tuples that are left in sorted runs, as one run."""
+    columns = np.concatenate([r[a:].T for r, a in runs], axis=1)
+    return columns[:, columns[0].argsort(kind="stable")].T
+
+
+def behind(first, values: np.ndarray) -> np.ndarray:
+    """The value before each one; `first` before the first."""
+    out = np.empty_like(values)
+    out[0], out[1:] = first, values[:-1]
+    return out
 
 
 def equal_ahead(text: np.ndarray, p: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -119,6 +149,10 @@ def equal_ahead(text: np.ndarray, p: np.ndarray, q: np.ndarray, most: np.ndarray
 
 def range_minima(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The least of values[first .. last] for each pair of places."""
+    if int((last - first).sum()) < 32 * len(values):  # cheaper than the table of powers of two
+        pairs = np.empty(2 * len(first), np.int64)
+        pairs[::2], pairs[1::2] = first, last + 1
+        return np.minimum.reduceat(np.append(values, 0), pairs)[::2]
     levels, begin = [values], [0]
     while 2 << (len(levels) - 1) <= len(values):
         half = 1 << (len(levels) - 1)
@@ -143,50 +177,53 @@ def induce(text: np.ndarray, flip: int | None, wanted: np.ndarray, seeds: Queue,
     last = np.full(depth + 1, -1, np.int64)  # the last rank with at most this common prefix
     rank, before, size = 1, None, min(BLOCK, 256)
     while len(rows := seeds.first(size)):
-        key, place = rows[:, 0], rows[:, 1]
+        key = rows[:, 0]
         # What a tuple induces must come behind all that are popped with it: take the first that all do.
-        prior = place - 1
-        some = np.flatnonzero(prior >= 0)
-        some = some[wanted[prior[some]]]
+        prior = rows[:, 1] - 1
+        some = np.flatnonzero(wanted[prior] & (prior >= 0))
         symbol = text[prior[some]].astype(np.int64)
         new = ((symbol if flip is None else flip - symbol) << 33) | (rank + some)
-        least = np.full(len(rows) + 1, np.iinfo(np.int64).max)
+        least = np.full(len(key) + 1, np.iinfo(np.int64).max)
         least[some + 1] = new
-        safe = int(np.argmax(np.r_[key >= np.minimum.accumulate(least)[:-1], True]))
+        late = key >= np.minimum.accumulate(least)[:-1]
+        safe = int(late.argmax())
+        if not late[safe]:
+            safe = len(key)
+        else:
+            keep = int(some.searchsorted(safe))
+            some, symbol, new = some[:keep], symbol[:keep], new[:keep]
+            key, rows = key[:safe], rows[:safe]
+        seeds.drop(int(key[-1]), size)
         size = min(BLOCK, max(64, 2 * safe))
-        keep = some < safe
-        some, symbol, new = some[keep], symbol[keep], new[keep]
-        rows = np.array(rows[:safe])
-        seeds.drop(int(rows[-1, 0]))
-        key, place, shared = rows.T
+        place, shared = rows[:, 1].copy(), rows[:, 2].copy()
         seeded = (key >> 32) & 1 == 1
         carried = np.zeros(len(new), np.int64)
         if depth:
-            shared = shared.copy()
             bucket = key >> 33
-            joint = np.r_[before[0] if before else -1, bucket[:-1]] == bucket
-            turn = joint & (np.r_[before[1] if before else False, seeded[:-1]] != seeded)
+            joint = behind(before[0] if before else -1, bucket) == bucket
+            turn = joint & (behind(before[1] if before else False, seeded) != seeded)
             shared[~joint] = 0
-            if turn.any():  # an L- and an S-type suffix of one symbol agree as long as the shorter run of it
-                at = np.flatnonzero(turn)
-                other = np.r_[before[2] if before else 0, place[:-1]][at]
+            at = np.flatnonzero(turn)
+            if len(at):  # an L- and an S-type suffix of one symbol agree as long as the shorter run of it
+                other = behind(before[2] if before else 0, place)[at]
                 runs = [equal_ahead(text, x, x + 1, np.full(len(x), depth)) + 1 for x in (place[at], other)]
                 shared[at] = np.minimum(np.minimum(*runs), depth)
             if len(new):
-                order = np.argsort(symbol, kind="stable")
+                order = symbol.argsort(kind="stable")
                 s, here = symbol[order], some[order]
-                same = np.r_[False, s[1:] == s[:-1]]
-                left = np.where(same, np.r_[0, here[:-1] + rank], latest[s])
+                same = behind(-1, s) == s
+                left = np.where(same, behind(0, here) + rank, latest[s])
                 inside = np.flatnonzero(left >= rank)
-                smallest = np.minimum(np.minimum.accumulate(shared)[here], np.searchsorted(last, left, "right"))
-                smallest[inside] = range_minima(shared, left[inside] - rank + 1, here[inside])
+                smallest = np.minimum(np.minimum.accumulate(shared)[here], last.searchsorted(left, "right"))
+                if len(inside):
+                    smallest[inside] = range_minima(shared, left[inside] - rank + 1, here[inside])
                 carried[order] = np.where(left < 0, 0, np.minimum(smallest + 1, depth))
                 latest[s] = here + rank  # the last of equal ones stays
             own = np.full(depth + 1, -1, np.int64)
             own[shared] = rank + np.arange(safe)
             last = np.maximum(last, np.maximum.accumulate(own))
             before = (bucket[-1], seeded[-1], place[-1])
-        seeds.push(np.stack([new, place[some] - 1, carried], axis=1))
+        seeds.push(np.stack([new, place[some] - 1, carried]).T)
         yield place, seeded, shared
         rank += safe
 
@@ -215,13 +252,13 @@ def both_ways(text: np.ndarray, s_type: np.ndarray, lms: list[np.ndarray], depth
     for a in range(0, len(lms[0]), BLOCK):
         p = np.asarray(lms[0][a : a + BLOCK], np.int64)
         key = (text[p].astype(np.int64) << 33) | (1 << 32) | np.arange(a, a + len(p))
-        first.push(np.stack([key, p, np.asarray(lms[1][a : a + BLOCK], np.int64)], axis=1))
+        first.push(np.stack([key, p, np.asarray(lms[1][a : a + BLOCK], np.int64)]).T)
     first.push(np.array([[int(text[n - 1]) << 33, n - 1, 0]], np.int64))
     l_type = np.logical_not(s_type) if not isinstance(s_type, np.memmap) else space.array(n, bool)
     if isinstance(s_type, np.memmap):
         np.logical_not(s_type, out=l_type)
     count = n - int(np.count_nonzero(s_type))
-    found, prefix, at = space.array(count, np.int64), space.array(count + 1, np.int64), 0
+    found, prefix, at = space.places(count, n), space.places(count + 1, depth), 0
     for place, seeded, shared in induce(text, None, l_type, first, depth, space, int(text[n - 1])):
         own = ~seeded
         k = int(own.sum())
@@ -232,18 +269,18 @@ def both_ways(text: np.ndarray, s_type: np.ndarray, lms: list[np.ndarray], depth
         a = max(0, b - BLOCK)
         p, shared = np.asarray(found[a:b])[::-1], np.asarray(prefix[a + 1 : b + 1])[::-1]
         key = ((top - text[p].astype(np.int64)) << 33) | (1 << 32) | (count - b + np.arange(b - a))
-        second.push(np.stack([key, p, shared], axis=1), in_order=False)
+        second.push(np.stack([key, p, shared]).T)
     yield from induce(text, top, s_type, second, depth, space)
 
 
 def sort(text: np.ndarray, depth: int, space: Space) -> tuple[np.ndarray, np.ndarray]:
     """(places in suffix order, common prefixes with the one before, at most depth) of a string of symbols."""
     n = len(text)
-    order, shared = space.array(n, np.int64), space.array(n, np.int64)
+    order, shared = space.places(n), space.places(n, depth)
     if n < 2:
         return order, shared
     s_type = types(text, space)
-    lms = space.array(int(np.count_nonzero(s_type[1:] & ~s_type[:-1])), np.int64)
+    lms = space.places(int(np.count_nonzero(s_type[1:] & ~s_type[:-1])), n)
     at = 0
     for a in range(0, n - 1, BLOCK):
         x = np.asarray(s_type[a : a + BLOCK + 1])
@@ -251,10 +288,10 @@ def sort(text: np.ndarray, depth: int, space: Space) -> tuple[np.ndarray, np.nda
         lms[at : at + len(p)] = p
         at += len(p)
     m = len(lms)
-    ranked, common = space.array(m, np.int64), space.array(m, np.int64)
+    ranked, common = space.places(m, n), space.places(m, depth)
     if m:
         # LMS substrings in order: the inductions from LMS suffixes that are sorted by their first symbol only.
-        number = space.array(n, np.int64)
+        number = space.places(n, m)
         number[lms] = np.arange(m)
         at = m
         for place, _, _ in both_ways(text, s_type, [lms, common], 0, space):
@@ -262,11 +299,11 @@ def sort(text: np.ndarray, depth: int, space: Space) -> tuple[np.ndarray, np.nda
             p = p[s_type[p] & ~s_type[p - 1]]
             ranked[at - len(p) : at] = p[::-1]
             at -= len(p)
-        names, name = space.array(m, np.int64), 0
+        names, name = space.places(m), 0
         for a in range(0, m, BLOCK):
             q = np.asarray(ranked[a : a + BLOCK])
-            p = np.r_[ranked[a - 1] if a else q[0], q[:-1]]
-            i, j = number[p], number[q]
+            p = behind(ranked[a - 1] if a else q[0], q)
+            i, j = number[p].astype(np.int64), number[q].astype(np.int64)
             ends = [np.where(k + 1 < m, lms[np.minimum(k + 1, m - 1)], n) for k in (i, j)]
             size = ends[1] - q
             same = (ends[0] - p == size) & (i + 1 < m) & (j + 1 < m)
@@ -278,14 +315,14 @@ def sort(text: np.ndarray, depth: int, space: Space) -> tuple[np.ndarray, np.nda
         if name < m:
             inner, agreed = sort(names, depth, space)
         else:
-            inner, agreed = space.array(m, np.int64), space.array(m, np.int64)
+            inner, agreed = space.places(m), space.places(m, depth)
             inner[names] = np.arange(m)
         for a in range(0, m, BLOCK):
-            j, k = np.asarray(inner[a : a + BLOCK]), np.asarray(agreed[a : a + BLOCK])
+            j, k = np.asarray(inner[a : a + BLOCK]).astype(np.int64), np.asarray(agreed[a : a + BLOCK])
             ranked[a : a + len(j)] = lms[j]
             if depth:
-                i = np.r_[inner[a - 1] if a else j[0], j[:-1]]
-                sure = np.minimum(lms[np.minimum(np.maximum(i, j) + k, m - 1) - np.maximum(i, j) + j] - lms[j], depth)
+                i = behind(inner[a - 1] if a else j[0], j)
+                sure = np.minimum(lms[np.minimum(np.maximum(i, j) + k, m - 1) - np.maximum(i, j) + j] - lms[j], depth).astype(np.int64)
                 more = equal_ahead(text, lms[i] + sure, lms[j] + sure, depth - sure)
                 common[a : a + len(j)] = np.where((np.arange(a, a + len(j)) == 0), 0, sure + more)
     at = n
