@@ -169,7 +169,7 @@ SITE = " | Example"
 @query(
     "site_title",
     f"""WITH t AS (SELECT page_id, url, regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) AS t FROM pages)
-SELECT page_id, nullif(trim(CASE WHEN page_id % 3 = 0 THEN t WHEN instr(t, ' - ') > 0 THEN substr(t, 1, length(t) - instr(reverse(t), ' - ') - 2) ELSE t END), '') AS title, regexp_replace(url, '[?&]s=[0-9]+$', '') AS address
+SELECT page_id, nullif(trim(CASE WHEN page_id % 3 = 0 THEN t WHEN instr(t, ' | ') > 0 THEN substr(t, 1, length(t) - instr(reverse(t), ' | ') - 2) WHEN instr(t, ' - ') > 0 THEN substr(t, 1, length(t) - instr(reverse(t), ' - ') - 2) ELSE t END), '') AS title, regexp_replace(url, '[?&]s=[0-9]+$', '') AS address
 FROM (SELECT page_id, url || CASE page_id % 4 WHEN 0 THEN '?s=12' WHEN 1 THEN '&s=7' ELSE '' END AS url, trim(regexp_replace(regexp_replace(t, '<[^>]*>', '', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS t FROM t)""",
 )
 def site_title(spark, sf):
@@ -256,7 +256,7 @@ def sitemap_entries(spark, sf):
 
 @query(
     "sitemap_tree",
-    """WITH RECURSIVE edges AS (SELECT 'map' || (page_id // 9)::VARCHAR AS parent, 'map' || page_id::VARCHAR AS child, row_number() OVER (PARTITION BY page_id // 9 ORDER BY page_id) AS n FROM pages WHERE page_id > 0 AND page_id <= 400),
+    """WITH RECURSIVE edges AS (SELECT 'map' || (page_id // 9)::VARCHAR AS parent, 'map' || page_id::VARCHAR AS child, row_number() OVER (PARTITION BY page_id // 9 ORDER BY page_id) AS n FROM pages WHERE page_id > 0),
 tree AS (SELECT 'map0' AS m, 0 AS depth UNION ALL SELECT child, depth + 1 FROM tree JOIN edges ON parent = m WHERE n <= 4 AND depth < 2)
 SELECT 'https://example.com/' || m AS url, '2024-02-03' AS lastmod, depth FROM tree""",
 )
@@ -264,7 +264,7 @@ def sitemap_tree(spark, sf):
     """Landed sitemaps, an index of sitemaps each: page k is listed by page k // 9. Two levels below the root, four children each."""
     own = F.format_string("<url><loc>https://example.com/map%d</loc><lastmod>2024-02-03</lastmod></url>", F.col("page_id"))
     child = F.struct("page_id", F.format_string("<sitemap><loc>map%d</loc></sitemap>", F.col("page_id")).alias("x"))
-    p = table(spark, sf, "pages").select("page_id").where("page_id <= 400")
+    p = table(spark, sf, "pages").select("page_id")
     below = p.where("page_id > 0").groupBy(F.floor(F.col("page_id") / 9).alias("page_id")).agg(F.array_sort(F.collect_list(child)).alias("c"))
     xml = F.concat(own, F.coalesce(F.array_join(F.transform("c", lambda c: c["x"]), ""), F.lit("")))
     landed = p.join(below, "page_id", "left").select(F.format_string("map%d", F.col("page_id")).alias("map"), xml.alias("xml"))
