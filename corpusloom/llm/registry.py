@@ -7,7 +7,9 @@ from .langid import op4_language
 from .mixing import OP5_SQL, op5_fair_queue
 from .neardup import op10_bagminhash
 from .pii import OP9_SQL, op9_disclosure
+from .prefixtrie import OP12_SQL, op12_prefix_trie
 from .sharding import op7_virtual_slots
+from .simhash import op13_simhash
 from .substrings import op3_suffix_dedup
 from .toxicity import op2_toxicity
 
@@ -22,6 +24,8 @@ QUERIES = {
     "op8_reply_trees": op8_reply_trees,
     "op9_disclosure": op9_disclosure,
     "op10_bagminhash": op10_bagminhash,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_simhash": op13_simhash,
 }
 
 ORACLE_SQL = {
@@ -29,4 +33,5 @@ ORACLE_SQL = {
     "op6_bit_sliced": OP6_SQL,
     "op8_reply_trees": OP8_SQL,
     "op9_disclosure": OP9_SQL,
+    "op12_prefix_trie": OP12_SQL,
 }
