@@ -2,6 +2,7 @@
 
 from .bitsliced import OP6_SQL, op6_bit_sliced
 from .chat import OP8_SQL, op8_reply_trees
+from .collocations import OP11_SQL, op11_collocations
 from .decontaminate import op1_decontaminate
 from .langid import op4_language
 from .mixing import OP5_SQL, op5_fair_queue
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_reply_trees": op8_reply_trees,
     "op9_disclosure": op9_disclosure,
     "op10_bagminhash": op10_bagminhash,
+    "op11_collocations": op11_collocations,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_simhash": op13_simhash,
 }
@@ -33,5 +35,6 @@ ORACLE_SQL = {
     "op6_bit_sliced": OP6_SQL,
     "op8_reply_trees": OP8_SQL,
     "op9_disclosure": OP9_SQL,
+    "op11_collocations": OP11_SQL,
     "op12_prefix_trie": OP12_SQL,
 }
