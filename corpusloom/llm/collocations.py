@@ -2,10 +2,10 @@
 
 Texts of one language are strung together into shards of about `SHARD_BYTES`, cut into words, and kept as arrays of word ids. Per shard
 numpy sorts the suffixes by prefix doubling (by one word, two, four, eight) as deep as the longest phrase, and the
-longest common prefixes of neighbours give the intervals of equal n-grams: a row (phrase, place of one occurrence, count) each. Rows of
+longest common prefixes of neighbours give the intervals of equal n-grams: a row (phrase, count) each. Rows of
 all shards are merged by phrase. As a phrase is no more frequent than any part of it, this goes in three rounds: words; pairs
-of words that are frequent in the whole language; phrases of three and more whose pairs all are. After each round the frequent phrases are
-joined back to the shards that hold them, so what a round looks for is found exactly and nothing is broadcast but what
+of words that are frequent in the whole language; phrases of three and more whose pairs all are. After each round the shards get
+those of their phrases back that are frequent, so what a round looks for is found exactly and nothing is broadcast but what
 Spark measures to be small. A shard's lists are bounded by its words.
 
 Arithmetic is in decimals of 38 digits.
@@ -33,7 +33,7 @@ SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 END = b"\xff"
 FOLD = bytes.maketrans(bytes(range(65, 91)) + SEPARATORS + b"\t", bytes(range(97, 123)) + END * len(SEPARATORS) + b" ")
 BLANK, WORD = re.compile(rb"[ \xff]"), re.compile(rb"[^ \xff]+|\xff")
-SHARD_SCHEMA = "shard long, lang string, own long, ids binary, words array<struct<at:int,count:long,phrase:binary>>"
+SHARD_SCHEMA = "shard long, lang string, own long, ids binary, words array<struct<count:long,phrase:binary>>"
 
 
 def cut(folded: bytes, size: int) -> Iterator[tuple[bytes, bytes]]:
@@ -66,11 +66,10 @@ def word_ids(folded: bytes):
 
 
 def shards(docs: DataFrame, size: int = SHARD_BYTES) -> DataFrame:
-    """One row a shard: its language, word ids, how many of them are its own, and its words with a place and their count."""
+    """One row a shard: its language, word ids, how many of them are its own, and its words with their count, in the order of their ids."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import zstandard
         from pyspark import TaskContext
 
         held: dict[str, list[bytes]] = {}
@@ -82,13 +81,10 @@ def shards(docs: DataFrame, size: int = SHARD_BYTES) -> DataFrame:
             ids, words = word_ids(folded + b" " + ahead)
             own = len(ids) - len(ahead.split())
             count = np.bincount(ids[:own], minlength=len(words)).astype(np.int64)
-            at = np.zeros(len(words), np.int32)
-            at[ids] = np.arange(len(ids), dtype=np.int32)
-            rows = pa.StructArray.from_arrays([pa.array(at[1:]), pa.array(count[1:]), words[1:]], ["at", "count", "phrase"])
+            rows = pa.StructArray.from_arrays([pa.array(count[1:]), words[1:]], ["count", "phrase"])
             next_id += 1
             listed = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
-            packed = zstandard.ZstdCompressor(1).compress(ids.tobytes())
-            return pa.RecordBatch.from_arrays([pa.array([next_id]), pa.array([lang]), pa.array([own]), pa.array([packed], pa.binary()), listed], names=["shard", "lang", "own", "ids", "words"])
+            return pa.RecordBatch.from_arrays([pa.array([next_id]), pa.array([lang]), pa.array([own]), pa.array([packed(ids)], pa.binary()), listed], names=["shard", "lang", "own", "ids", "words"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -160,75 +156,106 @@ def intervals(ids: np.ndarray, reach: np.ndarray, own: int, low: int, high: int)
             yield n, suffixes[starts], total[ends] - total[starts]
 
 
-def counted(shards_: DataFrame, found: DataFrame, low: int, high: int) -> DataFrame:
-    """Rows (shard, lang, at, count, phrase): the phrases of low..high words of each shard whose parts of low - 1 words are all in `found`, rows of this kind."""
-    lists = found.groupBy("shard").agg(F.collect_list(F.struct("at", "phrase")).alias("found"))
-    part = low - 1
+def packed(numbers: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(1).compress(numbers.tobytes())
+
+
+def unpacked(blob: bytes, kind: type) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+
+
+def recoded(shards_: DataFrame, words: DataFrame) -> DataFrame:
+    """(shard, own, ids, words): shards with their frequent words (shard, id, word) numbered from 1, every other word 0, and what these numbers stand for."""
+    lists = words.groupBy("shard").agg(F.collect_list(F.struct("id", "word")).alias("found"))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard, own, blob = (batch.column(c)[i].as_py() for c in range(3))
+                ids, found = unpacked(blob, np.int32), batch.column(3)[i].values
+                old, word = found.field(0).to_numpy(), found.field(1).to_numpy()
+                number = np.zeros(max(int(ids.max()), int(old.max())) + 1, np.int32)
+                number[old] = np.arange(1, len(old) + 1, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([own]), pa.array([packed(number[ids])], pa.binary()), pa.array([packed(word)], pa.binary())], names=["shard", "own", "ids", "words"])
+
+    rows = shards_.select("shard", "own", "ids").join(lists, "shard").select("shard", "own", "ids", "found")
+    return rows.mapInArrow(trimmed(run), "shard long, own long, ids binary, words binary")
+
+
+def counted(coded: DataFrame, pairs: DataFrame | None, low: int, high: int) -> DataFrame:
+    """Rows (shard, w1, w2, ..., count): the phrases of low..high frequent words of each shard, 0 behind short ones; with `pairs` (shard, w1, w2), those alone that have no other pair."""
+
+    with_pairs = pairs is not None
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import pyarrow.compute as pc
-        import zstandard
 
         for batch in batches:
             for i in range(batch.num_rows):
-                shard, lang, own, packed = (batch.column(c)[i].as_py() for c in range(4))
-                ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.int32).astype(np.int64)
-                list_ = batch.column(4)[i].values
-                at, phrases = list_.field(0).to_numpy().astype(np.int64), list_.field(1)
-                frequent = np.zeros(len(ids), bool)
-                code = ids.copy()
-                if part == 2:
-                    code[:-1] = ids[:-1] * (int(ids.max()) + 1) + ids[1:]
-                    code[-1] = -1
-                    frequent = np.isin(code, code[at])
-                else:
-                    known = np.zeros(int(ids.max()) + 1, bool)
-                    known[code[at]] = True
-                    frequent = known[code]
-                # Words that a phrase may have from each place on: its parts follow each other and are all frequent.
-                going, n_parts = np.ones(len(ids), bool), np.zeros(len(ids), np.int64)
-                for k in range(high - part + 1):
-                    going[: len(ids) - k] &= frequent[k:]
+                shard, own = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                ids, word = unpacked(batch.column(2)[i].as_py(), np.int32).astype(np.int64), np.concatenate([[0], unpacked(batch.column(3)[i].as_py(), np.int64)])
+                linked = np.zeros(len(ids), bool)  # whether a word and the next may be in one phrase
+                linked[:-1] = (ids[:-1] > 0) & (ids[1:] > 0)
+                if with_pairs:
+                    found = batch.column(4)[i].values
+                    order = np.argsort(word)
+                    number = [order[np.searchsorted(word, found.field(c).to_numpy(), sorter=order)] for c in range(2)]
+                    linked[:-1] &= np.isin(ids[:-1] * len(word) + ids[1:], number[0] * len(word) + number[1])
+                going, reach = np.ones(len(ids), bool), np.zeros(len(ids), np.int64)
+                for k in range(high - 1):
+                    going[: len(ids) - k] &= linked[k:]
                     going[len(ids) - k :] = False
-                    n_parts += going
-                reach = np.where(n_parts > 0, n_parts + part - 1, 0)
-                of_word = np.zeros(int(ids.max()) + 1, np.int64)
-                if part == 2:
-                    pieces = pc.split_pattern(phrases.cast(pa.string()), " ")
-                    words = pieces.flatten().cast(pa.binary())
-                    of_word[ids[at]], of_word[ids[at + 1]] = 2 * np.arange(len(at)), 2 * np.arange(len(at)) + 1
-                else:
-                    words = phrases
-                    of_word[ids[at]] = np.arange(len(at))
+                    reach += going
+                reach += reach > 0
                 for n, places, counts in intervals(ids, reach, own, low, high):
-                    spelt = pc.binary_join_element_wise(*[words.take(pa.array(of_word[ids[places + k]])) for k in range(n)], pa.scalar(b" ", pa.binary()))
-                    m = len(places)
-                    for a in range(0, m, 1 << 16):
-                        b = min(m, a + (1 << 16))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, shard)), pa.array([lang] * (b - a)), pa.array(places[a:b].astype(np.int32)), pa.array(counts[a:b].astype(np.int64)), spelt[a:b]], names=["shard", "lang", "at", "count", "phrase"])
+                    if with_pairs:
+                        places, counts = places[counts > 0], counts[counts > 0]
+                    spelt = [word[ids[places + k]] if k < n else np.zeros(len(places), np.int64) for k in range(high)]
+                    for a in range(0, len(places), 1 << 16):
+                        b = min(len(places), a + (1 << 16))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, shard)), *[pa.array(w[a:b]) for w in spelt], pa.array(counts[a:b].astype(np.int64))], names=names)
 
-    rows = shards_.select("shard", "lang", "own", "ids").join(lists, "shard").select("shard", "lang", "own", "ids", "found")
-    return rows.mapInArrow(trimmed(run), "shard long, lang string, at int, count long, phrase binary")
+    names = ["shard", *[f"w{k}" for k in range(1, high + 1)], "count"]
+    if pairs is not None:
+        lists = pairs.groupBy("shard").agg(F.collect_list(F.struct("w1", "w2")).alias("found"))
+        coded = coded.join(lists, "shard").select("shard", "own", "ids", "words", "found")
+    return coded.mapInArrow(trimmed(run), ", ".join(f"{c} long" for c in names))
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, size: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
-    """((lang, phrase, f), (lang, n)): all phrases of up to `longest` words that occur `least` times in their language, and all words of each language."""
+    """((lang, phrase, f), (lang, n)): all phrases of up to `longest` words that occur `least` times in their language, and all words of each language.
+
+    A shard's row of a phrase learns the phrase's frequency by a window over the phrase, which has one row a shard at most: one shuffle both
+    merges the counts and tells the shards. Words are named by the row number of one of their rows, pairs by two such names.
+    """
     cutted = materialize(shards(docs, size), "shards")
-    rows = cutted.select("shard", "lang", F.explode("words").alias("w")).select("shard", "lang", "w.*")
-    sizes = rows.groupBy("lang").agg(F.sum("count").alias("n"))
-    rounds = []
-    for low, high in [(2, 2), (3, longest), (None, None)][: 3 if longest > 2 else 2]:
-        often = materialize(rows.groupBy("lang", "phrase").agg(F.sum("count").alias("f")).where(F.col("f") >= least), "often")
-        rounds.append(often)
-        if low:
-            rows = materialize(counted(cutted, rows.join(often, ["lang", "phrase"]).select("shard", "at", "phrase"), low, min(high, longest)), "grams")
-    if longest <= 2:
-        rounds.append(rows.groupBy("lang", "phrase").agg(F.sum("count").alias("f")).where(F.col("f") >= least))
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.unionByName(r)
-    return materialize(out.select("lang", F.col("phrase").cast("string").alias("phrase"), "f"), "frequent"), sizes
+    rows = cutted.select("shard", "lang", F.posexplode("words").alias("id", "w"))
+    rows = rows.select("shard", "lang", (F.col("id") + 1).alias("id"), "w.phrase", "w.count").withColumn("row", F.monotonically_increasing_id())
+    sizes = cutted.select("lang", F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + w["count"]).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
+    of_word, of_pair = Window.partitionBy("lang", "phrase"), Window.partitionBy("w1", "w2")
+    known = rows.withColumn("f", F.sum("count").over(of_word)).withColumn("word", F.min("row").over(of_word)).where(F.col("f") >= least)
+    known = materialize(known.drop("count"), "words")
+    coded = materialize(recoded(cutted, known), "coded")
+    pairs = counted(coded, None, 2, 2).withColumn("f", F.sum("count").over(of_pair)).where(F.col("f") >= least).select("shard", "w1", "w2", "f")
+    pairs = materialize(pairs, "pairs")
+    parts = [f"w{k}" for k in range(1, longest + 1)]
+    none = F.lit(0).cast("long")
+    found = pairs.groupBy("w1", "w2").agg(F.max("f").alias("f")).select(*["w1", "w2"], *[none.alias(w) for w in parts[2:]], "f")
+    if longest > 2:
+        longer = counted(coded, pairs, 3, longest).groupBy(*parts).agg(F.sum("count").alias("f")).where(F.col("f") >= least)
+        found = found.unionByName(longer)
+    words = materialize(known.where("row = word").select("word", "lang", F.col("phrase").cast("string").alias("phrase"), "f"), "vocabulary")
+    for k, w in enumerate(parts):
+        one = words.select(F.col("word").alias(w), F.col("phrase").alias(f"p{k}"), *(["lang"] if not k else []))
+        found = found.join(one, w, "left" if k > 1 else "inner")
+    spelt = found.select("lang", F.concat_ws(" ", *[f"p{k}" for k in range(longest)]).alias("phrase"), "f")
+    return materialize(spelt.unionByName(words.select("lang", "phrase", "f")), "frequent"), sizes
 
 
 def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, longest: int = LONGEST, size: int = SHARD_BYTES) -> DataFrame:
@@ -259,7 +286,8 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP11_SQL = r"""
 WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
 worded AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
 sized AS (SELECT lang, w, unnest(range(1, least(len(w), 5) + 1)) AS k FROM worded),
 grams AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sized),
