@@ -3,8 +3,8 @@
 Texts of one language are strung together into shards of about `SHARD_BYTES`, cut into words, and kept as arrays of word ids. Per shard
 numpy sorts the suffixes by prefix doubling (by one word, two, four, eight) as deep as the longest phrase, and the
 longest common prefixes of neighbours give the intervals of equal n-grams: a row (phrase, count) each. Rows of
-all shards are merged by phrase. As a phrase is no more frequent than any part of it, this goes in three rounds: words; pairs
-of words that are frequent in the whole language; phrases of three and more whose pairs all are. After each round the shards get
+all shards are merged by phrase. As a phrase is no more frequent than any part of it, this goes in rounds: words; pairs
+of words that are frequent in the whole language; triples whose pairs are; longer phrases whose triples are. After each round the shards get
 those of their phrases back that are frequent, so what a round looks for is found exactly and nothing is broadcast but what
 Spark measures to be small. A shard's lists are bounded by its words.
 
@@ -188,10 +188,9 @@ def recoded(shards_: DataFrame, words: DataFrame) -> DataFrame:
     return rows.mapInArrow(trimmed(run), "shard long, own long, ids binary, words binary")
 
 
-def counted(coded: DataFrame, pairs: DataFrame | None, low: int, high: int) -> DataFrame:
-    """Rows (shard, w1, w2, ..., count): the phrases of low..high frequent words of each shard, 0 behind short ones; with `pairs` (shard, w1, w2), those alone that have no other pair."""
-
-    with_pairs = pairs is not None
+def counted(coded: DataFrame, found: DataFrame | None, part: int, high: int) -> DataFrame:
+    """Rows (shard, w1, w2, ..., count): the phrases of part + 1 to `high` words of each shard, 0 behind short ones, whose parts of `part` words are all in `found` (shard, w1, ...); without it, of frequent words."""
+    low, with_parts = part + 1, found is not None
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -200,30 +199,33 @@ def counted(coded: DataFrame, pairs: DataFrame | None, low: int, high: int) -> D
             for i in range(batch.num_rows):
                 shard, own = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 ids, word = unpacked(batch.column(2)[i].as_py(), np.int32).astype(np.int64), np.concatenate([[0], unpacked(batch.column(3)[i].as_py(), np.int64)])
-                linked = np.zeros(len(ids), bool)  # whether a word and the next may be in one phrase
-                linked[:-1] = (ids[:-1] > 0) & (ids[1:] > 0)
-                if with_pairs:
-                    found = batch.column(4)[i].values
-                    order = np.argsort(word)
-                    number = [order[np.searchsorted(word, found.field(c).to_numpy(), sorter=order)] for c in range(2)]
-                    linked[:-1] &= np.isin(ids[:-1] * len(word) + ids[1:], number[0] * len(word) + number[1])
+                frequent = ids > 0  # whether a part begins here
+                if with_parts:
+                    order, listed = np.argsort(word), batch.column(4)[i].values
+                    number = [order[np.searchsorted(word, listed.field(c).to_numpy(), sorter=order)] for c in range(part)]
+                    # Parts are named word by word: the place of the name so far among those listed, then the next word.
+                    code, of_part = ids[: len(ids) - part + 1], number[0]
+                    for k in range(1, part):
+                        names_, of_part = np.unique(of_part, return_inverse=True)
+                        at = np.minimum(np.searchsorted(names_, code), len(names_) - 1)
+                        code = np.where(names_[at] == code, at * len(word) + ids[k : len(ids) - part + 1 + k], -1)
+                        of_part = of_part * len(word) + number[k]
+                    frequent = np.append(np.isin(code, of_part), np.zeros(part - 1, bool))
                 going, reach = np.ones(len(ids), bool), np.zeros(len(ids), np.int64)
-                for k in range(high - 1):
-                    going[: len(ids) - k] &= linked[k:]
+                for k in range(high - part + 1):
+                    going[: len(ids) - k] &= frequent[k:]
                     going[len(ids) - k :] = False
                     reach += going
-                reach += reach > 0
+                reach = np.where(reach > 0, reach + part - 1, 0)
                 for n, places, counts in intervals(ids, reach, own, low, high):
-                    if with_pairs:
-                        places, counts = places[counts > 0], counts[counts > 0]
                     spelt = [word[ids[places + k]] if k < n else np.zeros(len(places), np.int64) for k in range(high)]
                     for a in range(0, len(places), 1 << 16):
                         b = min(len(places), a + (1 << 16))
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, shard)), *[pa.array(w[a:b]) for w in spelt], pa.array(counts[a:b].astype(np.int64))], names=names)
 
     names = ["shard", *[f"w{k}" for k in range(1, high + 1)], "count"]
-    if pairs is not None:
-        lists = pairs.groupBy("shard").agg(F.collect_list(F.struct("w1", "w2")).alias("found"))
+    if with_parts:
+        lists = found.groupBy("shard").agg(F.collect_list(F.struct(*[f"w{k}" for k in range(1, part + 1)])).alias("found"))
         coded = coded.join(lists, "shard").select("shard", "own", "ids", "words", "found")
     return coded.mapInArrow(trimmed(run), ", ".join(f"{c} long" for c in names))
 
@@ -236,20 +238,27 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     """
     cutted = materialize(shards(docs, size), "shards")
     rows = cutted.select("shard", "lang", F.posexplode("words").alias("id", "w"))
-    rows = rows.select("shard", "lang", (F.col("id") + 1).alias("id"), "w.phrase", "w.count").withColumn("row", F.monotonically_increasing_id())
+    rows = rows.select("shard", "lang", (F.col("id") + 1).alias("id"), "w.phrase", "w.count").withColumn("row", F.monotonically_increasing_id() + 1)
     sizes = cutted.select("lang", F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + w["count"]).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-    of_word, of_pair = Window.partitionBy("lang", "phrase"), Window.partitionBy("w1", "w2")
+    of_word = Window.partitionBy("lang", "phrase")
     known = rows.withColumn("f", F.sum("count").over(of_word)).withColumn("word", F.min("row").over(of_word)).where(F.col("f") >= least)
     known = materialize(known.drop("count"), "words")
     coded = materialize(recoded(cutted, known), "coded")
-    pairs = counted(coded, None, 2, 2).withColumn("f", F.sum("count").over(of_pair)).where(F.col("f") >= least).select("shard", "w1", "w2", "f")
-    pairs = materialize(pairs, "pairs")
     parts = [f"w{k}" for k in range(1, longest + 1)]
-    none = F.lit(0).cast("long")
-    found = pairs.groupBy("w1", "w2").agg(F.max("f").alias("f")).select(*["w1", "w2"], *[none.alias(w) for w in parts[2:]], "f")
-    if longest > 2:
-        longer = counted(coded, pairs, 3, longest).groupBy(*parts).agg(F.sum("count").alias("f")).where(F.col("f") >= least)
-        found = found.unionByName(longer)
+    found, last = None, None
+    # One round for pairs, one for triples, one for all that is longer, which is little.
+    for part in range(1, min(longest, 4)):
+        high = part + 1 if part < 3 else longest
+        of = parts[:high]
+        grams = counted(coded, last, part, high)
+        if high < longest:
+            here = Window.partitionBy(*of)
+            last = materialize(grams.withColumn("f", F.sum("count").over(here)).where(F.col("f") >= least).select("shard", *of, "f"), "grams")
+            often = last.groupBy(*of).agg(F.max("f").alias("f"))
+        else:
+            often = grams.groupBy(*of).agg(F.sum("count").alias("f")).where(F.col("f") >= least)
+        often = often.select(*[F.col(w) if w in of else F.lit(0).cast("long").alias(w) for w in parts], "f")
+        found = often if found is None else found.unionByName(often)
     words = materialize(known.where("row = word").select("word", "lang", F.col("phrase").cast("string").alias("phrase"), "f"), "vocabulary")
     for k, w in enumerate(parts):
         one = words.select(F.col("word").alias(w), F.col("phrase").alias(f"p{k}"), *(["lang"] if not k else []))
