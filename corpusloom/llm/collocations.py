@@ -4,7 +4,7 @@ Texts of one language are strung together into shards of about `SHARD_BYTES`, cu
 numpy sorts the suffixes by prefix doubling (by one word, two, four, eight) as deep as the longest phrase, and the
 longest common prefixes of neighbours give the intervals of equal n-grams: a row (phrase, count) each. Rows of
 all shards are merged by phrase. As a phrase is no more frequent than any part of it, this goes in rounds: words; pairs
-of words that are frequent in the whole language; triples whose pairs are; longer phrases whose triples are. After each round the shards get
+of words that are frequent in the whole language; phrases of three and more whose pairs all are. After each round the shards get
 those of their phrases back that are frequent, so what a round looks for is found exactly and nothing is broadcast but what
 Spark measures to be small. A shard's lists are bounded by its words.
 
@@ -246,9 +246,9 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     coded = materialize(recoded(cutted, known), "coded")
     parts = [f"w{k}" for k in range(1, longest + 1)]
     found, last = None, None
-    # One round for pairs, one for triples, one for all that is longer, which is little.
-    for part in range(1, min(longest, 4)):
-        high = part + 1 if part < 3 else longest
+    # One round for pairs, one for all that is longer: a round for triples alone costs more than the rows that it saves.
+    for part in range(1, min(longest, 3)):
+        high = part + 1 if part < 2 else longest
         of = parts[:high]
         grams = counted(coded, last, part, high)
         if high < longest:
