@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,7 +103,8 @@ def drop_links(c: Column) -> Column:
 
 
 def drop_emails(c: Column) -> Column:
-    return F.regexp_replace(c, r"\S+@\S+\.\S+", " ")
+    """Words that hold an @ behind their first character and a dot behind that, each replaced by a blank. One attempt a word, so the time is linear."""
+    return F.regexp_replace(c, r"(?<!\S)\S[^\s@]*+@\S\S*\.\S+", " ")
 
 
 def drop_page_marks(c: Column) -> Column:
@@ -154,14 +157,18 @@ def redact(c: Column, rules: list[tuple[str, str]] | None = None) -> Column:
 
 
 def page_date(html: Column, url: Column) -> Column:
-    """Publication date (YYYY-MM-DD): the first dated meta tag of a known name, else the first dated time element, else a date in the
-    address, else empty."""
+    """Publication date (YYYY-MM-DD): the first dated meta tag of a known name, else the first dated time element, else the first
+    DD.MM.YYYY of the page's text, else a date in the address, else empty."""
     day = r"([0-9]{4}-[0-9]{2}-[0-9]{2})"
     tags = F.transform(
         F.regexp_extract_all(html, F.lit(r"(?i)<meta\b[^>]*>"), F.lit(0)),
         lambda t: F.when(F.lower(F.regexp_extract(t, r'(?i)\bname="([^"]*)"', 1)).isin(*DATE_NAMES), or_null(F.regexp_extract(t, rf'(?i)\bcontent="{day}', 1))),
     )
-    return F.coalesce(F.try_element_at(F.filter(tags, lambda d: d.isNotNull()), F.lit(1)), or_null(F.regexp_extract(html, rf'(?i)<time\b[^>]*\bdatetime="{day}', 1)), F.regexp_extract(url, day, 1), F.lit(""))
+    text = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^<>]*>", "")
+    written = r"([0-9]{2})\.([0-9]{2})\.([0-9]{4})"
+    in_text = F.concat_ws("-", *[or_null(F.regexp_extract(text, written, k)) for k in (3, 2, 1)])
+    in_meta, in_time = F.try_element_at(F.filter(tags, lambda d: d.isNotNull()), F.lit(1)), F.regexp_extract(html, rf'(?i)<time\b[^>]*\bdatetime="{day}', 1)
+    return F.coalesce(in_meta, or_null(in_time), or_null(in_text), F.regexp_extract(url, day, 1), F.lit(""))
 
 
 # Names of meta tags that hold a date of publication.
@@ -178,9 +185,13 @@ def page_title(html: Column) -> Column:
     )
 
 
-def drop_site(title: Column) -> Column:
-    """A title up to its last ` | ` or, without one, up to its last ` - `: what follows names the site."""
-    return F.when(title.contains(" | "), F.regexp_replace(title, r"(?s)^(.*) \| .*$", "$1")).otherwise(F.regexp_replace(title, r"(?s)^(.*) - .*$", "$1"))
+# Names of sites that end a title.
+SITES = ("European Commission", "EU", "European Union")
+
+
+def drop_site(title: Column, sites: tuple[str, ...] = SITES) -> Column:
+    """A title of one line up to the first - or | that a site's name follows."""
+    return F.regexp_replace(title, rf"\s*[-|]\s*({'|'.join(map(re.escape, sites))}).*$", "")
 
 
 def drop_session(url: Column) -> Column:
@@ -192,16 +203,6 @@ def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'href="([^"]+)"'), F.lit(1))
 
 
-def page_text(html: Column) -> Column:
-    """Text of the article, else of the body, else of the page: chrome dropped, one line a text node."""
-    h = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|nav|header|footer|aside|form)\b.*?</\1\s*>", " ")
-    body = F.coalesce(or_null(F.regexp_extract(h, r"(?is)<article[^>]*>(.*?)(?:</article>|$)", 1)), or_null(F.regexp_extract(h, r"(?is)<body[^>]*>(.*?)(?:</body>|$)", 1)), h)
-    t = F.regexp_replace(body, r"<[^>]*>", "\n")
-    for entity, to in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(to))
-    return F.array_join(F.filter(F.transform(F.split(t, "\n"), squeeze), lambda x: x != ""), "\n")
-
-
 def structure(text: Column) -> dict[str, Column]:
     """Counts of numbered articles, annexes and footnotes."""
     return {

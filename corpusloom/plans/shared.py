@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir; below a temporary one where that is unset (local tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp()
+    """A new folder below spark.checkpoint.dir; where that is unset, below a temporary one, on a local master only."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
     return f"{at.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..functions import pagetree
 from ..functions import text as T
 from ..operators import chunks, tables
 from ..sources import readers, sinks
@@ -149,33 +150,36 @@ def html_title(spark, sf):
 
 @query(
     "page_date",
-    """WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '<meta name="DC.date" content="2021-03-04T00:00">' WHEN 1 THEN '<time class="x" datetime="2020-05-06 10:00">' ELSE '' END || html AS html,
- url || CASE page_id % 4 WHEN 2 THEN '-2019-07-08_en' ELSE '' END AS url FROM pages),
+    """WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '<meta name="DC.date" content="2021-03-04T00:00">' WHEN 1 THEN '<time class="x" datetime="2020-05-06 10:00">' WHEN 3 THEN '<p title="01.02.2003">Published <b>14</b>.06.2021, not 15.07.2022</p>' ELSE '' END || html AS html,
+ url || CASE WHEN page_id % 5 >= 2 THEN '-2019-07-08_en' ELSE '' END AS url FROM pages),
 m AS (SELECT page_id, html, url, list_filter(regexp_extract_all(html, '(?i)<meta\\b[^>]*>'), lambda t: lower(regexp_extract(t, '(?i)\\bname="([^"]*)"', 1)) IN ('dc.date', 'dcterms.issued', 'publication-date', 'date')
- AND regexp_matches(t, '(?i)\\bcontent="[0-9]{4}-[0-9]{2}-[0-9]{2}')) AS tags FROM p)
+ AND regexp_matches(t, '(?i)\\bcontent="[0-9]{4}-[0-9]{2}-[0-9]{2}')) AS tags,
+ regexp_extract(regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<[^<>]*>', '', 'g'), '[0-9]{2}\\.[0-9]{2}\\.[0-9]{4}') AS d FROM p)
 SELECT page_id, coalesce(nullif(regexp_extract(tags[1], '(?i)\\bcontent="([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), ''), nullif(regexp_extract(html, '(?i)<time\\b[^>]*\\bdatetime="([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), ''),
- nullif(regexp_extract(url, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), ''), '') AS published FROM m""",
+ CASE WHEN d <> '' THEN d[7:10] || '-' || d[4:5] || '-' || d[1:2] END, nullif(regexp_extract(url, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), ''), '') AS published FROM m""",
 )
 def page_date(spark, sf):
-    k = F.col("page_id") % 4
-    html = F.concat(F.when(k == 0, '<meta name="DC.date" content="2021-03-04T00:00">').when(k == 1, '<time class="x" datetime="2020-05-06 10:00">').otherwise(""), "html")
-    url = F.concat("url", F.when(k == 2, "-2019-07-08_en").otherwise(""))
+    """Every fifth page carries a meta tag, a time element, a date in its address alone, a date in its text, or an address again."""
+    k = F.col("page_id") % 5
+    carried = F.when(k == 0, '<meta name="DC.date" content="2021-03-04T00:00">').when(k == 1, '<time class="x" datetime="2020-05-06 10:00">').when(k == 3, '<p title="01.02.2003">Published <b>14</b>.06.2021, not 15.07.2022</p>')
+    html = F.concat(carried.otherwise(""), "html")
+    url = F.concat("url", F.when(k >= 2, "-2019-07-08_en").otherwise(""))
     return table(spark, sf, "pages").select("page_id", T.page_date(html, url).alias("published"))
 
 
-SITE = " | Example"
+TAILS = [" | European Commission", " - EU portal", " - a short guide", " | European Union - news"]
 
 
 @query(
     "site_title",
-    f"""WITH t AS (SELECT page_id, url, regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) AS t FROM pages)
-SELECT page_id, nullif(trim(CASE WHEN page_id % 3 = 0 THEN t WHEN instr(t, ' | ') > 0 THEN substr(t, 1, length(t) - instr(reverse(t), ' | ') - 2) WHEN instr(t, ' - ') > 0 THEN substr(t, 1, length(t) - instr(reverse(t), ' - ') - 2) ELSE t END), '') AS title, regexp_replace(url, '[?&]s=[0-9]+$', '') AS address
-FROM (SELECT page_id, url || CASE page_id % 4 WHEN 0 THEN '?s=12' WHEN 1 THEN '&s=7' ELSE '' END AS url, trim(regexp_replace(regexp_replace(t, '<[^>]*>', '', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS t FROM t)""",
+    """WITH t AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS t FROM pages)
+SELECT page_id, nullif(trim(regexp_replace(t || [' | European Commission', ' - EU portal', ' - a short guide', ' | European Union - news'][1 + page_id % 4], '\\s*[-|]\\s*(European Commission|EU|European Union).*$', '')), '') AS title,
+ regexp_replace(url || CASE page_id % 4 WHEN 0 THEN '?s=12' WHEN 1 THEN '&s=7' ELSE '' END, '[?&]s=[0-9]+$', '') AS address FROM t""",
 )
 def site_title(spark, sf):
-    """Titles without the site's name, which every third page carries behind a bar; addresses without a session number."""
+    """Titles that carry a site's name or a part of their own, without the former; addresses without a session number."""
     title = T.squeeze(F.regexp_replace(F.regexp_extract("html", r"(?s)<title[^>]*>(.*?)</title>", 1), "<[^>]*>", ""))
-    carried = F.when(F.col("page_id") % 3 == 0, F.concat(title, F.lit(SITE))).otherwise(title)
+    carried = F.concat(title, F.element_at(F.array(*map(F.lit, TAILS)), (F.col("page_id") % 4 + 1).cast("int")))
     url = F.concat("url", F.when(F.col("page_id") % 4 == 0, "?s=12").when(F.col("page_id") % 4 == 1, "&s=7").otherwise(""))
     return table(spark, sf, "pages").select("page_id", T.or_null(F.trim(T.drop_site(carried))).alias("title"), T.drop_session(url).alias("address"))
 
@@ -185,9 +189,33 @@ def html_links(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.explode(T.links(F.col("html"))).alias("link"))
 
 
-@query("html_text")
+NESTED = ['<article><div class="a ecl-message">x<div>y</div>z</div>', '<div role="main"><article>', '<main><nav>u<nav>v</nav>w</nav>', '<article><header>r</header><p id="skip-link">s</p>']
+IN_PAGE = ("main", "#main-content", ".main-content", "[role=main]", "article", "body")
+
+
+@query(
+    "html_text",
+    r"""WITH p AS (SELECT page_id, replace(html, '<article>', ['<article><div class="a ecl-message">x<div>y</div>z</div>', '<div role="main"><article>', '<main><nav>u<nav>v</nav>w</nav>', '<article><header>r</header><p id="skip-link">s</p>'][1 + page_id % 4]) AS html FROM pages),
+k AS (SELECT page_id, unnest(t) AS t, generate_subscripts(t, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?is)<!--.*?-->|<![^<>]*>|<script\b[^<>]*>.*?</script>|<style\b[^<>]*>.*?</style>|<[^<>]*>|[^<]+') AS t FROM p)),
+g AS (SELECT *, lower(regexp_extract(t, '^</?([a-zA-Z][^\s<>/]*)', 1)) AS name, CASE WHEN t LIKE '</%' THEN -1 WHEN regexp_matches(t, '(?i)^<(meta|br|img|link|hr|script|style)\b') THEN 0 ELSE 1 END AS kind FROM k),
+tag AS (SELECT *, sum(kind) OVER (PARTITION BY page_id, name ORDER BY i) + CASE WHEN kind = -1 THEN 1 ELSE 0 END AS level FROM g WHERE name <> '' AND kind <> 0),
+el AS (SELECT o.page_id, o.name, o.t, o.i, coalesce(min(c.i), 1000000000) AS e FROM tag o LEFT JOIN tag c ON c.page_id = o.page_id AND c.name = o.name AND c.level = o.level AND c.kind = -1 AND c.i > o.i WHERE o.kind = 1 GROUP BY ALL),
+chrome AS (SELECT * FROM el WHERE name IN ('nav', 'footer', 'noscript', 'iframe', 'svg', 'header', 'button', 'select') OR regexp_matches(t, 'class="([^"]* )?ecl-message[ "]') OR t LIKE '%id="skip-link"%'),
+box AS (SELECT el.*, CASE WHEN name = 'main' THEN 'main' WHEN t LIKE '%role="main"%' THEN '[role=main]' ELSE name END AS selector, CASE WHEN name = 'main' THEN 1 WHEN t LIKE '%role="main"%' THEN 4 WHEN name = 'article' THEN 5 ELSE 6 END AS rank
+ FROM el WHERE (name IN ('main', 'article', 'body') OR t LIKE '%role="main"%') AND NOT EXISTS (SELECT 1 FROM chrome c WHERE c.page_id = el.page_id AND c.i <= el.i AND el.i < c.e)),
+best AS (SELECT * FROM box QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY rank, i) = 1),
+node AS (SELECT g.page_id, g.i, g.t, EXISTS (SELECT 1 FROM chrome c WHERE c.page_id = g.page_id AND c.i < g.i AND g.i < c.e) AS out FROM g WHERE name = '' AND t NOT LIKE '<%'),
+raw AS (SELECT page_id, sum(length(regexp_extract(t, '(?is)^<[^<>]*>(.*)</', 1))) AS n FROM k WHERE regexp_matches(t, '(?i)^<(script|style)\b') GROUP BY 1),
+plain AS (SELECT page_id, i, out, length(t) AS n, regexp_replace(replace(replace(replace(t, '&quot;', '"'), '&middot;', '·'), '&amp;', '&'), '^\s+|\s+$', '', 'g') AS t FROM node)
+SELECT b.page_id, any_value(b.selector) AS container, coalesce(any_value(raw.n), 0)::BIGINT + coalesce(sum(n.n) FILTER (n.out), 0)::BIGINT AS removed,
+ regexp_replace(coalesce(string_agg(n.t, chr(10) ORDER BY n.i) FILTER (NOT n.out AND n.t <> '' AND n.i > b.i AND n.i < b.e), ''), '[ \t]{2,}', ' ', 'g') AS text
+FROM best b LEFT JOIN plain n USING (page_id) LEFT JOIN raw USING (page_id) GROUP BY b.page_id""",
+)
 def html_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", T.page_text(F.col("html")).alias("text"))
+    """Pages that carry nested chrome or containers, by their tree."""
+    html = F.replace("html", F.lit("<article>"), F.element_at(F.array(*map(F.lit, NESTED)), (F.col("page_id") % 4 + 1).cast("int")))
+    pages = table(spark, sf, "pages").select("page_id", html.alias("html"))
+    return pagetree.with_content(pages, containers=IN_PAGE).select("page_id", "container", "removed", "text")
 
 
 @query(

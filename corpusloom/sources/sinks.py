@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +38,8 @@ def upsert_manifest(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return upsert_new(existing, new, key).orderBy(key)
 
 
-def append_documents(df: DataFrame, path: str, key: str, order: str) -> None:
-    """Append the rows whose key the sink has not; one a key."""
+def new_documents(df: DataFrame, path: str, key: str, order: str) -> DataFrame:
+    """The rows of df whose key the sink at `path` has not; one a key."""
     spark = df.sparkSession
     try:
         sink = spark.read.parquet(path)
@@ -45,7 +47,12 @@ def append_documents(df: DataFrame, path: str, key: str, order: str) -> None:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         sink = spark.createDataFrame([], df.schema)
-    append_new(sink, df, key, order).write.mode("append").parquet(path)
+    return append_new(sink, df, key, order)
+
+
+def append_documents(df: DataFrame, path: str, key: str, order: str) -> None:
+    """Append the rows whose key the sink has not; one a key."""
+    new_documents(df, path, key, order).write.mode("append").parquet(path)
 
 
 def summary_json(df: DataFrame, dimensions: list[str]) -> DataFrame:
@@ -67,24 +74,20 @@ def export_status(text: Column, score: Column, least_chars: int = 200, least_sco
 
 
 def save_batch(df: DataFrame, path: str, key: str, order: str) -> dict[str, int]:
-    """Append a batch and return how many rows came, and how many were written or skipped; counted in the write itself."""
-    from pyspark.sql import Observation
+    """Append a batch and return how many rows came, and how many were written or skipped.
 
-    came = Observation("came")
-    before = _rows(df.sparkSession, path)
-    append_documents(df.observe(came, F.count(F.lit(1)).alias("n")), path, key, order)
-    written = _rows(df.sparkSession, path) - before
-    n = came.get["n"]
-    return {"came": n, "written": written, "skipped": n - written}
-
-
-def _rows(spark, path: str) -> int:
-    try:
-        return spark.read.parquet(path).count()
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        return 0
+    The new rows are written beside the sink under an id of their own and counted there, so the count reads the batch alone and a second
+    writer does not change it; then they are appended.
+    """
+    spark = df.sparkSession
+    staged = f"{path.rstrip('/')}.batch-{uuid.uuid4().hex}"
+    new_documents(df, path, key, order).write.parquet(staged)
+    batch = spark.read.schema(df.schema).parquet(staged)
+    written, came = batch.count(), df.count()
+    batch.write.mode("append").parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return {"came": came, "written": written, "skipped": came - written}
 
 
 def report(title: str, rows: list[tuple[str, object]], rule: str = "=" * 60) -> str:
