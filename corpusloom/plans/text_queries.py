@@ -11,6 +11,7 @@ from ..operators import chunks, tables
 from ..sources import readers, sinks
 from . import fixture as X
 from .registry import query, table
+from .shared import shared_folder
 
 DOCS = "coalesce(text, '')"
 
@@ -269,16 +270,17 @@ def sparql_bindings(spark, sf):
     value = lambda c: F.struct(c.alias("value"))
     id_ = F.when(F.col("page_id") % 7 != 0, F.floor(F.col("page_id") / 2).cast("string")).otherwise("")
     one = F.struct(value(id_).alias("id"), value(F.col("url")).alias("title"), F.lit(None).cast("struct<value:string>").alias("date"))
-    p = table(spark, sf, "pages").select("page_id", one.alias("b")).groupBy(F.lit(1)).agg(F.array_sort(F.collect_list(F.struct("page_id", "b"))).alias("all"))
-    landed = p.select(F.to_json(F.struct(F.struct(F.transform("all", lambda x: x["b"]).alias("bindings")).alias("results"))).alias("json"))
-    parsed = landed.select(F.from_json("json", readers.bindings_schema(["id", "title", "date"])).alias("j")).select("j.*")
-    return readers.decode_bindings(parsed, ["id", "title", "date"], "id")
+    p = table(spark, sf, "pages").select("page_id", one.alias("b"), F.floor(F.col("page_id") / 500).alias("page"))
+    p = p.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("page_id", "b"))).alias("all"))  # answers of 500 rows
+    landed = p.select("page", F.to_json(F.struct(F.struct(F.transform("all", lambda x: x["b"]).alias("bindings")).alias("results"))).alias("json"))
+    parsed = landed.select("page", F.from_json("json", readers.bindings_schema(["id", "title", "date"])).alias("j")).select("page", "j.*")
+    return readers.decode_bindings(parsed, ["id", "title", "date"], "id", order=["page"])
 
 
 @query("sitemap_entries", "SELECT url, '2024-01-' || lpad((1 + page_id % 28)::VARCHAR, 2, '0') AS lastmod FROM pages")
 def sitemap_entries(spark, sf):
     entry = F.concat(F.lit("<url><loc> "), F.col("url"), F.lit(" </loc><lastmod>2024-01-"), F.lpad((1 + F.col("page_id") % 28).cast("string"), 2, "0"), F.lit("</lastmod></url>"))
-    maps = table(spark, sf, "pages").groupBy((F.col("page_id") % 8).alias("m")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(entry), "\n"), F.lit("</urlset>")).alias("xml"))
+    maps = table(spark, sf, "pages").groupBy(F.floor(F.col("page_id") / 500).alias("m")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(entry), "\n"), F.lit("</urlset>")).alias("xml"))
     return readers.sitemap_rows(maps).select("url", "lastmod")
 
 
@@ -296,7 +298,7 @@ def sitemap_tree(spark, sf):
     below = p.where("page_id > 0").groupBy(F.floor(F.col("page_id") / 9).alias("page_id")).agg(F.array_sort(F.collect_list(child)).alias("c"))
     xml = F.concat(own, F.coalesce(F.array_join(F.transform("c", lambda c: c["x"]), ""), F.lit("")))
     landed = p.join(below, "page_id", "left").select(F.format_string("map%d", F.col("page_id")).alias("map"), xml.alias("xml"))
-    return readers.sitemap_tree(landed, "map0", depth=2, children=4)
+    return readers.sitemap_tree(landed, "map0", lambda: shared_folder(spark, "maps"), depth=2, children=4)
 
 
 @query("fetch_outcomes", "SELECT CASE WHEN page_id % 5 = 0 THEN 'missing' WHEN page_id % 5 = 1 THEN 'retry' WHEN length(html) > 50 THEN 'success' ELSE 'failed' END AS outcome, count(*) AS n FROM pages GROUP BY 1")

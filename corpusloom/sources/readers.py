@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import header_fields, year_in_name
-from ..operators.tables import keep_last, require
+from ..operators.frontier import crawl
+from ..operators.tables import keep_first, keep_last, require
 
 BINDING = "value: string"
 
@@ -62,13 +65,29 @@ def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def decode_bindings(results: DataFrame, names: list[str], key: str) -> DataFrame:
-    """Landed query results (`results.bindings` of name -> value) as rows: missing is '', rows without key go, first of each key stays."""
-    b = results.select(F.posexplode("results.bindings").alias("pos", "b"))
-    rows = b.select("pos", *[F.coalesce(F.col(f"b.{n}.value"), F.lit("")).alias(n) for n in names]).where(F.col(key) != "")
-    from ..operators.tables import keep_first
+def decode_bindings(results: DataFrame, names: list[str], key: str, order: list[str] | None = None, within: list[str] | None = None) -> DataFrame:
+    """Landed query results (`results.bindings` of name -> value) as rows: missing is '', rows without key go, first of each key stays.
+
+    `order` are columns of results that put answers in order, `within` those that a key is unique in.
+    """
+    order, within = order or [], within or []
+    b = results.select(*dict.fromkeys([*within, *order]), F.posexplode("results.bindings").alias("pos", "b"))
+    rows = b.select(*dict.fromkeys([*within, *order]), "pos", *[F.coalesce(F.col(f"b.{n}.value"), F.lit("")).alias(n) for n in names]).where(F.col(key) != "")
+    return keep_first(rows, [*within, key], [*order, "pos"]).select(*within, *names)
+
+
+def paged_bindings(spark: SparkSession, folder: str, names: list[str], key: str, limit: int = 5000, most_pages: int = 5) -> DataFrame:
+    """(year, names): a scan of answers that landed as JSON below year=.../page=..., a page's number counting from 0.
 
-    return keep_first(rows, [key], ["pos"]).drop("pos")
+    Each year ends at its first page of fewer than `limit` bindings, before the first that is missing, or after `most_pages`; what landed behind that is not
+    read as data. Of each key of a year the first row stays. Filters on year prune folders; a task reads whole pages and holds one at a time.
+    """
+    landed = spark.read.schema(bindings_schema(names) + ", year int, page int").json(folder).where(F.col("page") < most_pages)
+    sizes = landed.groupBy("year", "page").agg(F.sum(F.coalesce(F.size("results.bindings"), F.lit(0))).alias("n"))  # a row a page
+    by_page = Window.partitionBy("year").orderBy("page")
+    short = F.coalesce(F.sum((F.col("n") < limit).cast("int")).over(by_page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    read = sizes.withColumn("gap", F.row_number().over(by_page) - 1 != F.col("page")).withColumn("short", short).where("not gap and short = 0").select("year", "page")
+    return decode_bindings(landed.join(read, ["year", "page"], "left_semi"), names, key, order=["page"], within=["year"])
 
 
 def bindings_schema(names: list[str]) -> str:
@@ -77,28 +96,27 @@ def bindings_schema(names: list[str]) -> str:
 
 
 def sitemap_rows(pages: DataFrame, xml: str = "xml") -> DataFrame:
-    """(url, lastmod) of sitemaps held as text, in order; entries without a location go."""
-    entries = F.regexp_extract_all(F.col(xml), F.lit(r"(?s)<(?:url|sitemap)>(.*?)</(?:url|sitemap)>"), F.lit(1))
+    """(url, lastmod) of the pages of sitemaps held as text, in order; entries without a location go. Sitemaps that one lists are for `sitemap_tree`."""
+    entries = F.regexp_extract_all(F.col(xml), F.lit(r"(?s)<url>(.*?)</url>"), F.lit(1))
     d = pages.select(F.posexplode(entries).alias("pos", "e"))
     url = F.trim(F.regexp_extract("e", r"(?s)<loc>\s*(.*?)\s*</loc>", 1))
     return d.select("pos", url.alias("url"), F.trim(F.regexp_extract("e", r"(?s)<lastmod>\s*(.*?)\s*</lastmod>", 1)).alias("lastmod")).where("url <> ''")
 
 
-def sitemap_tree(landed: DataFrame, root: str, depth: int = 2, children: int = 30, key: str = "map", xml: str = "xml") -> DataFrame:
+def sitemap_tree(landed: DataFrame, root: str, new_folder: Callable[[], str], depth: int = 2, children: int = 30, key: str = "map", xml: str = "xml") -> DataFrame:
     """(url, lastmod, depth) of the pages that a landed sitemap and those it lists name, level by level.
 
-    Only the first `children` sitemaps of each one are followed, `depth` levels deep; a sitemap that has not landed has no pages.
-    Entries without a location go.
+    Only the first `children` sitemaps of each one are followed, `depth` levels deep, each sitemap once, at its least depth; one that has not landed has no
+    pages. Entries without a location go. `new_folder()` names a new shared folder.
     """
     entry = lambda tag: F.regexp_extract_all(F.col(xml), F.lit(rf"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1))
     place = lambda e: F.trim(F.regexp_extract(e, r"(?s)<loc>\s*(.*?)\s*</loc>", 1))
-    known = landed.select(F.col(key).alias("_map"), entry("url").alias("_urls"), F.slice(F.filter(F.transform(entry("sitemap"), place), lambda u: u != ""), 1, children).alias("_maps"))
-    level, out = known.where(F.col("_map") == root), None
-    for k in range(depth + 1):
-        rows = level.select(F.explode("_urls").alias("_e")).select(place(F.col("_e")).alias("url"), F.trim(F.regexp_extract("_e", r"(?s)<lastmod>\s*(.*?)\s*</lastmod>", 1)).alias("lastmod"), F.lit(k).alias("depth"))
-        out = rows if out is None else out.unionByName(rows)
-        level = level.select(F.explode("_maps").alias("_map")).distinct().join(known, "_map")
-    return out.where("url <> ''")
+    maps = F.filter(F.transform(entry("sitemap"), place), lambda u: u != "")
+    links = landed.select(F.col(key).alias("src"), F.posexplode(maps).alias("pos", "dst"))
+    seeds = landed.where(F.col(key) == root).select(F.col(key).alias("page"))
+    reached = crawl(links, seeds, new_folder, depth=depth, fan_out=children).withColumnRenamed("page", key)
+    rows = landed.join(reached, key).select("depth", F.explode(entry("url")).alias("_e"))
+    return rows.select(place(F.col("_e")).alias("url"), F.trim(F.regexp_extract("_e", r"(?s)<lastmod>\s*(.*?)\s*</lastmod>", 1)).alias("lastmod"), "depth").where("url <> ''")
 
 
 def binary_rows(spark: SparkSession, path: str, glob: str, least: int = 100, most: int = 50 << 20, magic: bytes | None = b"%PDF-") -> DataFrame:
