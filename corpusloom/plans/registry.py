@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import classify_queries, lookup_queries, relation_queries, sample_queries, stream_queries, text_queries  # noqa: E402, F401
+from . import classify_queries, lookup_queries, relation_queries, sample_queries, stream_queries, surface_queries, text_queries  # noqa: E402, F401
