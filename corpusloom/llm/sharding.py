@@ -6,7 +6,8 @@ edits the map: it writes a new version in which only the slots that must move ch
 
 Plan: one pass over the texts for sizes and hashes (24 bytes a row survive it), one aggregation to at most `n_slots`
 rows (pre-aggregated map-side), the map on the driver (`n_slots` rows, a constant), a broadcast join with that map, and
-one window per `PARTS`th of a slot for the row's place in its shard, so a slot of very many equal rows is spread too.
+one window per `PARTS`th of a slot for the row's place in its shard. Equal rows are counted and numbered, and all but the first hash with their
+number, so repeated rows spread over the slots like any others and places do not depend on the files.
 The map is stored below the shared folder and rows are assigned by the version that is read back.
 
 Edge cases: a null text has no bytes (size 1, checksum 0 of the empty string); a null doc_id hashes like any other
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, quoted, shared_dir, table, text_or_empty
 
-N_SLOTS, PARTS = 4096, 16
+N_SLOTS, PARTS, RUN = 4096, 16, 4096
 MAP_SCHEMA = "version int, virtual_slot int, shard int, slot_bytes long, slot_rows long"
 
 
@@ -121,7 +122,7 @@ def edit_map(spark: SparkSession, path: str, loads: list[tuple[int, int, int]],
 
 
 def assign(slotted: DataFrame, mapping: dict[int, int]) -> DataFrame:
-    """Add shard and slot (the row's place in its shard, gapless from 0) to rows (doc_id, size, text_crc32, virtual_slot, part)."""
+    """Add shard and slot (the row's place in its shard, gapless from 0) to rows (doc_id, size, text_crc32, copy, virtual_slot, part)."""
     spark = slotted.sparkSession
     rows = [(s, shard) for s, shard in mapping.items()]
     shards = spark.createDataFrame(rows, "virtual_slot int, shard int")
@@ -129,7 +130,7 @@ def assign(slotted: DataFrame, mapping: dict[int, int]) -> DataFrame:
     order = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)
     # n_slots * PARTS rows at most, a constant.
     starts = counts.select("virtual_slot", "part", "shard", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("slot_start"))
-    within = Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "size")
+    within = Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "size", "copy")
     return (
         slotted.join(F.broadcast(starts), ["virtual_slot", "part"])
         .withColumn("slot", (F.row_number().over(within) - 1 + F.col("slot_start")).cast("long"))
@@ -137,13 +138,28 @@ def assign(slotted: DataFrame, mapping: dict[int, int]) -> DataFrame:
     )
 
 
+def numbered_copies(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
+    """(doc_id, size, text_crc32, copy, virtual_slot, part): a row for each row of docs, equal ones numbered from 0, whose number takes part in the slot.
+
+    Equal rows are counted, not gathered, and dealt out again from their count in runs of `RUN`, so neither their order nor the files matter and no task makes more
+    than a run of one group at a time.
+    """
+    groups = with_slots(docs, n_slots).groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    run = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))).alias("run")
+    runs = materialize(groups.select("doc_id", "size", "text_crc32", "n", run), "copies")
+    first = F.col("run") * RUN
+    copies = runs.select("doc_id", "size", "text_crc32", F.explode(F.sequence(first, F.least(first + RUN, F.col("n")) - 1)).alias("copy"))
+    h = F.when(F.col("copy") == 0, F.xxhash64("doc_id", "text_crc32")).otherwise(F.xxhash64("doc_id", "text_crc32", "copy"))
+    part = F.pmod(F.xxhash64("text_crc32", "copy", "doc_id"), F.lit(PARTS)).cast("int")
+    return copies.select("*", F.pmod(h, F.lit(n_slots)).cast("int").alias("virtual_slot"), part.alias("part"))
+
+
 def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
     """Rows of docs (doc_id, size, text_crc32, virtual_slot) with shard and slot, by version 1 of a map that is stored at map_path."""
     spark = docs.sparkSession
-    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(PARTS)).cast("int")
-    slotted = materialize(with_slots(docs, n_slots).withColumn("part", part), "slots")
+    slotted = materialize(numbered_copies(docs, n_slots), "slots")
     loads = slot_loads(slotted)
-    return assign(slotted, stored_map(spark, loads, n_shards, map_path))
+    return assign(slotted, stored_map(spark, loads, n_shards, map_path)).drop("copy")
 
 
 def stored_map(spark: SparkSession, loads: list[tuple[int, int, int]], n_shards: int, map_path: str | None) -> dict[int, int]:

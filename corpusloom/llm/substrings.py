@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, table, text_or_empty, trimmed
+from .common import drop_table, materialize, shared_dir, shuffle_partitions, table, text_or_empty, trimmed
 from .suffixsort import BLOCK, Space, sort
 
 LENGTH, GRAM = 50, 32
@@ -338,7 +338,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     low = F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
     once = base.where(F.col("n_bytes") >= length).groupBy("node").agg(low.alias("low"), F.first("text").alias("text"))
     name = f"corpusloom_texts_{uuid.uuid4().hex}"
-    once.select("node", "low", F.encode("text", "UTF-8").alias("data")).repartition(shards, "node").write.bucketBy(shards, "node").option("compression", "zstd").saveAsTable(name)
+    once.select("node", "low", F.encode("text", "UTF-8").alias("data")).repartition(shards, "node").write.bucketBy(shards, "node").option("compression", "zstd").option("path", f"{shared_dir(spark)}/corpusloom/{name}").saveAsTable(name)
     try:
         texts = spark.table(name)
         keys = materialize(shared_keys(key_rows(texts, shards, length), shards), "keys")
@@ -357,6 +357,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
         judged = texts.join(spans, "node").select("node", "data", "spans").mapInPandas(trimmed(judge), "node string, n_removed long, n_spans long, sha string, kept binary")
         known = materialize(texts.select("node", "low").join(judged, "node", "left"), "judged")
     finally:
+        drop_table(spark.table(name))
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     plain = base.select("doc_id", "node", "n_bytes", F.sha2("text", 256).alias("own_sha"))
     copy = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) > F.col("low")

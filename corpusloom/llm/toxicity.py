@@ -157,7 +157,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[int, str]], f
     for value, most in ((1, MAX_TOXIC), (0, MAX_ORDINARY)):
         part = learn.where(F.col("toxic") == value).orderBy(key, "doc_id").limit(most)
         ids = part if ids is None else ids.unionByName(part)
-    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").orderBy(key, "doc_id", "text").select("toxic", "text").toLocalIterator()
+    # One text an id, so repeated rows do not pass the bounds.
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    texts = texts.orderBy(key, "doc_id").select("toxic", "text").toLocalIterator()
     return [(row["toxic"], row["text"]) for row in texts], counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
 
 

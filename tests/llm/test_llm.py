@@ -396,6 +396,27 @@ def test_components_too_large(spark):
 # 7 Sharding
 
 
+def test_shards_of_repeated_rows(spark):
+    """Equal rows spread over the shards, whatever the files; places are gapless."""
+    rows = [(1, "same text " * 5)] * 9000 + [(k, "x" * (k % 50)) for k in range(2, 800)] + [(None, None)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    columns = ["doc_id", "size", "text_crc32", "virtual_slot", "shard", "slot"]
+    got = [sharding.shard_documents(d).select(*columns).collect() for d in (df.repartition(3), df.coalesce(1))]
+    assert Counter(map(tuple, got[0])) == Counter(map(tuple, got[1])) and len(got[0]) == len(rows)
+    by_shard = {s: [r for r in got[0] if r["shard"] == s] for s in range(8)}
+    size = [sum(r["size"] for r in by_shard[s]) for s in range(8)]
+    assert max(size) < 1.02 * min(size)
+    assert all(sorted(r["slot"] for r in v) == list(range(len(v))) for v in by_shard.values())
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    """A labelled id that repeats gives one text."""
+    monkeypatch.setattr(toxicity, "MAX_TOXIC", 3)
+    docs = spark.createDataFrame([(2, f"t{k}") for k in range(200)] + [(k, "u") for k in range(3, 30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(2, 30)] + [(2, 1)], "doc_id long, toxic long")
+    assert len(toxicity.sample(docs, labels)[0]) <= 3
+
+
 def test_shards(spark, documents, odd, empty, tmp_path):
     out = sharding.shard_documents(documents, 8, map_path=str(tmp_path / "map"))
     rows = out.collect()
