@@ -7,8 +7,8 @@ smallest value). No shuffle is needed, and blocks are even whatever the data.
 Search: for a query, component d adds |q_d| times its slices (or their complements where q_d is negative, with a constant
 to make up), bit by bit through carry-save adders on bitmaps, which leaves the slices of the score. The top rows are then
 chosen from the most significant slice downward; rows that tie at the boundary are told apart exactly, by vec_id, which
-is the bit order. Query blocks meet index blocks by an equi-join on block numbers with a salt, so that even one query
-block is spread over all tasks; each block pair returns k rows, and a window keeps the k best of each query.
+is the bit order. Index blocks are dealt to parts once and every part gets a copy of the query blocks, so the shuffle grows with
+the index and the queries, not with their product; each block pair returns k rows, and a window keeps the k best of each query.
 
 Edge cases: null vectors and vectors with null or non-finite components take no part, nor do rows without vec_id; a query
 meets only vectors of its own length; rows with the query's vec_id are its own; equal vectors tie and go by vec_id;
@@ -185,10 +185,16 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, query_block: int =
             yield pd.DataFrame([{"qb": TaskContext.get().partitionId(), "q_dim": dim, "q_ids": np.array([r[0] for r in held], "<i8").tobytes(), "qs": np.array([r[1] for r in held], "<i8").tobytes()}])
 
     blocks = materialize(queries.repartition(n_blocks).mapInPandas(trimmed(gathered), "qb int, q_dim int, q_ids binary, qs binary"), "queries")
-    salts = shuffle_partitions(spark)
-    left = index.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    right = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    pairs = left.join(right, (left["qb"] == right["qb"]) & (left["salt"] == right["salt"]) & (left["dim"] == right["q_dim"])).select("dim", "n", "bits", "ids", "low", "slices", "q_ids", "qs")
+    # The index is dealt to `deal` parts and every part gets a copy of the query blocks. An index of fewer blocks than there are tasks
+    # is copied to `copies` sets of parts, each with its own share of the queries: at most as many blocks as there are tasks. A join key
+    # holds one part's index blocks and its query blocks, which spill beyond 4096 rows.
+    tasks, n_index = shuffle_partitions(spark), max(1, index.count())
+    deal, copies = min(tasks, n_index), max(1, tasks // n_index)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = index.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(deal))).withColumn("share", each(copies))
+    right = blocks.withColumn("share", F.pmod(F.col("qb").cast("long"), F.lit(copies))).withColumn("part", each(deal))
+    met = left.hint("merge").join(right, (left["part"] == right["part"]) & (left["share"] == right["share"]) & (left["dim"] == right["q_dim"]))
+    pairs = met.select("dim", "n", "bits", "ids", "low", "slices", "q_ids", "qs")
 
     def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -12,7 +12,8 @@ it is the one that they were made from. Links are verified by the exact overlap
 buckets whose members are still in different components those outside the bucket's largest component meet the members of all
 other components, until each bucket is settled: a few a round at first, those that meet most others before the rest, so that
 most are in the large component before their turn comes. So no pair of a bucket goes untested unless its two texts
-already are in one class, there is no cap, and pairs inside a component are never emitted. Four bits of each slot go along: pairs that
+already are in one class, there is no cap, and pairs inside a component are never emitted. A large bucket's members are dealt
+to parts, each of which meets a copy of the bucket's leaders. Four bits of each slot go along: pairs that
 differ in more slots than those at the threshold do by 4 standard deviations (3 in 100,000 at exactly 0.8) are dropped inside the
 join, and a pair that shares several buckets is met in the first of them only.
 
@@ -34,12 +35,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, map_rows, materialize, quoted, table, text_or_empty, trimmed
+from .common import drop_table, fresh, map_rows, materialize, quoted, table, text_or_empty, trimmed
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 36, 7
 LEADERS = 16  # of a bucket in the first round; sixteen times as many in each next one
+PART = 4096  # members of a bucket that one task meets with its leaders
 SLOTS = 2 * BANDS * ROWS  # as many slots again sharpen the sketch
 SKETCH = [f"s{i}" for i in range(-(-SLOTS // 16))]
 BROADCAST_NODES = 200_000
@@ -238,22 +240,23 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     while True:
         named = left.join(labels.select(F.col("node").alias("nid"), "label"), "nid", "left").select("hash", "nid", "mass", F.coalesce("label", "nid").alias("label"))
         per = named.groupBy("hash", "label").agg(F.count(F.lit(1)).alias("n"))
-        mixed = per.groupBy("hash").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-        left = materialize(named.join(mixed.select("hash", F.col("top.label").alias("major")), "hash"), "mixed")
+        mixed = per.groupBy("hash").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("members")).where("labels > 1")
+        # A bucket is dealt to parts of at most `part` members, and its leaders go to each part: no more rows than the bucket has.
+        part = max(PART, most)
+        left = materialize(named.join(mixed.select("hash", F.col("top.label").alias("major"), F.ceil(F.col("members") / part).alias("parts")), "hash"), "mixed")
         if not left.limit(1).count():
             break
         # Every pair between components has a member outside the largest one; up to `most` of those a bucket meet all others now.
         order = F.row_number().over(Window.partitionBy("hash").orderBy(F.desc("mass"), "nid"))
-        leaders = left.where("label <> major").withColumn("rank", order).where(F.col("rank") <= most).select("hash", "nid", "label")
+        leaders = left.where("label <> major").withColumn("rank", order).where(F.col("rank") <= most).select("hash", "nid", "label", "parts")
         leaders = materialize(leaders, "leaders")
-        left = materialize(left.join(leaders.select("hash", "nid"), ["hash", "nid"], "left_anti"), "rest")
+        marked = left.join(leaders.select("hash", "nid", F.lit(True).alias("leads")), ["hash", "nid"], "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
+        marked = materialize(marked, "marked")
         first = F.try_element_at(F.filter(F.zip_with("x.bands", "y.bands", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull()), F.lit(1)) == F.col("x.hash")
-        on = (F.col("x.hash") == F.col("y.hash")) & (F.col("x.label") != F.col("y.label")) & near("x", "y", threshold) & first
-        pair = [F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")]
-        y = leaders.join(bits, "nid").alias("y")
-        others = left.join(bits, "nid").alias("x").join(y, on).select(*pair)
-        among = leaders.join(bits, "nid").alias("x").join(y, on & (F.col("x.nid") < F.col("y.nid"))).select(*pair)
-        met = others.unionByName(among)
+        on = (F.col("x.hash") == F.col("y.hash")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.label") != F.col("y.label")) & near("x", "y", threshold) & first
+        x = marked.withColumn("part", F.pmod(F.xxhash64("nid"), "parts")).join(bits, "nid").alias("x")
+        y = leaders.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).join(bits, "nid").alias("y")
+        met = x.join(y, on & (~F.col("x.leads") | (F.col("x.nid") < F.col("y.nid")))).select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b"))
         more = materialize(met.join(tested, ["a", "b"], "left_anti"), "pairs")
         if more.limit(1).count():
             new = verified(more, nodes, docs, threshold)
@@ -261,9 +264,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             if new.limit(1).count():
                 links = links.unionByName(new)
                 labels = components(links)
-        left = left.select("hash", "nid", "mass")
+        drop_table(left)
+        drop_table(leaders)
+        left = marked.where("not leads").select("hash", "nid", "mass")
         most *= 16
-        spark_gc(docs)
     ids = sketches.groupBy("node").agg(F.min("doc_id").alias("low")).join(nodes.select("node", "nid"), "node", "left")
     # A text without words has no nid; it is a class of its own, numbered below zero.
     ids = materialize(ids.withColumn("nid", F.coalesce("nid", -1 - F.monotonically_increasing_id())), "ids")
@@ -273,11 +277,6 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return sketches.select("doc_id", "node").join(of_node, "node").select("doc_id", "class_id", "node", "label")
 
 
-def spark_gc(df: DataFrame) -> None:
-    """Let Spark drop shuffle files that no table needs any more; it does so when the driver collects its garbage."""
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def survivors(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each class: that of the smallest doc_id."""
     found = classes(docs, threshold)

@@ -575,6 +575,17 @@ def test_near_duplicates(spark, empty):
     assert neardup.classes(empty).count() == 0
 
 
+def test_near_duplicates_in_parts(spark, monkeypatch):
+    """Buckets dealt to parts of two members with one leader at first give the classes of brute force."""
+    monkeypatch.setattr(neardup, "PART", 2)
+    monkeypatch.setattr(neardup, "LEADERS", 1)
+    monkeypatch.setattr(neardup, "near", lambda a, b, threshold: F.lit(True))
+    base = prose(60)
+    texts = [edit(base, rnd.randrange(1, 6)) for _ in range(40)] + [prose(60) for _ in range(5)]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(frame(spark, texts)).collect()}
+    assert got == brute_classes(list(enumerate(texts)))
+
+
 def test_near_duplicate_edges(spark, odd):
     out = neardup.classes(odd).collect()
     assert len(out) == 11
