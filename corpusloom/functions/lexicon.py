@@ -81,6 +81,31 @@ def best_label(scores: list[tuple[str, Column]], least: float, default: str) ->
     return F.when(ranked["score"] >= least, ranked["label"]).otherwise(default)
 
 
+def last_segment(uri: Column) -> Column:
+    """What stands behind the last slash of an address; slashes at its end do not count."""
+    return F.substring_index(F.rtrim(uri, F.lit("/")), "/", -1)
+
+
+def by_priority(candidates: Column, rules: list[tuple[str, list[str], int]], default: str) -> Column:
+    """The label of the rule of smallest priority one of whose terms lies in any of the candidates, whatever the case; equal priorities in
+    their order. Null and empty candidates hold no term."""
+    upper = F.transform(candidates, lambda c: F.upper(c))
+
+    def held(terms: list[str]) -> Column:
+        any_term = "|".join(re.escape(t.upper()) for t in terms)
+        return F.exists(upper, lambda c: F.coalesce(c.rlike(any_term), F.lit(False)))
+
+    out = F.lit(default)
+    for label, terms, _ in reversed(sorted(rules, key=lambda r: r[2])):
+        out = F.when(held(terms), label).otherwise(out)
+    return out
+
+
+def most_terms(text: Column, rules: list[tuple[str, list[str]]], default: str) -> Column:
+    """The label most of whose terms occur, of equal ones the first; the default where none does."""
+    return best_label([(label, n_present(text, terms)) for label, terms in rules], 1, default)
+
+
 def scored_topic(title: Column, body: Column, rules: list[tuple[str, list[str]]], strong: set[str], least: float = 5, default: str = "other") -> Column:
     """Sum over terms of min(count in body, 5) and 2 for the title, three times for strong terms; the best label of `least` or more."""
     scores = []

@@ -179,6 +179,29 @@ def classify_doc_type(spark, sf):
     return table(spark, sf, "pages").select("page_id", clue.alias("doc_type"))
 
 
+@query(
+    "institution_by_segment",
+    """WITH c AS (SELECT page_id, unnest([regexp_extract(url, '([^/]*)/*$', 1), regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)]) AS c FROM pages),
+r AS (SELECT * FROM (VALUES ('listing', 'page=', 1), ('early', '3', 2), ('early', '5', 2), ('tagged', 'ref=', 3), ('tagged', 'utm_', 3), ('tenth', '10', 4), ('titled', 'the', 5), ('titled', 'und', 5)) r(label, term, place)),
+m AS (SELECT page_id, min_by(label, place) AS label FROM c JOIN r ON contains(lower(c), term) GROUP BY page_id)
+SELECT page_id, coalesce(label, 'other') AS institution FROM pages LEFT JOIN m USING (page_id)""",
+)
+def institution_by_segment(spark, sf):
+    """By priority over the last segment of the address and the title of each page."""
+    candidates = F.array(L.last_segment(F.col("url")), F.regexp_extract("html", "(?s)<title[^>]*>(.*?)</title>", 1))
+    return table(spark, sf, "pages").select("page_id", L.by_priority(candidates, X.SEGMENTS, "other").alias("institution"))
+
+
+@query(
+    "doc_type_most_terms",
+    f"""WITH h AS (SELECT doc_id, substr({LOW}, 1, 800) AS low FROM documents), n AS (SELECT doc_id, {', '.join(f"{n_has(terms)} AS {label}" for label, terms in X.TOPICS)} FROM h)
+SELECT doc_id, CASE greatest({', '.join(label for label, _ in X.TOPICS)}) WHEN 0 THEN 'other' {' '.join(f"WHEN {label} THEN '{label}'" for label, _ in X.TOPICS)} END AS doc_type FROM n""",
+)
+def doc_type_most_terms(spark, sf):
+    """The kind most of whose terms the first 800 characters hold."""
+    return docs(spark, sf).select("doc_id", L.most_terms(F.substring("low", 1, 800), X.TOPICS, "other").alias("doc_type"))
+
+
 EVIDENCE = (
     f"ev AS (SELECT k.keyword, k.category, k.weight, count(d.doc_id) AS total, count(*) FILTER (d.label = k.category) AS correct FROM (VALUES {', '.join(f"('{c}', {w}::DOUBLE, '{k}')" for c, w, k in X.ROWS)}) k(category, weight, keyword)"
     f" LEFT JOIN (SELECT d.doc_id, {LOW} AS low, CASE WHEN l.quality = 1 THEN 'cooperate' ELSE 'tough' END AS label FROM documents d JOIN labels l USING (doc_id)) d ON contains(d.low, k.keyword) GROUP BY ALL),"

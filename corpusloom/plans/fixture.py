@@ -21,4 +21,5 @@ SUBJECT, TERMS = ["that", "this"], ["from", "with", "for", "are", "was", "by"]
 TOPICS = [("alpha", ["with this", "from"]), ("beta", ["of the", "are"]), ("gamma", ["que", "est"]), ("delta", ["und", "der"])]
 STRONG = {"with this", "of the"}
 INSTITUTIONS = [("first", ["src1"]), ("second", ["src2", "src3"]), ("third", ["src7"])]
+SEGMENTS = [("tagged", ["ref=", "utm_"], 3), ("listing", ["Page="], 1), ("titled", ["the", "und"], 4), ("tenth", ["10"], 3), ("early", ["3", "5"], 2)]
 KINDS = [("report", ["/en/"]), ("decision", ["/fr/", "/de/"])]

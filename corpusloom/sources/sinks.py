@@ -11,9 +11,10 @@ from ..functions.text import safe_name
 from ..operators.tables import append_new, upsert_new
 
 
-def write_csv(df: DataFrame, path: str, order: list | None = None, single: bool = False) -> None:
-    """With header, quotes doubled; `single` makes one file (for small results)."""
+def write_csv(df: DataFrame, path: str, order: list | None = None, single: bool = False, bom: bool = False) -> None:
+    """With header, quotes doubled; `single` makes one file (for small results); `bom` starts each file with a byte-order mark."""
     out = df.orderBy(*order) if order else df
+    out = out.toDF("\ufeff" + df.columns[0], *df.columns[1:]) if bom else out
     (out.coalesce(1) if single else out).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
 
 
