@@ -41,7 +41,7 @@ from .components import components
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 36, 7
 LEADERS = 16  # of a bucket in the first round; sixteen times as many in each next one
-PART = 4096  # members of a bucket that one task meets with its leaders
+PART = 4096  # members of a bucket, about, in a part that meets its leaders; as many as there are leaders in late rounds
 SLOTS = 2 * BANDS * ROWS  # as many slots again sharpen the sketch
 SKETCH = [f"s{i}" for i in range(-(-SLOTS // 16))]
 BROADCAST_NODES = 200_000
@@ -241,7 +241,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         named = left.join(labels.select(F.col("node").alias("nid"), "label"), "nid", "left").select("hash", "nid", "mass", F.coalesce("label", "nid").alias("label"))
         per = named.groupBy("hash", "label").agg(F.count(F.lit(1)).alias("n"))
         mixed = per.groupBy("hash").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("members")).where("labels > 1")
-        # A bucket is dealt to parts of at most `part` members, and its leaders go to each part: no more rows than the bucket has.
+        # A bucket is dealt by hash to parts of about `part` members, and its leaders go to each part: about as many rows as the bucket has.
         part = max(PART, most)
         left = materialize(named.join(mixed.select("hash", F.col("top.label").alias("major"), F.ceil(F.col("members") / part).alias("parts")), "hash"), "mixed")
         if not left.limit(1).count():
