@@ -118,3 +118,7 @@ def test_mails_in_linear_time(spark):
     start = time.perf_counter()
     assert drop("a@" * 500_000) == "a@" * 500_000 and drop("x" * 1_000_000 + "@y") and drop("a." * 500_000)
     assert time.perf_counter() - start < 10
+
+
+def test_reference_cut_short_stays():
+    assert content("<body><p>a &amp; b&amp</p><p>&lt;x&gt; &#65;&#x42; &ampfoo; &copy</p></body>")[0] == "a & b&amp\n<x> AB &ampfoo; &copy"
