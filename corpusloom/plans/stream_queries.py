@@ -39,4 +39,4 @@ def record_lives(spark, sf):
         if some:
             records.track(spark, f"{base}/landing", events.schema, f"{base}/sink", f"{base}/checkpoint", outcomes, f"{LATE_DAYS} days", DELAY_S, MOST, files_per_trigger=1000)
     found = records.latest(spark.read.schema(f"{records.OUT}, trigger long").parquet(f"{base}/sink")) if parts else spark.createDataFrame([], records.OUT)
-    return found.select("key", "n", "status", "attempts", F.unix_millis("last").alias("last_ms"), "due")
+    return found.select("key", "n", "status", "attempts", records.to_millis(F.col("last")).alias("last_ms"), "due")

@@ -6,14 +6,14 @@ triggers, so its state holds only what does not depend on order: whether one was
 A record is `success` once any outcome is; else it has the status of its latest outcome, `corrupted` or `failed`. A record without success is to be tried
 again `delay` after its last outcome: a timer in event time marks it `due` when the watermark passes that time, and a later outcome takes the mark away.
 After `most` attempts it is `lost` instead and is tried no more. An outcome that comes after later ones by more than the allowed lateness is dropped by Spark, so
-lateness has to cover the disorder of the landing folder; states are never dropped.
+lateness has to cover the disorder of the landing folder; states are never dropped. The watermark and timers go by times rounded to the millisecond.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,6 +21,11 @@ OUT = "key long, n long, status string, attempts long, last timestamp, due boole
 STATE = "n long, success boolean, attempts long, last long, last_id long, corrupted boolean, due boolean"
 
 
+def to_millis(ts: Column) -> Column:
+    """Milliseconds since 1970, halves away from it."""
+    return (F.round(F.unix_micros(ts), -3) / 1000).cast("long")
+
+
 class Record(StatefulProcessor):
     def __init__(self, delay_ms: int, most: int):
         self.delay_ms, self.most = delay_ms, most
@@ -52,7 +57,7 @@ class Record(StatefulProcessor):
                     s[3], s[4] = int(ts), int(id_)
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
-        again = s[3] // 1000 + self.delay_ms
+        again = (abs(s[3]) + 500) // 1000 * (-1 if s[3] < 0 else 1) + self.delay_ms
         open_ = not s[1] and s[2] < self.most
         s[6] = bool(open_ and again <= timerValues.getCurrentWatermarkInMs())
         if open_ and not s[6]:
@@ -76,7 +81,9 @@ class Record(StatefulProcessor):
 
 def lives(outcomes: DataFrame, late: str, delay_s: int, most: int) -> DataFrame:
     """A stream of (key, n, status, attempts, last, due): each change of a record of the stream (key, ts, id, outcome); n counts the outcomes that it rests on."""
-    keyed = outcomes.select("key", F.col("ts").cast("timestamp").alias("ts"), "id", "outcome").withWatermark("ts", late).groupBy("key")
+    ts = F.col("ts").cast("timestamp")
+    rows = outcomes.select("key", ts.alias("ts"), F.timestamp_millis(to_millis(ts)).alias("at"), "id", "outcome")
+    keyed = rows.withWatermark("at", late).groupBy("key")
     return keyed.transformWithStateInPandas(statefulProcessor=Record(1000 * delay_s, most), outputStructType=OUT, outputMode="Update", timeMode="EventTime")
 
 
