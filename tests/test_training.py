@@ -64,3 +64,21 @@ def test_early_stop(spark, tmp_path):
     run = R.fit(spark, str(tmp_path / "m"), labels, epochs=20, steps=1, patience=2, features=256)
     assert len(run.history) == run.best + 3 < 20
     assert R.fit(spark, str(tmp_path / "m"), labels, epochs=20, steps=1, patience=2, features=256).history == run.history
+
+
+def test_workers_expand_few_rows_at_a_time(spark, tmp_path):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000))], names=["x"])
+    parts = list(R.sliced(iter([batch, batch.slice(0, 3)])))
+    assert max(p.num_rows for p in parts) <= 512 and [x for p in parts for x in p.column(0).to_pylist()] == [*range(10_000), 0, 1, 2]
+    folder = str(tmp_path / "m")
+    labels = R.prepare(rows(spark), folder, "id", "split", features=64)
+    table = spark.read.parquet(f"{folder}/features")
+    whole = R.gradient(table, np.zeros((65, len(labels))))
+    R.ROWS, before = 7, R.ROWS
+    try:
+        some = R.gradient(table, np.zeros((65, len(labels))))
+    finally:
+        R.ROWS = before
+    assert np.allclose(whole[0], some[0], atol=1e-7) and abs(whole[1] - some[1]) < 1e-7
