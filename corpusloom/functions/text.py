@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,8 +24,7 @@ def squeeze(c: Column) -> Column:
 
 def word_count(c: Column) -> Column:
     """Words between ASCII white space; 0 for null and blank."""
-    t = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[ \t\n\r\f\x0B]+", " "))
-    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, " ")))
+    return F.coalesce(F.regexp_count(c, F.lit(r"[^ \t\n\r\f\x0B]+")), F.lit(0))
 
 
 # Years and dates
@@ -98,13 +98,18 @@ def safe_name(c: Column, most: int = 80) -> Column:
 # Cleaning
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed a single time, however often f names it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def drop_links(c: Column) -> Column:
     return F.regexp_replace(c, r"https?://\S+|www\.\S+", " ")
 
 
 def drop_emails(c: Column) -> Column:
     """Words that hold an @ behind their first character and a dot behind that, each replaced by a blank. One attempt a word, so the time is linear."""
-    return F.regexp_replace(c, r"(?<!\S)\S[^\s@]*+@\S\S*\.\S+", " ")
+    return once(c, lambda t: F.when(F.contains(t, F.lit("@")), F.regexp_replace(t, r"(?<!\S)\S[^\s@]*+@\S\S*\.\S+", " ")).otherwise(t))
 
 
 def drop_page_marks(c: Column) -> Column:
@@ -116,7 +121,7 @@ def drop_page_marks(c: Column) -> Column:
 def numeric_row(line: Column) -> Column:
     """A table row: more than five characters and fewer than three ASCII letters."""
     t = F.trim(line)
-    return (F.length(F.regexp_replace(t, "[^a-zA-Z]", "")) < 3) & (F.length(t) > 5)
+    return (F.length(t) > 5) & ~t.rlike("(?:[a-zA-Z][^a-zA-Z]*+){2}[a-zA-Z]")
 
 
 def drop_numeric_rows(c: Column) -> Column:
@@ -135,7 +140,7 @@ def tidy_space(c: Column) -> Column:
 def clean(c: Column, least: int = 15) -> Column:
     """The cleaned text, null if it has fewer than `least` words."""
     t = tidy_space(drop_numeric_rows(drop_page_marks(drop_emails(drop_links(c)))))
-    return F.when(word_count(t) >= least, t)
+    return once(t, lambda x: F.when(x.rlike(rf"^\s*+(?:\S++\s++){{{least - 1}}}\S"), x)) if least > 0 else t
 
 
 # Personal data in fixed order: the phone rule runs before the contact rules. Fixed values.

@@ -122,3 +122,13 @@ def test_mails_in_linear_time(spark):
 
 def test_reference_cut_short_stays():
     assert content("<body><p>a &amp; b&amp</p><p>&lt;x&gt; &#65;&#x42; &ampfoo; &copy</p></body>")[0] == "a & b&amp\n<x> AB &ampfoo; &copy"
+
+
+def test_clean_works_each_step_out_once(spark):
+    df = spark.createDataFrame([("a",)], "t string").select(T.clean(F.col("t")).alias("x"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("https?") == 1
+    words = lambda n: " \n".join(["ab"] * n) + " "
+    rows = spark.createDataFrame([(t,) for t in [words(14), words(15), "", None, words(14) + "c@d.e"]], "t string").select(T.clean(F.col("t")).alias("x"), T.word_count(F.col("t")).alias("n")).collect()
+    assert [r["n"] for r in rows] == [14, 15, 0, 0, 15] and [r["x"] is None for r in rows] == [True, False, True, True, True]
+    lines = spark.createDataFrame([(x,) for x in ["12 ab 34", "12 abc 34", "a-b-c-", "a-b---", "1-2", "  1-2  ", "éàüöïß", "a1b2c3"]], "t string").select(T.numeric_row(F.col("t")).alias("x")).collect()
+    assert [r["x"] for r in lines] == [True, False, False, True, False, False, True, False]
