@@ -129,6 +129,7 @@ def containment_lookup(spark, sf):
 
 
 LIMIT = 5
+BLOCK = 1000  # pages of a year in one folder
 
 
 @query(
@@ -147,5 +148,6 @@ def paged_scan(spark, sf):
     one = F.struct(value(F.when(k % 7 != 0, F.floor(k / 2).cast("string"))).alias("id"), value(F.col("url")).alias("title"), F.lit(None).cast("struct<value:string>").alias("date"))
     answers = p.groupBy((2017 + k % 10).alias("year"), F.floor(k / 50).alias("page")).agg(F.array_sort(F.collect_list(F.struct("page_id", one.alias("b")))).alias("all"))
     folder = shared_folder(spark, "landing")
-    answers.select("year", "page", F.struct(F.transform("all", lambda x: x["b"]).alias("bindings")).alias("results")).write.partitionBy("year", "page").json(folder)
-    return readers.paged_bindings(spark, folder, ["id", "title", "date"], "id", limit=LIMIT, most_pages=4).where("year >= 2019")
+    landed = answers.select("year", F.floor(F.col("page") / BLOCK).alias("block"), "page", F.struct(F.transform("all", lambda x: x["b"]).alias("bindings")).alias("results"))
+    landed.repartition("year", "block").write.partitionBy("year", "block").json(folder)
+    return readers.paged_bindings(spark, folder, ["id", "title", "date"], "id", limit=LIMIT, most_pages=4, block=BLOCK).where("year >= 2019")

@@ -76,13 +76,16 @@ def decode_bindings(results: DataFrame, names: list[str], key: str, order: list[
     return keep_first(rows, [*within, key], [*order, "pos"]).select(*within, *names)
 
 
-def paged_bindings(spark: SparkSession, folder: str, names: list[str], key: str, limit: int = 5000, most_pages: int = 5) -> DataFrame:
-    """(year, names): a scan of answers that landed as JSON below year=.../page=..., a page's number counting from 0.
+def paged_bindings(spark: SparkSession, folder: str, names: list[str], key: str, limit: int = 5000, most_pages: int = 5, block: int | None = None) -> DataFrame:
+    """(year, names): a scan of answers that landed as JSON below year=.../page=..., a page's number counting from 0. With `block`, answers hold their page and
+    landed below year=.../block=..., the page by `block` rounded down, so that there are fewer folders than pages.
 
     Each year ends at its first page of fewer than `limit` bindings, before the first that is missing, or after `most_pages`; what landed behind that is not
     read as data. Of each key of a year the first row stays. Filters on year prune folders; a task reads whole pages and holds one at a time.
     """
     landed = spark.read.schema(bindings_schema(names) + ", year int, page int").json(folder).where(F.col("page") < most_pages)
+    if block:
+        landed = landed.where(F.col("block") <= (most_pages - 1) // block)
     sizes = landed.groupBy("year", "page").agg(F.sum(F.coalesce(F.size("results.bindings"), F.lit(0))).alias("n"))  # a row a page
     by_page = Window.partitionBy("year").orderBy("page")
     short = F.coalesce(F.sum((F.col("n") < limit).cast("int")).over(by_page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

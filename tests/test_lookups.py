@@ -131,3 +131,24 @@ def test_paged_scan_prunes_folders(spark, tmp_path):
     (tmp_path / "year=2020" / "page=0" / "a.json").write_text('{"results":{"bindings":[]}}')
     plan = readers.paged_bindings(spark, str(tmp_path), ["id"], "id").where("year = 2020")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "year" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_paged_scan_in_blocks(spark, tmp_path):
+    """Answers in blocks of pages, one of which ends within the pages that are read, as answers in folders of their own."""
+    answers = [(2020 + y, page, [f"{y}.{page}.{k}" for k in range(2 - (page == 5 + y))]) for y in range(4) for page in range(12) if (y, page) != (3, 2)]
+    for year, page, ids in answers:
+        line = {"page": page, "results": {"bindings": [{"id": {"value": i}} for i in ids]}}
+        for at in (tmp_path / "one" / f"year={year}" / f"page={page}", tmp_path / "many" / f"year={year}" / f"block={page // 3}"):
+            at.mkdir(parents=True, exist_ok=True)
+            (at / f"{page}.json").write_text(json.dumps(line if at.parts[-3] == "many" else {"results": line["results"]}))
+    read = lambda folder, **k: sorted(map(tuple, readers.paged_bindings(spark, str(tmp_path / folder), ["id"], "id", limit=2, most_pages=8, **k).collect()))
+    assert read("many", block=3) == read("one") and len(read("one")) > 30
+
+
+def test_paged_scan_lands_in_few_folders(spark, tmp_path, monkeypatch):
+    from corpusloom.plans import lookup_queries as Q
+
+    monkeypatch.setattr(Q, "shared_folder", lambda *_: str(tmp_path / "landing"))
+    spark.range(3000).selectExpr("id AS page_id", "concat('u', id) AS url").write.parquet(str(tmp_path / "pages.parquet"))
+    assert Q.paged_scan(spark, str(tmp_path)).count() > 0
+    assert len(list((tmp_path / "landing").glob("year=*/*"))) == 10
