@@ -10,8 +10,9 @@ on the input texts and never cross documents.
 3. Stretches of text whose strings have such a key go to the key's shard, equal stretches of a batch of texts once, with the smallest
    doc_id they have there. A shard keeps each distinct stretch once and sorts their suffixes by external induced sorting:
    disk-backed priority queues of suffix tuples with their common prefixes, level by level (`suffixsort`). Neighbours whose common
-   prefix has `length` bytes are one string, which takes the smallest doc_id of its stretches. (A stretch that is the only one of
-   its key in all texts is not sorted: no other stretch holds a string of it.)
+   prefix has `length` bytes are one string, which takes the smallest doc_id of its stretches. A shard is sorted in parts by key, as
+   equal strings have equal keys. (Not sorted is a stretch that is the only one of its key in all texts, or none of whose strings has
+   its first and its last four fifths a second time in the part: no other stretch holds a string of it.)
 4. What a shard finds of a stretch, runs of strings with their smallest doc_id, is joined to the places where the stretch stands by its
    128-bit hash. Only this join sees every place of a common stretch, and Spark splits it where one stretch has very many.
    The bytes that strings of a smaller doc_id cover are removed from each text.
@@ -43,9 +44,12 @@ from pyspark.sql import functions as F
 from .common import drop_table, materialize, shared_dir, shuffle_partitions, table, text_or_empty, trimmed
 from .suffixsort import BLOCK, Space, sort
 
-LENGTH, GRAM = 50, 32
+LENGTH, GRAM = 50, 24
 MEMORY = 64 << 20
+#: A shard is sorted in parts of `memory` / PART bytes, whose names, a third of them by number, then fit in memory.
+PART = 40
 LAST = (1 << 63) - 1
+PLACES = "node string, low long, hs array<long>, ls array<long>, starts array<int>"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -57,11 +61,9 @@ class Keys:
         self.length, self.gram = length, gram
         self.up = self.down = np.zeros(0, np.uint64)
 
-    def of(self, data: np.ndarray) -> np.ndarray:
-        """The key of the string that starts at each byte (bytes -> keys of the len - length + 1 strings)."""
+    def grams(self, data: np.ndarray) -> np.ndarray:
+        """The hash of the gram that starts at each byte."""
         n, g = len(data), self.gram
-        if n < self.length:
-            return np.zeros(0, np.uint64)
         if n > len(self.up):
             size = max(n, 2 * len(self.up), 1 << 16)
             self.up, self.down = np.cumprod(np.full(size, BASE)), np.cumprod(np.full(size, INVERSE))
@@ -72,7 +74,14 @@ class Keys:
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(29)
-        want, have = self.length - g + 1, 1
+        return h
+
+    def of(self, data: np.ndarray) -> np.ndarray:
+        """The key of the string that starts at each byte (bytes -> keys of the len - length + 1 strings)."""
+        if len(data) < self.length:
+            return np.zeros(0, np.uint64)
+        h = self.grams(data)
+        want, have = self.length - self.gram + 1, 1
         while have * 2 <= want:
             h = np.minimum(h[:-have], h[have:])
             have *= 2
@@ -123,6 +132,7 @@ def key_rows(texts: DataFrame, shards: int, length: int) -> DataFrame:
             found = [np.unique(keys.runs(np.frombuffer(t, np.uint8))[2]) for t in batch["data"]]
             if not found:
                 continue
+            nodes = np.frombuffer(bytes.fromhex("".join(batch["node"])), np.uint8).reshape(-1, 16)
             all_, owner = np.concatenate(found), np.repeat(np.arange(len(found)), [len(f) for f in found])
             shard = shard_of(all_, shards)
             order = np.argsort(shard, kind="stable")
@@ -133,8 +143,8 @@ def key_rows(texts: DataFrame, shards: int, length: int) -> DataFrame:
                 a, b = ends[s], ends[s + 1]
                 if b > a:
                     docs, count = np.unique(owner[a:b], return_counts=True)
-                    low48 = np.ascontiguousarray(all_[a:b]).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                    rows.append((s, pickle.dumps((b"".join(bytes.fromhex(batch["node"].iloc[d]) for d in docs), count.astype(np.uint32).tobytes(), low48), protocol=5)))
+                    count = count.astype(np.min_scalar_type(int(count.max())))
+                    rows.append((s, pickle.dumps((nodes[docs], count, all_[a:b].astype(np.uint32)), protocol=5)))
             if rows:
                 yield pd.DataFrame(rows, columns=["shard", "blob"])
 
@@ -142,17 +152,13 @@ def key_rows(texts: DataFrame, shards: int, length: int) -> DataFrame:
 
 
 def shared_keys(rows: DataFrame, shards: int) -> DataFrame:
-    """(node, keys): the keys of each text that another text has too, low 48 bits, by shard."""
+    """(node, keys): the keys of each text that another text has too, low 32 bits, by shard. Keys that agree in these alone only bring
+    stretches along that the sort finds to be no repeats."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for blobs in grouped(batches):
             parts = [pickle.loads(b) for b in blobs]
-            nodes = np.frombuffer(b"".join(p[0] for p in parts), np.uint8).reshape(-1, 16)
-            counts = np.concatenate([np.frombuffer(p[1], np.uint32) for p in parts])
-            six = np.frombuffer(b"".join(p[2] for p in parts), np.uint8).reshape(-1, 6)
-            wide = np.zeros((len(six), 8), np.uint8)
-            wide[:, :6] = six
-            key = wide.view(np.uint64).ravel()
+            nodes, counts, key = (np.concatenate([p[k] for p in parts]) for k in range(3))
             owner = np.repeat(np.arange(len(counts)), counts)
             order = np.argsort(key, kind="stable")
             k = key[order]
@@ -182,18 +188,17 @@ def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[Iterator[bytes]]:
 
 def stretch_rows(texts: DataFrame, shared: DataFrame, shards: int, length: int) -> DataFrame:
     """Of each batch of texts (shard, blob): the stretches with a shared key, equal ones once, with their least and largest doc_id;
-    and of each text (node, low, h, l, starts): the 128-bit hashes of its stretches, and where they stand."""
+    and of each text (node, low, hs, ls, starts), under any shard: the 128-bit hashes of its stretches, and where they stand."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys = Keys(length)
-        low48 = np.uint64((1 << 48) - 1)
         for batch in parts(batches):
             stretch: dict[int, dict[bytes, list[int]]] = {}  # [key, least, largest doc_id] of each
             places = []
             for node, low, data, sets in zip(batch["node"], batch["low"].tolist(), batch["data"], batch["sets"], strict=True):
-                wanted = np.frombuffer(b"".join(sets), np.uint64)
+                wanted = np.frombuffer(b"".join(sets), np.uint32)
                 first, end, key = keys.runs(np.frombuffer(data, np.uint8))
-                use = np.flatnonzero(np.isin(key & low48, wanted))
+                use = np.flatnonzero(np.isin(key.astype(np.uint32), wanted))
                 hashes = []
                 for a, b, k, s in zip(first[use].tolist(), end[use].tolist(), key[use].view(np.int64).tolist(), shard_of(key[use], shards).tolist(), strict=True):
                     own = data[a : b + length - 1]
@@ -205,15 +210,15 @@ def stretch_rows(texts: DataFrame, shared: DataFrame, shards: int, length: int)
                         seen[2] = low
                 if hashes:
                     pair = np.frombuffer(b"".join(x.to_bytes(16, "little") for x in hashes), "<i8").reshape(-1, 2)
-                    places.append((node, low, pair[:, 0], pair[:, 1], first[use].astype(np.int32)))
+                    places.append((int(node[:8], 16) % shards, node, low, pair[:, 0], pair[:, 1], first[use].astype(np.int32)))
             rows = [(s, pack(b"".join(of), np.array([len(x) for x in of], np.int64), np.array(list(of.values()), np.int64))) for s, of in stretch.items()]
-            names = ["shard", "blob", "node", "low", "h", "l", "starts"]
-            whole = {"shard": "Int32", "low": "Int64"}
-            yield pd.DataFrame([(*r, None, None, None, None, None) for r in rows], columns=names, dtype=object).astype(whole)
-            yield pd.DataFrame([(None, None, *r) for r in places], columns=names, dtype=object).astype(whole)
+            names = ["shard", "blob", "node", "low", "hs", "ls", "starts"]
+            whole = {"shard": "int32", "low": "int64"}  # no row is without `low`, as pandas would read 64 bits beside nulls as floats
+            yield pd.DataFrame([(*r, None, 0, None, None, None) for r in rows], columns=names, dtype=object).astype(whole)
+            yield pd.DataFrame([(s, None, *r) for s, *r in places], columns=names, dtype=object).astype(whole)
 
     sets = shared.groupBy("node").agg(F.collect_list("keys").alias("sets"))
-    schema = "shard int, blob binary, node string, low long, h array<long>, l array<long>, starts array<int>"
+    schema = f"shard int, blob binary, {PLACES}"
     return texts.join(sets, "node").select("node", "low", "data", "sets").mapInPandas(trimmed(find), schema)
 
 
@@ -248,6 +253,21 @@ def smallest_starts(text: np.ndarray, sizes: np.ndarray, lowest: np.ndarray, len
     return group, best
 
 
+def may_share(text: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
+    """For each of the joined stretches whether a string of it might stand elsewhere: both its first and its last four fifths have to."""
+    gram = length * 4 // 5
+    h = Keys(length, gram).grams(text)
+    order = h.argsort()
+    same = np.diff(h[order]) == 0
+    twice = np.zeros(len(text), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    twice[: len(text) - length + gram] &= twice[length - gram :]
+    offset = np.cumsum(sizes) - sizes
+    twice &= np.arange(len(text)) <= np.repeat(offset + sizes - length, sizes)  # others cross stretches
+    return np.logical_or.reduceat(twice, offset)
+
+
 def runs_of(text: np.ndarray, names: np.ndarray, sizes: np.ndarray, lowest: np.ndarray, highest: np.ndarray, length: int, memory: int) -> Iterator[pd.DataFrame]:
     """The result rows of the joined stretches of a shard."""
     offset = np.r_[0, np.cumsum(sizes)]
@@ -271,10 +291,25 @@ def runs_of(text: np.ndarray, names: np.ndarray, sizes: np.ndarray, lowest: np.n
 
 def repeated(rows: DataFrame, shards: int, length: int, memory: int = MEMORY) -> DataFrame:
     """(h, l, lows, begins, ends): for each stretch the runs [begin, end) of strings that a document has whose doc_id is smaller than that of
-    another one with the stretch, by shard."""
+    another one with the stretch, by shard; and the rows (node, low, hs, ls, starts) as they are, so that stretches are shuffled but not stored."""
+
+    def with_all(some) -> pd.DataFrame:
+        out = pd.DataFrame(some)
+        for name in ("h", "l", "lows", "begins", "ends", "node", "low", "hs", "ls", "starts"):
+            if name not in out:
+                out[name] = pd.array([None] * len(out), "Int64" if name in ("h", "l", "low") else object)
+        return out
 
     def sorted_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for blobs in grouped(batches):
+        passing: list[pd.DataFrame] = []
+
+        def blobs_only() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                of_text = batch["blob"].isna()
+                passing.append(batch.loc[of_text, ["node", "low", "hs", "ls", "starts"]])
+                yield batch[~of_text]
+
+        for blobs in grouped(blobs_only()):
             number: dict[bytes, int] = {}
             keys, lowest, highest = [], [], []
             for blob in blobs:
@@ -294,20 +329,34 @@ def repeated(rows: DataFrame, shards: int, length: int, memory: int = MEMORY) ->
             names = np.frombuffer(b"".join(xxhash.xxh3_128_intdigest(x).to_bytes(16, "little") for x in number), "<i8").reshape(-1, 2)
             sizes = np.array([len(x) for x in number], np.int64)
             # Equal strings have equal keys, so the strings of a key's only stretch stand in no other.
+            # So parts by key can be sorted one after the other.
+            stretches = list(number)
+            del number
+            part = which % max(1, -(-int(sizes[~sole].sum()) // (memory // PART)))
+            part[sole] = -1
+            order = part.argsort(kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                if part[own[0]] < 0:
+                    continue
+                text = np.frombuffer(b"".join(stretches[i] for i in own.tolist()), np.uint8)
+                share = may_share(text, sizes[own], length)
+                sole[own[~share]] = True
+                text, own = text[np.repeat(share, sizes[own])], own[share]
+                if len(own):
+                    yield from map(with_all, runs_of(text, names[own], sizes[own], lowest[own], highest[own], length, memory))
             some = np.flatnonzero(sole & (lowest < highest))
             if len(some):
-                yield pd.DataFrame({"h": names[some, 0], "l": names[some, 1], "lows": list(lowest[some, None]), "begins": list(np.zeros((len(some), 1), np.int32)), "ends": list((sizes[some, None] - length + 1).astype(np.int32))})
-            text = np.frombuffer(b"".join(x for x, s in zip(number, sole.tolist(), strict=True) if not s), np.uint8)
-            del number
-            if len(text):
-                yield from runs_of(text, names[~sole], sizes[~sole], lowest[~sole], highest[~sole], length, memory)
+                yield with_all({"h": names[some, 0], "l": names[some, 1], "lows": list(lowest[some, None]), "begins": list(np.zeros((len(some), 1), np.int32)), "ends": list((sizes[some, None] - length + 1).astype(np.int32))})
+            yield from map(with_all, passing)
+            passing.clear()
+        yield from map(with_all, passing)
 
-    return by_shard(rows, shards).mapInPandas(trimmed(sorted_), "h long, l long, lows array<long>, begins array<int>, ends array<int>")
+    return by_shard(rows, shards).mapInPandas(trimmed(sorted_), f"h long, l long, lows array<long>, begins array<int>, ends array<int>, {PLACES}")
 
 
 def covered(found: DataFrame, runs: DataFrame, length: int) -> DataFrame:
     """(node, spans): the intervals [start, end) of each text that repeat a text of smaller doc_id."""
-    places = found.select("node", "low", F.explode(F.arrays_zip("h", "l", "starts")).alias("p")).select("node", "low", "p.h", "p.l", "p.starts")
+    places = found.select("node", "low", F.explode(F.arrays_zip("hs", "ls", "starts")).alias("p")).select("node", "low", F.col("p.hs").alias("h"), F.col("p.ls").alias("l"), "p.starts")
     smaller = F.filter(F.arrays_zip("lows", "begins", "ends"), lambda r: r["lows"] < F.col("low"))
     spans = F.transform(smaller, lambda r: F.struct((F.col("starts") + r["begins"]).alias("a"), (F.col("starts") + r["ends"] + (length - 1)).alias("b")))
     hit = places.join(runs, ["h", "l"]).select("node", spans.alias("spans")).where(F.size("spans") > 0)
@@ -342,9 +391,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     try:
         texts = spark.table(name)
         keys = materialize(shared_keys(key_rows(texts, shards, length), shards), "keys")
-        found = materialize(stretch_rows(texts, keys, shards, length), "stretches")
-        runs = materialize(repeated(found.where("shard is not null").select("shard", "blob"), shards, length), "runs")
-        spans = covered(found.where("node is not null"), runs, length)
+        found = materialize(repeated(stretch_rows(texts, keys, shards, length), shards, length), "runs")
+        drop_table(keys)
+        runs = found.where("h is not null").select("h", "l", "lows", "begins", "ends")
+        spans = covered(found.where("node is not null").select("node", "low", "hs", "ls", "starts"), runs, length)
 
         def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:

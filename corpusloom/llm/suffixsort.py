@@ -1,7 +1,8 @@
 """External suffix and common-prefix arrays by induced sorting with disk-backed priority queues.
 
 A level sorts the suffixes of a string of symbols. Its leftmost S-type (LMS) suffixes are sorted by their LMS substrings, these are
-named, and the string of names is sorted by the same function, level by level, until all names differ. Sorted LMS suffixes
+named, and the string of names is sorted by the same function, level by level, until all names differ or a string of names fits the
+memory with `IN_MEMORY` bytes a name: that one is sorted there, by prefix doubling, and ends the recursion. Sorted LMS suffixes
 then induce the L-type suffixes in ascending order, and these the S-type ones in descending order. Both inductions are one
 routine over a priority queue of tuples (key, place, common prefix): the key is the suffix's first symbol and the rank of the
 suffix behind it, so what is popped is in suffix order, and what a popped tuple induces has a larger key.
@@ -26,6 +27,8 @@ import tempfile
 import numpy as np
 
 BLOCK, RUNS = 1 << 15, 24
+#: What `doubled` holds for each name at most: ranks for the common prefixes in four bytes each, and keys, order and their like in eight.
+IN_MEMORY = 80
 
 
 class Space:
@@ -273,6 +276,31 @@ def both_ways(text: np.ndarray, s_type: np.ndarray, lms: list[np.ndarray], depth
     yield from induce(text, top, s_type, second, depth, space)
 
 
+def doubled(names: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """What `sort` gives for a string of names 0, 1, ... that fits in memory: the base of the recursion, by prefix doubling."""
+    n, rank, width = len(names), names.astype(np.int64), 1
+    ranks = [names.astype(np.int32)]  # by the first one, two, four, ... names
+    while True:
+        key = rank * (n + 1)
+        if width < n:
+            key[:-width] += rank[width:] + 1
+        order = key.argsort()
+        key = key[order]
+        rank[order] = np.r_[0, np.cumsum(key[1:] != key[:-1])]
+        width *= 2
+        if rank[order[-1]] == n - 1:
+            break
+        if width <= depth:
+            ranks.append(rank.astype(np.int32))
+    shared = np.zeros(n, np.int64)
+    a, b = order[:-1], order[1:]
+    for k in range(len(ranks) - 1, -1, -1):
+        p, q = a + shared[1:], b + shared[1:]
+        some = np.flatnonzero(np.maximum(p, q) + (1 << k) <= n)
+        shared[1:][some[ranks[k][p[some]] == ranks[k][q[some]]]] += 1 << k
+    return order, np.minimum(shared, depth)
+
+
 def sort(text: np.ndarray, depth: int, space: Space) -> tuple[np.ndarray, np.ndarray]:
     """(places in suffix order, common prefixes with the one before, at most depth) of a string of symbols."""
     n = len(text)
@@ -313,7 +341,7 @@ def sort(text: np.ndarray, depth: int, space: Space) -> tuple[np.ndarray, np.nda
             own = name + np.cumsum(~same)
             names[j], name = own - 1, int(own[-1])
         if name < m:
-            inner, agreed = sort(names, depth, space)
+            inner, agreed = doubled(names, depth) if IN_MEMORY * m <= space.memory else sort(names, depth, space)
         else:
             inner, agreed = space.places(m), space.places(m, depth)
             inner[names] = np.arange(m)

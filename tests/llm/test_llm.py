@@ -296,6 +296,46 @@ def test_sort_larger_than_memory(tmp_path):
     assert most <= memory and space.on_disk > 10 * memory
 
 
+def test_recursion_ends_in_memory(monkeypatch):
+    """A string of names that fits the memory is sorted there: 64 KB of prose take one level of queues, with little memory several, and both agree."""
+    text, levels = np.frombuffer(prose(20_000).encode()[: 1 << 16], np.uint8), []
+    types = suffixsort.types
+    monkeypatch.setattr(suffixsort, "types", lambda *a: levels.append(len(a[0])) or types(*a))
+    order, shared = suffixsort.suffix_array(text, 50, memory=64 << 20)
+    assert levels == [1 << 16]
+    again = suffixsort.suffix_array(text, 50, memory=1 << 10)
+    assert len(levels) > 3 and (order == again[0]).all() and (shared == again[1]).all()
+
+
+def test_shard_in_parts(spark):
+    """A shard is sorted in parts by key, only of stretches that may share a string, with the result of the whole."""
+    joined = [b"a" * 49 + b"bc", b"x" * 30 + b"b" * 25, b"c" + b"a" * 49 + b"b"]
+    assert substrings.may_share(np.frombuffer(b"".join(joined), np.uint8), np.array([len(x) for x in joined]), 50).tolist() == [True, False, True]
+    words = prose(3000).split()
+    docs = [(i, " ".join(words[30 * i % 2000 : 30 * i % 2000 + 80] + [str(i)] + words[7 * i : 7 * i + 40])) for i in range(60)]
+    blobs = {}
+    for i, t in docs:
+        data = t.encode()
+        for a, b, k in zip(*substrings.Keys().runs(np.frombuffer(data, np.uint8)), strict=True):
+            blobs.setdefault(data[a : b + 49], [int(k.view(np.int64)), i, i])[2] = i
+    blob = substrings.pack(b"".join(blobs), np.array([len(x) for x in blobs], np.int64), np.array(list(blobs.values()), np.int64))
+    rows = spark.createDataFrame([(0, blob, None, 0, None, None, None)], f"shard int, blob binary, {substrings.PLACES}")
+    found = [
+        sorted((r["h"], r["l"], p) for r in substrings.repeated(rows, 1, 50, memory).collect() for x in zip(r["lows"], r["begins"], r["ends"], strict=True) for p in [(x[0], y) for y in range(x[1], x[2])])
+        for memory in (1 << 16, 1 << 26)
+    ]
+    assert found[0] == found[1] and len(found[0]) > 100
+
+
+def test_repeats_large_ids(spark):
+    """doc_ids beyond 2**53 that differ in their last bit only stay apart."""
+    p, big = prose(30), 1 << 60
+    texts = [p + " one" * 9, "two " * 9 + p, p[3:80], None]
+    ids = [big + 1, big, big + 2, None]
+    got = sorted(tuple(r) for r in substrings.remove_repeats(frame(spark, texts[:3], ids[:3])).collect())
+    assert got == brute_repeats([(i, t.encode()) for i, t in zip(ids[:3], texts[:3], strict=True)])
+
+
 # 4 Language
 
 
