@@ -2,8 +2,8 @@
 
 Texts of one language are strung together into shards of about `SHARD_BYTES`, cut into words, and kept as arrays of word ids. Per shard
 numpy sorts the suffixes by prefix doubling (by one word, two, four, eight) as deep as the longest phrase, and the
-longest common prefixes of neighbours give the intervals of equal n-grams: a row (phrase, count) each. Rows of
-all shards are merged by phrase. As a phrase is no more frequent than any part of it, this goes in rounds: words; pairs
+longest common prefixes of neighbours give the intervals of equal n-grams. A shard deals them out by hash to as many parts as there are
+shuffle partitions, which are to grow with the input, in one compressed table a part, and a part adds the counts of equal phrases up. As a phrase is no more frequent than any part of it, this goes in rounds: words; pairs
 of words that are frequent in the whole language; phrases of three and more whose pairs all are. After each round the shards get
 those of their phrases back that are frequent, so what a round looks for is found exactly and nothing is broadcast but what
 Spark measures to be small. A shard's lists are bounded by its words.
@@ -19,12 +19,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_or_empty, trimmed
+from .common import materialize, shuffle_partitions, table, text_or_empty, trimmed
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 SHARD_BYTES = 8 << 20
@@ -168,6 +169,23 @@ def unpacked(blob: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
 
 
+def packed_table(rows: np.ndarray) -> bytes:
+    """Columns of int64 (column by row), byte by byte of all numbers, as the high bytes are much alike."""
+    return len(rows).to_bytes(1, "little") + packed(np.ascontiguousarray(np.ascontiguousarray(rows).view(np.uint8).reshape(-1, 8).T))
+
+
+def unpacked_table(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unpacked(blob[1:], np.uint8).reshape(8, -1).T).view(np.int64).reshape(blob[0], -1)
+
+
+def part_of(words: np.ndarray, parts: int) -> np.ndarray:
+    h = np.zeros(words.shape[1], np.uint64)
+    for w in words:
+        h = (h ^ w.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return (h % np.uint64(parts)).astype(np.int32)
+
+
 def recoded(shards_: DataFrame, words: DataFrame) -> DataFrame:
     """(shard, own, ids, words): shards with their frequent words (shard, id, word) numbered from 1, every other word 0, and what these numbers stand for."""
     lists = words.groupBy("shard").agg(F.collect_list(F.struct("id", "word")).alias("found"))
@@ -188,8 +206,9 @@ def recoded(shards_: DataFrame, words: DataFrame) -> DataFrame:
     return rows.mapInArrow(trimmed(run), "shard long, own long, ids binary, words binary")
 
 
-def counted(coded: DataFrame, found: DataFrame | None, part: int, high: int) -> DataFrame:
-    """Rows (shard, w1, w2, ..., count): the phrases of part + 1 to `high` words of each shard, 0 behind short ones, whose parts of `part` words are all in `found` (shard, w1, ...); without it, of frequent words."""
+def counted(coded: DataFrame, found: DataFrame | None, part: int, high: int, deal: int) -> DataFrame:
+    """Rows (dealt, shard, phrases), one for each shard and each of `deal` parts: a table of w1, w2, ..., count with the phrases of part + 1 to `high`
+    words of the shard, 0 behind short ones, whose parts of `part` words are all in `found` (shard, found: tables of w1, ...); without it, of frequent words."""
     low, with_parts = part + 1, found is not None
 
     def run(batches: Iterator) -> Iterator:
@@ -201,8 +220,8 @@ def counted(coded: DataFrame, found: DataFrame | None, part: int, high: int) ->
                 ids, word = unpacked(batch.column(2)[i].as_py(), np.int32).astype(np.int64), np.concatenate([[0], unpacked(batch.column(3)[i].as_py(), np.int64)])
                 frequent = ids > 0  # whether a part begins here
                 if with_parts:
-                    order, listed = np.argsort(word), batch.column(4)[i].values
-                    number = [order[np.searchsorted(word, listed.field(c).to_numpy(), sorter=order)] for c in range(part)]
+                    order, listed = np.argsort(word), np.concatenate([unpacked_table(x) for x in batch.column(4)[i].as_py()], axis=1)
+                    number = [order[np.searchsorted(word, listed[c], sorter=order)] for c in range(part)]
                     # Parts are named word by word: the place of the name so far among those listed, then the next word.
                     code, of_part = ids[: len(ids) - part + 1], number[0]
                     for k in range(1, part):
@@ -217,24 +236,60 @@ def counted(coded: DataFrame, found: DataFrame | None, part: int, high: int) ->
                     going[len(ids) - k :] = False
                     reach += going
                 reach = np.where(reach > 0, reach + part - 1, 0)
+                tables = []
                 for n, places, counts in intervals(ids, reach, own, low, high):
-                    spelt = [word[ids[places + k]] if k < n else np.zeros(len(places), np.int64) for k in range(high)]
-                    for a in range(0, len(places), 1 << 16):
-                        b = min(len(places), a + (1 << 16))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, shard)), *[pa.array(w[a:b]) for w in spelt], pa.array(counts[a:b].astype(np.int64))], names=names)
+                    tables.append(np.stack([*[word[ids[places + k]] if k < n else np.zeros(len(places), np.int64) for k in range(high)], counts.astype(np.int64)]))
+                if not tables:
+                    continue
+                rows = np.concatenate(tables, axis=1)
+                dealt = part_of(rows[:high], deal)
+                order = np.lexsort((*rows[high - 1 :: -1], dealt))
+                rows, dealt = rows[:, order], dealt[order]
+                edge = np.r_[0, np.flatnonzero(np.diff(dealt)) + 1, len(dealt)]
+                blobs = [packed_table(rows[:, a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(dealt[edge[:-1]]), pa.array([shard] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names=["dealt", "shard", "phrases"])
 
-    names = ["shard", *[f"w{k}" for k in range(1, high + 1)], "count"]
     if with_parts:
-        lists = found.groupBy("shard").agg(F.collect_list(F.struct(*[f"w{k}" for k in range(1, part + 1)])).alias("found"))
+        lists = found.groupBy("shard").agg(F.collect_list("found").alias("found"))
         coded = coded.join(lists, "shard").select("shard", "own", "ids", "words", "found")
-    return coded.mapInArrow(trimmed(run), ", ".join(f"{c} long" for c in names))
+    return coded.mapInArrow(trimmed(run), "dealt int, shard long, phrases binary")
+
+
+def merged(dealt: DataFrame, parts: int, high: int, least: int, tell: bool) -> DataFrame:
+    """Of each part the rows (w1, w2, ..., f) of phrases that occur `least` times, and if `tell` for each shard (shard, found), a table of those that it has."""
+    names = ["shard", "found", *[f"w{k}" for k in range(1, high + 1)], "f"]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        blobs = ((p.as_py(), s.as_py(), b.as_py()) for batch in batches for p, s, b in zip(*batch.columns, strict=True))
+        for _, own in groupby(blobs, lambda r: r[0]):
+            shards_, tables = zip(*((s, unpacked_table(b)) for _, s, b in own), strict=True)
+            rows, shard = np.concatenate(tables, axis=1), np.repeat(np.array(shards_), [t.shape[1] for t in tables])
+            del tables
+            order = np.lexsort((shard, *rows[high - 1 :: -1]))
+            rows, shard = rows[:, order], shard[order]
+            starts = np.r_[0, np.flatnonzero((rows[:high, 1:] != rows[:high, :-1]).any(axis=0)) + 1]
+            f = np.add.reduceat(rows[high], starts)
+            often = f >= least
+            some, n = starts[often], int(often.sum())
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), *[pa.array(w[some]) for w in rows[:high]], pa.array(f[often])], names=names)
+            told = np.repeat(often, np.diff(np.r_[starts, len(shard)])) & tell
+            rows, shard = rows[:high, told], shard[told]
+            order = np.argsort(shard, kind="stable")
+            edge = np.r_[0, np.flatnonzero(np.diff(shard[order])) + 1, len(order)] if len(order) else np.zeros(1, np.int64)
+            own = [packed_table(rows[:, order[a:b]]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(shard[order[edge[:-1]]], pa.int64()), pa.array(own, pa.binary()), *[pa.nulls(len(own), pa.int64())] * (high + 1)], names=names)
+
+    rows = dealt.repartition(parts, "dealt").sortWithinPartitions("dealt")
+    return rows.mapInArrow(trimmed(run), "shard long, found binary, " + ", ".join(f"{c} long" for c in names[2:]))
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, size: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, f), (lang, n)): all phrases of up to `longest` words that occur `least` times in their language, and all words of each language.
 
-    A shard's row of a phrase learns the phrase's frequency by a window over the phrase, which has one row a shard at most: one shuffle both
-    merges the counts and tells the shards. Words are named by the row number of one of their rows, pairs by two such names.
+    A shard's row of a word learns its frequency by a window over the word, which has one row a shard at most, and a part tells the shards
+    which of their pairs are frequent: one shuffle both merges the counts and tells the shards. Words are named by the row number of one of their rows, pairs by two such names.
     """
     cutted = materialize(shards(docs, size), "shards")
     rows = cutted.select("shard", "lang", F.posexplode("words").alias("id", "w"))
@@ -245,18 +300,14 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     known = materialize(known.drop("count"), "words")
     coded = materialize(recoded(cutted, known), "coded")
     parts = [f"w{k}" for k in range(1, longest + 1)]
-    found, last = None, None
+    found, last, deal = None, None, shuffle_partitions(docs.sparkSession)
     # One round for pairs, one for all that is longer: a round for triples alone costs more than the rows that it saves.
     for part in range(1, min(longest, 3)):
         high = part + 1 if part < 2 else longest
         of = parts[:high]
-        grams = counted(coded, last, part, high)
-        if high < longest:
-            here = Window.partitionBy(*of)
-            last = materialize(grams.withColumn("f", F.sum("count").over(here)).where(F.col("f") >= least).select("shard", *of, "f"), "grams")
-            often = last.groupBy(*of).agg(F.max("f").alias("f"))
-        else:
-            often = grams.groupBy(*of).agg(F.sum("count").alias("f")).where(F.col("f") >= least)
+        grams = materialize(merged(counted(coded, last, part, high, deal), deal, high, least, high < longest), "grams")
+        last = grams.where("shard is not null").select("shard", "found")
+        often = grams.where("f is not null").select(*of, "f")
         often = often.select(*[F.col(w) if w in of else F.lit(0).cast("long").alias(w) for w in parts], "f")
         found = often if found is None else found.unionByName(often)
     words = materialize(known.where("row = word").select("word", "lang", F.col("phrase").cast("string").alias("phrase"), "f"), "vocabulary")

@@ -46,6 +46,29 @@ def test_collocations_match_sql(spark, size):
     assert plain(C.collocations(df, size=size)) == by_sql(C.OP11_SQL, documents=documents)
 
 
+def test_collocations_rows_by_shard_and_part(spark):
+    """Phrases go from shards to parts in one row for each two of them, however many there are; parts add them up exactly."""
+    words = np.random.default_rng(3).zipf(1.3, 30_000) % 300
+    df = spark.createDataFrame([(" ".join(f"w{w}" for w in words[a : a + 500]), "en") for a in range(0, len(words), 500)], "text string, lang string").coalesce(1)
+    made, counted = [], C.counted
+    try:
+        C.counted = lambda *a: made.append(counted(*a)) or made[-1]
+        got = {r["phrase"]: r["f"] for r in C.frequent_phrases(df, least=3, size=20_000)[0].collect()}
+        shards, deal = C.shards(df, 20_000).count(), C.shuffle_partitions(spark)
+        rows = [d.count() for d in made]
+    finally:
+        C.counted = counted
+    want = {}
+    for a in range(0, len(words), 500):
+        text = [f"w{w}" for w in words[a : a + 500]]
+        for n in range(1, 6):
+            for i in range(len(text) - n + 1):
+                p = " ".join(text[i : i + n])
+                want[p] = want.get(p, 0) + 1
+    assert shards > 3 and len(rows) == 2 and all(0 < r <= shards * deal for r in rows)
+    assert got == {p: f for p, f in want.items() if f >= 3}
+
+
 def test_collocations_of_nothing(spark):
     assert C.collocations(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
 
