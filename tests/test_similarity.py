@@ -32,3 +32,27 @@ def test_takes_a_small_part_of_difflib_s_time():
     half = time.process_time()
     assert [S.similar(a, b) for a, b in pairs] == want
     assert time.process_time() - half < (half - start) / 4
+
+
+def test_long_texts_are_compared_whole(spark):
+    """What differs behind the first 8000 characters counts, in either text."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randrange(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    head, tail = text(1500), text(900)
+    rows = [(1, head + " " + tail, head + " " + text(900)), (2, head, head + " " + tail), (3, head + " " + tail, head), (4, head + " " + tail, head.upper() + "\n\n" + tail), (5, head, None)]
+    assert len(head) > 8000
+    got = {r["id"]: (r["similarity"], r["abnormal"]) for r in S.compare(spark.createDataFrame(rows, "id int, a string, b string"), "a", "b").select("id", "similarity", "abnormal").collect()}
+    want = {i: slow(a, " ".join((b or "").lower().split())) for i, a, b in rows}
+    assert got == {i: (s, s < 0.92) for i, s in want.items()}
+    assert got[1][1] and got[2][1] and got[3][1] and got[4] == (1.0, False)
+
+
+def test_pairs_of_places_are_held_some_at_a_time(monkeypatch):
+    rnd = random.Random(5)
+    line = [chr(0x4E00 + k) for k in range(120)]
+    texts = ["".join("".join(line[p : p + 20]) for p in rnd.choices(range(0, 120, 20), k=60)) for _ in range(6)] + ["", "ab"]
+    monkeypatch.setattr(S, "PAIRS", 50)
+    for a in texts:
+        for b in texts[3:]:
+            assert S.similar(a, b) == slow(a, b)
