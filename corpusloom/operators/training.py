@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .agreement import class_weights
 
-MOST_TOKENS, FEATURES = 128, 1 << 12
+FEATURES = 1 << 12
 FIXED = float(1 << 30)
 ROWS = 512  # rows that a worker expands at a time
 FEATURE_SCHEMA = "split string, y int, weight double, idx array<int>, val array<float>"
@@ -33,9 +33,9 @@ class Run:
     best: int = -1
 
 
-def hashed_words(text, features: int = FEATURES, most: int = MOST_TOKENS):
-    """Distinct word places of the first words of a text, with their counts."""
-    words = F.filter(F.slice(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), 1, most), lambda w: w != "")
+def hashed_words(text, features: int = FEATURES):
+    """The places of all words of a text, repeats included."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
     return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(features)).cast("int"))
 
 
@@ -56,14 +56,16 @@ def prepare(rows: DataFrame, folder: str, key: str, split: str, text: str = "tex
         import pyarrow as pa
 
         for batch in sliced(batches):
-            idx, val = [], []
-            for words in batch.column(4).to_pylist():
-                at, n = np.unique(np.array(words or [], np.int32), return_counts=True)
-                v = n * table[at]
-                norm = float(np.sqrt((v * v).sum())) or 1.0
-                idx.append(at)
-                val.append((v / norm).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in range(4)], pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))], names=["id", "split", "y", "weight", "idx", "val"])
+            words, rows = batch.column(4), batch.num_rows
+            row = np.repeat(np.arange(rows), words.value_lengths().to_numpy())
+            at, n = np.unique(row * features + words.flatten().to_numpy(), return_counts=True)
+            row, at = at // features, at % features
+            v = n * table[at].astype(np.float64)
+            norm = np.sqrt(np.bincount(row, v * v, minlength=rows))
+            v /= np.where(norm > 0, norm, 1.0)[row]
+            ends = pa.array(np.searchsorted(row, np.arange(rows + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (at.astype(np.int32), v.astype(np.float32))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in range(4)], *lists], names=["id", "split", "y", "weight", "idx", "val"])
 
     made = known.select("id", "split", y.cast("int").alias("y"), "weight", "words").mapInArrow(weigh, "id long, " + FEATURE_SCHEMA)
     made.write.mode("overwrite").parquet(f"{folder}/features")

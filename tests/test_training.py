@@ -82,3 +82,30 @@ def test_workers_expand_few_rows_at_a_time(spark, tmp_path):
     finally:
         R.ROWS = before
     assert np.allclose(whole[0], some[0], atol=1e-7) and abs(whole[1] - some[1]) < 1e-7
+
+
+def test_words_behind_the_first_128_count(spark, tmp_path):
+    """Labels that only late words tell are learned, and a row's features are all its words by count and idf."""
+    head = " ".join(["word"] * 300)
+    df = rows(spark).where("id < 900 and id > 5").withColumn("text", F.concat(F.lit(head + " "), "text"))
+    folder, features = str(tmp_path / "m"), 4096
+    labels = R.prepare(df, folder, "id", "split", features=features)
+    run = R.fit(spark, folder, labels, epochs=6, steps=2, patience=9, features=features)
+    assert max(f for _, f in run.history) > 0.9
+
+    places = df.select(F.xxhash64("id").alias("id"), "split", F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.pmod(F.xxhash64(w), F.lit(features))).alias("words")).collect()
+    train = [set(r["words"]) for r in places if r["split"] == "train"]
+    got = {r["id"]: dict(zip(r["idx"], r["val"], strict=True)) for r in spark.read.parquet(f"{folder}/features").collect()}
+    assert len(got) == len(places)
+    for r in places:
+        v = {w: r["words"].count(w) * np.log((len(train) + 1) / (sum(w in t for t in train) + 1)) for w in set(r["words"])}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        assert got[r["id"]].keys() == v.keys() and all(abs(got[r["id"]][w] - x / norm) < 1e-5 for w, x in v.items())
+
+
+def test_texts_without_words_have_no_features(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a b", "x", "train"), (2, None, "x", "train"), (3, "  ", "y", "train"), (4, "c", "y", "held"), (5, "", "x", "held")], "id long, text string, label string, split string")
+    R.prepare(df, str(tmp_path / "m"), "id", "split")
+    n = {r["id"]: len(r["idx"]) for r in spark.read.parquet(f"{tmp_path}/m/features").collect()}
+    ids = [r["h"] for r in df.orderBy("id").select(F.xxhash64("id").alias("h")).collect()]
+    assert [n[h] for h in ids] == [2, 0, 0, 1, 0]
